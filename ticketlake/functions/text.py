@@ -53,13 +53,11 @@ def keyword_scores(lowered: Column, lexicon: dict[str, Sequence[str]]) -> list[t
 
 def best_label(scores: list[tuple[str, Column]], default: str) -> tuple[Column, Column]:
     """(label, best score): max score wins, ties go to the earlier label,
-    no hit -> default."""
-    best = F.greatest(*[s for _, s in scores]) if len(scores) > 1 else scores[0][1]
-    label = None
-    for name, s in scores:
-        cond = (s == best) & (best > 0)
-        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    return label.otherwise(F.lit(default)), best
+    no hit -> default. One `array_max` over (score, -position, label)
+    structs, so each keyword test appears once in the generated code."""
+    top = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("p"), F.lit(name).alias("l"))
+                                for i, (name, s) in enumerate(scores)]))
+    return F.when(top["s"] > 0, top["l"]).otherwise(F.lit(default)), top["s"]
 
 
 def word_count(c: str | Column) -> Column:

@@ -27,11 +27,12 @@ def map_labels(c: str | Column, mapping: dict[str, str] = L.LABEL_MAP) -> Column
 
 
 def classify_with_confidence(c: str | Column, lexicon=L.CLASSIFIER_KEYWORDS,
-                             default: str = L.DEFAULT_INTENT) -> Column:
+                             default: str = L.DEFAULT_INTENT, lowered: Column | None = None) -> Column:
     """struct(intent, confidence, reasoning): confidence min(cap, base+step*hits);
     blank / null / no hit -> (default, 0.3)."""
     text = col(c)
-    label, best = best_label(keyword_scores(lower_text(text), lexicon), default)
+    low = lowered if lowered is not None else lower_text(text)
+    label, best = best_label(keyword_scores(low, lexicon), default)
     blank = text.isNull() | (strip_ws(text) == "")
     conf = F.least(F.lit(L.CONF_CAP), F.lit(L.CONF_BASE) + best.cast("double") * F.lit(L.CONF_STEP))
     return (F.when(blank, F.struct(F.lit(default).alias("intent"), F.lit(L.CONF_NONE).alias("confidence"),
@@ -43,13 +44,25 @@ def classify_with_confidence(c: str | Column, lexicon=L.CLASSIFIER_KEYWORDS,
 
 
 def label_table(df: DataFrame, text_col: str = "customer_problem", out: str = "intent",
-                lexicon=L.TAXONOMY_KEYWORDS) -> DataFrame:
-    return df.withColumn(out, keyword_label(text_col, lexicon))
+                lexicon=L.TAXONOMY_KEYWORDS, default: str = L.DEFAULT_INTENT) -> DataFrame:
+    """Adds the keyword label. The (score, position, label) winner is its own
+    projection, so the keyword tests are generated once."""
+    scores = keyword_scores(F.col("_low"), lexicon)
+    top = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("p"), F.lit(name).alias("l"))
+                                for i, (name, s) in enumerate(scores)]))
+    return (df.withColumn("_low", lower_text(text_col)).withColumn("_top", top).drop("_low")
+              .withColumn(out, F.when(col(text_col).isNull() | (F.col("_top.s") <= 0), F.lit(default))
+                                .otherwise(F.col("_top.l")))
+              .drop("_top"))
 
 
 def classify_table(df: DataFrame, text_col: str = "message", lexicon=L.CLASSIFIER_KEYWORDS) -> DataFrame:
-    r = classify_with_confidence(text_col, lexicon)
-    return df.withColumns({"intent": r["intent"], "confidence": r["confidence"], "reasoning": r["reasoning"]})
+    """Adds intent / confidence / reasoning; the result struct is computed
+    once in its own projection and then unpacked."""
+    r = classify_with_confidence(text_col, lexicon, lowered=F.col("_low"))
+    return (df.withColumn("_low", lower_text(text_col)).withColumn("_cls", r).drop("_low")
+              .withColumns({"intent": F.col("_cls.intent"), "confidence": F.col("_cls.confidence"),
+                            "reasoning": F.col("_cls.reasoning")}).drop("_cls"))
 
 
 # ------------------------------------------------------------ F8-F10 coercion

@@ -266,7 +266,7 @@ def _user_msgs(spark, d):
 @register("intent_label", f"""SELECT conv_id, turn, CASE WHEN text IS NULL THEN {G.lit(L.DEFAULT_INTENT)} ELSE {G.label_case(L.TAXONOMY_KEYWORDS, 't')} END AS intent
 FROM (SELECT conv_id, turn, text, {G.score_cols(G.lower_text('text'), L.TAXONOMY_KEYWORDS, 't')} FROM msgs WHERE role = 'user')""")
 def intent_label(spark, d):
-    return _user_msgs(spark, d).select("conv_id", "turn", I.keyword_label("text").alias("intent"))
+    return I.label_table(_user_msgs(spark, d), "text", "intent").select("conv_id", "turn", "intent")
 
 
 _sc, _fin = G.classify_cols("message")
@@ -277,11 +277,10 @@ _sc, _fin = G.classify_cols("message")
 FROM (SELECT *, {_fin} FROM (SELECT conv_id, turn, text AS message, {_sc}, {G.score_cols(G.lower_text('text'), L.BASELINE_KEYWORDS, 'b')}
   FROM msgs WHERE role = 'user'))""")
 def intent_confidence(spark, d):
-    m = _user_msgs(spark, d)
-    r = I.classify_with_confidence("text")
-    return m.select("conv_id", "turn", r["intent"].alias("intent"), r6(r["confidence"]).alias("confidence"),
-                    r["reasoning"].alias("reasoning"),
-                    I.keyword_label("text", L.BASELINE_KEYWORDS).alias("baseline_intent"))
+    m = I.label_table(_user_msgs(spark, d), "text", "baseline_intent", L.BASELINE_KEYWORDS)
+    c = I.classify_table(m, "text")
+    return c.select("conv_id", "turn", "intent", r6(F.col("confidence")).alias("confidence"), "reasoning",
+                    "baseline_intent")
 
 
 _tax_values = ", ".join(f"({G.lit(k)}, {G.lit(v)})" for k, vs in L.TAXONOMY_CONFUSIONS.items() for v in vs)
@@ -337,10 +336,10 @@ def coerce_predictions(spark, d):
 
 
 @register("prediction_cascade", f"""SELECT message_id,
-  CASE WHEN b0 > 0 THEN {G.label_case(L.BASELINE_KEYWORDS, 'b')} WHEN t0 > 0 THEN {G.map_labels(G.label_case(L.TAXONOMY_KEYWORDS, 't'))} ELSE intent END AS intent,
-  CASE WHEN b0 > 0 THEN 0.8::DOUBLE WHEN t0 > 0 THEN 0.7::DOUBLE ELSE round(confidence, 6) END AS confidence,
-  CASE WHEN b0 > 0 THEN 'baseline' WHEN t0 > 0 THEN 'taxonomy' ELSE 'keyword' END AS provider
-FROM (SELECT *, {G.best_of(L.BASELINE_KEYWORDS, 'b')} AS b0, {G.best_of(L.TAXONOMY_KEYWORDS, 't')} AS t0 FROM (
+  CASE WHEN bmax > 0 THEN {G.label_case(L.BASELINE_KEYWORDS, 'b')} WHEN tmax > 0 THEN {G.map_labels(G.label_case(L.TAXONOMY_KEYWORDS, 't'))} ELSE intent END AS intent,
+  CASE WHEN bmax > 0 THEN 0.8::DOUBLE WHEN tmax > 0 THEN 0.7::DOUBLE ELSE round(confidence, 6) END AS confidence,
+  CASE WHEN bmax > 0 THEN 'baseline' WHEN tmax > 0 THEN 'taxonomy' ELSE 'keyword' END AS provider
+FROM (SELECT *, {G.best_of(L.BASELINE_KEYWORDS, 'b')} AS bmax, {G.best_of(L.TAXONOMY_KEYWORDS, 't')} AS tmax FROM (
   SELECT *, {G.score_cols(G.lower_text('message'), L.BASELINE_KEYWORDS, 'b')}, {G.score_cols(G.lower_text('message'), L.TAXONOMY_KEYWORDS, 't')}
   FROM cls1))""")
 def prediction_cascade(spark, d):
@@ -350,10 +349,10 @@ def prediction_cascade(spark, d):
     from ticketlake.functions.text import best_label, keyword_scores, lower_text
     _, bb = best_label(keyword_scores(lower_text("message"), L.BASELINE_KEYWORDS), L.DEFAULT_INTENT)
     _, tb = best_label(keyword_scores(lower_text("message"), L.TAXONOMY_KEYWORDS), L.DEFAULT_INTENT)
-    p1 = msgs.filter(bb > 0).select("message_id", I.keyword_label("message", L.BASELINE_KEYWORDS).alias("intent"),
-                                    F.lit(0.8).alias("confidence"))
-    p2 = msgs.filter(tb > 0).select("message_id", I.map_labels(I.keyword_label("message")).alias("intent"),
-                                    F.lit(0.7).alias("confidence"))
+    p1 = I.label_table(msgs.filter(bb > 0), "message", "intent", L.BASELINE_KEYWORDS) \
+        .select("message_id", "intent", F.lit(0.8).alias("confidence"))
+    p2 = I.label_table(msgs.filter(tb > 0), "message", "intent") \
+        .select("message_id", I.map_labels("intent").alias("intent"), F.lit(0.7).alias("confidence"))
     fb = I.classify_with_confidence("message")
     out = I.cascade(msgs.select("message_id", "message"), "message_id", [("baseline", p1), ("taxonomy", p2)],
                     "keyword", {"intent": fb["intent"], "confidence": r6(fb["confidence"])})
@@ -638,8 +637,8 @@ def _pred_table(spark, d):
     msgs = P.triage_messages(spark, d)
     cls = I.classify_table(msgs, "message")
     kw = cls.select(F.lit("keyword").alias("model"), "truth", F.col("intent").alias("pred"))
-    bl = msgs.select(F.lit("baseline").alias("model"), "truth",
-                     I.keyword_label("message", L.BASELINE_KEYWORDS).alias("pred"))
+    bl = I.label_table(msgs, "message", "pred", L.BASELINE_KEYWORDS).select(
+        F.lit("baseline").alias("model"), "truth", "pred")
     mj = SM.majority_label(msgs, "truth").select("majority").scalar()
     mjr = msgs.select(F.lit("majority").alias("model"), "truth", mj.alias("pred"))
     return kw.unionByName(bl).unionByName(mjr)
