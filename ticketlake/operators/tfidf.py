@@ -83,6 +83,29 @@ def tfidf_vectors(df: DataFrame, key: str, text: str, vocab: DataFrame, *, ngram
                       F.transform("p", lambda e: e["w"] / norm).alias("val"))
 
 
+def build_index(corpus: DataFrame, c_key: str, c_text: str, *, max_features: int = 5000, ngram_max: int = 2,
+                part: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(vocabulary, corpus vectors, dim): fitted once on the corpus."""
+    vocab = fit_vocabulary(corpus, c_key, c_text, ngram_max=ngram_max, max_features=max_features)
+    dim = max(1, vocab.count())
+    cv = tfidf_vectors(corpus, c_key, c_text, vocab, ngram_max=ngram_max)
+    if part:
+        cv = cv.join(corpus.select(F.col(c_key).alias("id"), part), "id")
+    return vocab, cv, dim
+
+
+def search(index: tuple[DataFrame, DataFrame, int], queries: DataFrame, q_key: str, q_text: str, *,
+           top_k: int = 5, min_score: float = 0.01, ngram_max: int = 2, part: str | None = None,
+           exclude_self: bool = False, q_name: str = "query_id", c_name: str = "doc_id") -> DataFrame:
+    vocab, cv, dim = index
+    qv = tfidf_vectors(queries, q_key, q_text, vocab, ngram_max=ngram_max)
+    if part:
+        qv = qv.join(queries.select(F.col(q_key).alias("id"), part), "id")
+    hits = block_topk(qv, cv, top_k, kind="sparse", dim=dim, part=part, exclude_self=exclude_self,
+                      normalize=False, block_rows=1024, q_name=q_name, c_name=c_name)
+    return hits.filter(F.col("score") >= min_score)
+
+
 def tfidf_retrieve(queries: DataFrame, q_key: str, q_text: str, corpus: DataFrame, c_key: str, c_text: str,
                    *, top_k: int = 5, min_score: float = 0.01, max_features: int = 5000, ngram_max: int = 2,
                    part: str | None = None, exclude_self: bool = False,
@@ -91,13 +114,6 @@ def tfidf_retrieve(queries: DataFrame, q_key: str, q_text: str, corpus: DataFram
     `min_score` are dropped after the cut, so fewer than k may remain. The
     vocabulary is fitted once on the corpus (not per query). With `part`,
     candidates must share the query's part value (pre-filter)."""
-    vocab = fit_vocabulary(corpus, c_key, c_text, ngram_max=ngram_max, max_features=max_features).cache()
-    dim = max(1, vocab.count())
-    qv = tfidf_vectors(queries, q_key, q_text, vocab, ngram_max=ngram_max)
-    cv = tfidf_vectors(corpus, c_key, c_text, vocab, ngram_max=ngram_max)
-    if part:
-        qv = qv.join(queries.select(F.col(q_key).alias("id"), part), "id")
-        cv = cv.join(corpus.select(F.col(c_key).alias("id"), part), "id")
-    hits = block_topk(qv, cv, top_k, kind="sparse", dim=dim, part=part, exclude_self=exclude_self,
-                      normalize=False, block_rows=1024, q_name=q_name, c_name=c_name)
-    return hits.filter(F.col("score") >= min_score)
+    index = build_index(corpus, c_key, c_text, max_features=max_features, ngram_max=ngram_max, part=part)
+    return search(index, queries, q_key, q_text, top_k=top_k, min_score=min_score, ngram_max=ngram_max,
+                  part=part, exclude_self=exclude_self, q_name=q_name, c_name=c_name)

@@ -15,7 +15,8 @@ from ticketlake.operators import reply as R
 from ticketlake.operators import rerank as RR
 from ticketlake.operators import routing as RT
 from ticketlake.operators import threads as TH
-from ticketlake.operators.tfidf import tfidf_retrieve
+from ticketlake.operators.tfidf import build_index, search
+from ticketlake.session import cut_lineage
 from ticketlake.sources import tables as S
 
 BRAND = "Brand1"
@@ -87,12 +88,16 @@ def classified(msgs: DataFrame) -> DataFrame:
     return out.withColumn("skip_retrieval", RT.retrieval_gate("message", "intent", "confidence"))
 
 
-def retrieved(msgs: DataFrame, kb: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
+def kb_index(kb: DataFrame):
+    return build_index(kb, "case_id", "customer_problem")
+
+
+def retrieved(msgs: DataFrame, kb: DataFrame, k: int = RETRIEVE_K, index=None) -> DataFrame:
     """Top-k cases per non-gated message by TF-IDF cosine (self excluded),
     with the case fields joined by key."""
     q = msgs.filter(~F.col("skip_retrieval")).select("message_id", "message")
-    hits = tfidf_retrieve(q, "message_id", "message", kb, "case_id", "customer_problem", top_k=k,
-                          exclude_self=True, q_name="message_id", c_name="case_id")
+    hits = search(index or kb_index(kb), q, "message_id", "message", top_k=k,
+                  exclude_self=True, q_name="message_id", c_name="case_id")
     fields = kb.select("case_id", I.map_labels("intent").alias("intent"), "resolution_quality",
                        "customer_problem", "resolution", "turn_count")
     return (hits.withColumnRenamed("rank", "retrieval_rank").withColumnRenamed("score", "similarity_score")
@@ -135,8 +140,11 @@ def triage(cls: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 def triage_all(spark: SparkSession, d: str) -> DataFrame:
-    kb = cases(spark, d)
-    msgs = triage_messages(spark, d)
+    # the KB is read several times (corpus, vectors, case fields, messages):
+    # materialise it once in the shared checkpoint folder
+    kb = cut_lineage(cases(spark, d))
+    msgs = kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"),
+                     I.map_labels("intent").alias("truth"))
     cls = classified(msgs)
     rr = reranked(cls, retrieved(cls, kb))
     return triage(cls, evidence(rr))
