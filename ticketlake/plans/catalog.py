@@ -372,7 +372,7 @@ JOIN alloc a ON a.label = s.intent WHERE s.rn <= a.alloc"""
 
 
 def _golden_parts(spark, d):
-    c = P.cases(spark, d)
+    c = P.kb_table(spark, d)
     alloc = SM.stratified_allocation(c, "intent", GOLDEN_N)
     return c, alloc
 
@@ -718,8 +718,9 @@ FROM (SELECT m.message_id, min(r.rerank_rank) AS hit FROM tmsg m LEFT JOIN arr r
 def recall_mrr(spark, d):
     """Retrieval evaluation: every message (>= 5 chars) retrieves 10, the
     reranker gets the golden intent, recall@1/3/5 and MRR of that intent."""
-    kb = P.cases(spark, d)
-    msgs = P.triage_messages(spark, d).filter(F.length("message") >= 5)
+    kb = P.kb_table(spark, d)
+    msgs = kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"),
+                     I.map_labels("intent").alias("truth")).filter(F.length("message") >= 5)
     q = msgs.withColumn("skip_retrieval", F.lit(False))
     ret = P.retrieved(q, kb)
     rr = P.reranked(msgs, ret, query_intent="truth")

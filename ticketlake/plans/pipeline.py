@@ -73,12 +73,18 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     return K.build_cases(labelled(spark, d))
 
 
+def kb_table(spark: SparkSession, d: str) -> DataFrame:
+    """The knowledge base as a written table (reliable checkpoint in the
+    shared folder): readers that scan it several times do not rebuild it."""
+    return cut_lineage(cases(spark, d))
+
+
 # ------------------------------------------------------------------ triage
 
 def triage_messages(spark: SparkSession, d: str) -> DataFrame:
     """New-message table: every case's customer problem is a message; its
     taxonomy label (mapped into the closed vocabulary) is the truth."""
-    c = cases(spark, d)
+    c = kb_table(spark, d)
     return c.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"),
                     I.map_labels("intent").alias("truth"))
 
@@ -142,7 +148,7 @@ def triage(cls: DataFrame, ev: DataFrame) -> DataFrame:
 def triage_all(spark: SparkSession, d: str) -> DataFrame:
     # the KB is read several times (corpus, vectors, case fields, messages):
     # materialise it once in the shared checkpoint folder
-    kb = cut_lineage(cases(spark, d))
+    kb = kb_table(spark, d)
     msgs = kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"),
                      I.map_labels("intent").alias("truth"))
     cls = classified(msgs)
