@@ -746,6 +746,76 @@ def judge_scores(spark, d):
     return M.judge_scores(ev.select("event_type", j.alias("j")), "j", ["event_type"])
 
 
+# ====================================================================== display / samples / models
+
+SAMPLE_N = 20
+EXPLORE_N = 2000
+SLICE_FROM, SLICE_LEN = 10, 10
+
+
+@register("sample_conversations", f"""SELECT conversation_id, turn_count, substring(customer_problem, 1, 120) AS problem_preview
+FROM clean ORDER BY {O._hash('conversation_id', 42)}, conversation_id LIMIT {SAMPLE_N}""")
+def sample_conversations(spark, d):
+    """Repeatable display sample (seed 42) with the problem cut to 120 chars."""
+    s = SM.seeded_sample(P.clean(spark, d), "conversation_id", SAMPLE_N, seed=42)
+    return s.select("conversation_id", "turn_count", F.substring("customer_problem", 1, 120).alias("problem_preview"))
+
+
+@register("reply_pair_slice", f"""SELECT response_id, query_id, user_query, response FROM (
+  SELECT r.tweet_id AS response_id, r.in_response_to_tweet_id AS query_id, c.text AS user_query, r.text AS response
+  FROM tw r JOIN tw c ON c.tweet_id = r.in_response_to_tweet_id WHERE r.author_id = {O.BRAND} AND NOT r.inbound)
+ORDER BY CAST(response_id AS BIGINT) LIMIT {SLICE_LEN} OFFSET {SLICE_FROM}""")
+def reply_pair_slice(spark, d):
+    """Row display by position: pairs [10, 20) in response order."""
+    pairs = TH.reply_pairs(P.tweets(spark, d), P.BRAND)
+    return pairs.orderBy(F.col("response_id").cast("long")).offset(SLICE_FROM).limit(SLICE_LEN)
+
+
+@register("intent_exploration", f"""SELECT intent AS label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM (SELECT CASE WHEN customer_problem IS NULL THEN {G.lit(L.DEFAULT_INTENT)} ELSE {G.label_case(L.TAXONOMY_KEYWORDS, 't')} END AS intent
+  FROM (SELECT customer_problem, {G.score_cols(G.lower_text('customer_problem'), L.TAXONOMY_KEYWORDS, 't')}
+    FROM (SELECT * FROM clean ORDER BY {O._hash('conversation_id', 42)}, conversation_id LIMIT {EXPLORE_N})))
+GROUP BY intent""")
+def intent_exploration(spark, d):
+    """Label a seeded sample of at most 2,000 conversations and report the
+    label distribution."""
+    s = SM.seeded_sample(P.clean(spark, d), "conversation_id", EXPLORE_N, seed=42)
+    return PR.label_distribution(I.label_table(s, "customer_problem", "intent"), "intent")
+
+
+@register("case_summary", """SELECT c.message_id, coalesce(string_agg(printf('%s score=%.3f quality=%s', r.case_id, round(r.rerank_score, 3),
+  r.resolution_quality), '; ' ORDER BY r.rerank_rank) FILTER (WHERE r.rerank_rank <= 5), '') AS top_cases
+FROM cls c LEFT JOIN rr r USING (message_id) GROUP BY c.message_id""")
+def case_summary(spark, d):
+    """Top-5 reranked cases per message as `id score=x.xxx quality=q; ...`."""
+    t = _triage(spark, d)
+    top = F.slice(F.coalesce("cases", F.array()), 1, 5)
+    item = lambda c: F.format_string("%s score=%.3f quality=%s", c["case_id"], F.round(c["rerank_score"], 3),
+                                     c["resolution_quality"])
+    return t.select("message_id", F.array_join(F.transform(top, item), "; ").alias("top_cases"))
+
+
+def logreg_baseline(spark, d):
+    """TF-IDF + logistic regression on the labelled documents (quality
+    label), stratified 80/20 split; accuracy / macro / weighted F1 next to
+    the majority baseline. Model fitting is iterative: rows-only check."""
+    from ticketlake.operators import models as MD
+    lab = S.read_table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("y"))
+    docs = S.read_table(spark, d, "documents").select("doc_id", "text")
+    data = SM.stratified_split(lab.join(docs, "doc_id"), "y", "doc_id", 0.2, 42)
+    train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    model = MD.fit_logreg(train, "text", "y", max_iter=100)
+    lr = MD.predict_labels(model, test, "y").select(F.lit("tfidf_logreg").alias("model"),
+                                                    F.col("y").alias("truth"), "pred")
+    mj = SM.majority_label(train, "y").select("majority").scalar()
+    maj = test.select(F.lit("majority").alias("model"), F.col("y").alias("truth"), mj.alias("pred"))
+    out = M.summary(M.per_label(lr.unionByName(maj)))
+    return out.select("model", *[r6(F.col(c)).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")], "n")
+
+
+QUERIES["logreg_baseline"] = logreg_baseline
+
+
 # ====================================================================== L2
 
 def _stream(spark, d):
