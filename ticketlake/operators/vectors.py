@@ -13,12 +13,18 @@ task memory whatever the skew of an optional equality constraint (`part`).
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark import cloudpickle
+
+# ship the block kernel with the task (pickled by value), so executors do
+# not need this package installed or on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def l2_normalize(c: str | Column) -> Column:

@@ -69,8 +69,22 @@ TWEET_SCHEMA = T.StructType([
 ])
 
 
+# tables whose rows carry long texts: per-row regex / tokenising work dominates
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the scan yields fewer splits
+    than cores (e.g. a single Parquet row group). On a cluster reading large
+    inputs the scan already has more splits than cores, so this is a no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _pick(phrases: list[str], idx: F.Column) -> F.Column:
