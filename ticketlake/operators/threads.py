@@ -190,31 +190,47 @@ def two_sided_roots(rooted_tweets: DataFrame, brand: str) -> DataFrame:
 # ------------------------------------------------------------------ B14-B19
 
 def assemble_conversations(turns: DataFrame, brand_speaker: str = "Brand",
-                           customer_speaker: str = "Customer") -> DataFrame:
+                           customer_speaker: str = "Customer", chunk_unit: str = "hour") -> DataFrame:
     """One row per conversation from a turn table (conversation_id, tweet_id
     BIGINT, is_brand, inbound, created_at, text): transcript, customer side,
-    brand side and stats in a single aggregation. Order: time (nulls last),
-    then tweet id; null texts are skipped."""
+    brand side and stats. Order: time (nulls last), then tweet id; null texts
+    are skipped.
+
+    Two-level aggregation so a hot conversation is never sorted or collected
+    whole in one task: level 1 groups (conversation, time bucket of
+    `chunk_unit`) and renders sorted partial texts plus partial stats; level 2
+    concatenates the bucket parts in bucket order (one small element per
+    bucket). Buckets are contiguous in the sort order, so the result equals a
+    single global sort per conversation."""
+    chunk = F.date_trunc(chunk_unit, F.col("created_at"))
     t = F.array_sort(F.collect_list(F.struct(
         F.col("created_at").isNull().alias("ts_null"), F.col("created_at").alias("ts"),
         F.col("tweet_id").alias("id"), F.col("is_brand").alias("b"), F.col("text").alias("x"))))
-    g = turns.groupBy("conversation_id").agg(
+    lvl1 = turns.groupBy("conversation_id", chunk.alias("chunk")).agg(
         t.alias("t"),
-        F.count("tweet_id").alias("turn_count"),
-        F.count_if(F.col("inbound")).cast("long").alias("customer_turns"),
-        F.min("created_at").alias("first_timestamp"),
-        F.max("created_at").alias("last_timestamp"))
+        F.count("tweet_id").alias("n"),
+        F.count_if(F.col("inbound")).cast("long").alias("n_in"),
+        F.min("created_at").alias("mn"),
+        F.max("created_at").alias("mx"))
     with_text = F.filter("t", lambda e: e["x"].isNotNull())
     speaker = lambda e: F.when(e["b"], F.lit(brand_speaker)).otherwise(F.lit(customer_speaker))
-    return g.select(
-        "conversation_id",
-        F.array_join(F.transform(with_text, lambda e: F.concat(speaker(e), F.lit(": "), e["x"])), "\n")
-         .alias("conversation"),
-        F.array_join(F.transform(F.filter(with_text, lambda e: ~e["b"]), lambda e: e["x"]), "\n")
-         .alias("customer_problem"),
-        F.array_join(F.transform(F.filter(with_text, lambda e: e["b"]), lambda e: e["x"]), "\n")
-         .alias("brand_responses"),
-        "turn_count", "customer_turns", "first_timestamp", "last_timestamp")
+    parts = lvl1.select(
+        "conversation_id", "chunk", "n", "n_in", "mn", "mx",
+        F.array_join(F.transform(with_text, lambda e: F.concat(speaker(e), F.lit(": "), e["x"])), "\n").alias("pc"),
+        F.array_join(F.transform(F.filter(with_text, lambda e: ~e["b"]), lambda e: e["x"]), "\n").alias("pu"),
+        F.array_join(F.transform(F.filter(with_text, lambda e: e["b"]), lambda e: e["x"]), "\n").alias("pb"))
+    g = parts.groupBy("conversation_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("chunk").isNull().alias("cn"), "chunk", "pc", "pu", "pb")))
+         .alias("p"),
+        F.sum("n").alias("turn_count"), F.sum("n_in").alias("customer_turns"),
+        F.min("mn").alias("first_timestamp"), F.max("mx").alias("last_timestamp"))
+
+    def joined(field: str) -> Column:
+        return F.array_join(F.filter(F.transform("p", lambda e: e[field]), lambda s: s != ""), "\n")
+
+    return g.select("conversation_id", joined("pc").alias("conversation"), joined("pu").alias("customer_problem"),
+                    joined("pb").alias("brand_responses"), F.col("turn_count").cast("long").alias("turn_count"),
+                    F.col("customer_turns").cast("long").alias("customer_turns"), "first_timestamp", "last_timestamp")
 
 
 def clean_conversations(conv: DataFrame, min_turns: int = 2) -> DataFrame:
