@@ -47,3 +47,18 @@ def evidence_text(cases: str | Column, brand_label: str = "Brand", width: int =
 def escalation_message(reason: str | Column, intent: str | Column, confidence: str | Column) -> Column:
     return F.format_string("This message has been escalated to a human agent.\nReason: %s\nIntent: %s (confidence: %.2f)",
                            col(reason), col(intent), F.round(col(confidence), 2))
+
+
+# Prompt table for an external batch scorer. The wording is ours and is a
+# parameter; placeholders are named columns.
+JUDGE_TEMPLATE = ("Score this support reply from 1 to 5 on groundedness, correctness, helpfulness, safety "
+                  "and escalation. Answer with a JSON object of those five keys.\n"
+                  "Message: {message}\nIntent: {intent}\nReply: {response}\nEvidence: {evidence}")
+
+
+def prompt_rows(template: str, **fields: Column) -> Column:
+    """Fill `{name}` placeholders from columns (format_string, no UDF)."""
+    import re
+    names = re.findall(r"{(\w+)}", template)
+    fmt = re.sub(r"{\w+}", "%s", template.replace("%", "%%"))
+    return F.format_string(fmt, *[F.coalesce(fields[n], F.lit("")) for n in names])

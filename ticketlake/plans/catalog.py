@@ -816,6 +816,72 @@ def logreg_baseline(spark, d):
 QUERIES["logreg_baseline"] = logreg_baseline
 
 
+_rk = {
+    "qk": "SELECT message_id, message FROM tmsg WHERE length(message) >= 5",
+    **O._tfidf("rk", "cases", "case_id", "customer_problem", "qk", "message_id", "message",
+               max_features=5000, k=5, exclude_self=True),
+}
+_rk["rke"] = """SELECT qid AS message_id, count(*) AS n_cases, avg(score) AS avg_score FROM rk_top WHERE score >= 0.01 GROUP BY qid"""
+_rk["rkr0"] = f"""SELECT m.message_id, m.truth, {G.contains_any(G.lower_text('m.message'), L.ACCOUNT_KEYWORDS)} AS acct,
+  {G.risk_expr('m.truth', '0.8::DOUBLE', 'e.n_cases', 'e.avg_score')} AS risk0 FROM tmsg m LEFT JOIN rke e USING (message_id)"""
+_rk["rkr"] = f"""SELECT message_id, CASE WHEN {G.in_list('truth', L.ESCALATION_INTENTS)} THEN 'escalate' ELSE 'auto_handle' END AS t,
+  CASE WHEN (CASE WHEN acct THEN least(risk0 + {G.dbl(L.ACCOUNT_RISK_BUMP)}, 1.0::DOUBLE) ELSE risk0 END) >= {G.dbl(L.ESCALATION_THRESHOLD)}
+       THEN 'escalate' ELSE 'auto_handle' END AS p FROM rkr0"""
+
+
+@register("router_with_evidence", """SELECT count(*) AS n, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  count(*) FILTER (WHERE t = 'auto_handle' AND p = 'auto_handle') AS auto_auto,
+  count(*) FILTER (WHERE t = 'auto_handle' AND p = 'escalate') AS auto_escalate,
+  count(*) FILTER (WHERE t = 'escalate' AND p = 'auto_handle') AS escalate_auto,
+  count(*) FILTER (WHERE t = 'escalate' AND p = 'escalate') AS escalate_escalate,
+  round(CASE WHEN count(*) FILTER (WHERE t = 'escalate') > 0 THEN count(*) FILTER (WHERE t = 'escalate' AND p = 'auto_handle')
+    / count(*) FILTER (WHERE t = 'escalate') ELSE 0.0 END, 6) AS false_auto_rate FROM rkr""", _rk)
+def router_with_evidence(spark, d):
+    """Router evaluation with evidence: golden intent, confidence 0.8, the
+    top-5 retrieved cases (similarity scores, not reranked) of every message
+    of at least 5 characters."""
+    kb = P.kb_table(spark, d)
+    msgs = kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"),
+                     I.map_labels("intent").alias("truth"))
+    q = msgs.filter(F.length("message") >= 5).withColumn("skip_retrieval", F.lit(False))
+    ret = P.retrieved(q, kb, k=5)
+    ev = ret.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_cases"), F.avg("similarity_score").alias("avg_score"))
+    j = msgs.join(ev, "message_id", "left")
+    r = RT.route("truth", F.lit(0.8), F.coalesce("n_cases", F.lit(0)), "avg_score", "message")
+    t = F.when(F.col("truth").isin(*L.ESCALATION_INTENTS), "escalate").otherwise("auto_handle")
+    pr = j.select(t.alias("t"), r["action"].alias("p"))
+    cell = lambda a, b: F.count_if((F.col("t") == a) & (F.col("p") == b))
+    pos = F.count_if(F.col("t") == "escalate")
+    return pr.agg(F.count(F.lit(1)).alias("n"),
+                  r6(F.avg(F.when(F.col("t") == F.col("p"), 1.0).otherwise(0.0))).alias("accuracy"),
+                  cell("auto_handle", "auto_handle").alias("auto_auto"), cell("auto_handle", "escalate").alias("auto_escalate"),
+                  cell("escalate", "auto_handle").alias("escalate_auto"), cell("escalate", "escalate").alias("escalate_escalate"),
+                  r6(F.coalesce(F.try_divide(cell("escalate", "auto_handle").cast("double"), pos.cast("double")),
+                                F.lit(0.0))).alias("false_auto_rate"))
+
+
+_jp_fmt = R.JUDGE_TEMPLATE.replace("%", "%%")
+import re as _re
+_jp_names = _re.findall(r"{(\w+)}", R.JUDGE_TEMPLATE)
+_jp_sql_fmt = _re.sub(r"{\w+}", "%s", _jp_fmt)
+_jp_args = {"message": "coalesce(t.message, '')", "intent": "coalesce(t.intent, '')",
+            "response": "coalesce(t.response, '')", "evidence": "coalesce(e.evidence, '')"}
+
+
+@register("judge_prompts", f"""SELECT t.message_id, printf({G.lit(_jp_sql_fmt)}, {', '.join(_jp_args[n] for n in _jp_names)}) AS prompt
+FROM tri_out t LEFT JOIN (SELECT message_id, substring(string_agg(case_id || ':' || resolution_quality, ',' ORDER BY rerank_rank), 1, 500) AS evidence
+  FROM rr WHERE rerank_rank <= 2 GROUP BY message_id) e USING (message_id)""")
+def judge_prompts(spark, d):
+    """Judge prompt rows for an external scorer: message, intent, reply and
+    the first two evidence cases (id:quality, cut to 500 chars)."""
+    t = _triage(spark, d)
+    ev = F.substring(F.array_join(F.transform(F.slice(F.coalesce("cases", F.array()), 1, 2),
+                                              lambda c: F.concat(c["case_id"], F.lit(":"), c["resolution_quality"])), ","),
+                     1, 500)
+    return t.select("message_id", R.prompt_rows(R.JUDGE_TEMPLATE, message=F.col("message"), intent=F.col("intent"),
+                                                response=F.col("response"), evidence=ev).alias("prompt"))
+
+
 # ====================================================================== L2
 
 def _stream(spark, d):
