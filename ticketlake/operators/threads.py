@@ -97,7 +97,10 @@ def brand_seed_ids(tweets: DataFrame, brand: str) -> DataFrame:
 def thread_closure(tweets: DataFrame, brand: str, max_rounds: int = 100000) -> DataFrame:
     """Tweets reachable from the brand seed by repeatedly adding parents and
     children of every *existing* tweet in the set (ids that have no row are
-    kept in the set but not expanded). Only the frontier is expanded."""
+    kept in the set but not expanded). Only the frontier is expanded; the
+    tweet table (read by the seed, the edges and the final filter) is
+    materialised once."""
+    tweets = cut_lineage(tweets)
     nbr = neighbours(tweets).persist()
     seen = cut_lineage(brand_seed_ids(tweets, brand))
     frontier = seen
