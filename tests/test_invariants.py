@@ -72,3 +72,20 @@ def test_kb_build_job(spark):
     # partitioned by intent: a pre-filter prunes directories
     plan = cases.filter(F.col("intent") == "refund_issue")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(intent" in plan
+
+
+def test_triage_job_and_metrics_report(spark):
+    import json
+    from ticketlake.plans.jobs import metrics_report, triage_job
+    d = tempfile.mkdtemp(prefix="tl-tri-")
+    path = triage_job(spark, SF, d)
+    recs = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert len(recs) == queries()["triage_batch"](spark, SF).count()
+    assert {"customer_message", "intent", "confidence", "action", "risk_score", "escalate",
+            "evidence_case_ids"} <= set(recs[0])
+    pred = spark.createDataFrame([("m", "a", "a"), ("m", "b", "a")], "model string, truth string, pred string")
+    route = spark.createDataFrame([("escalate", "auto_handle"), ("auto_handle", "auto_handle")],
+                                  "truth string, pred string")
+    rep = json.loads(metrics_report(spark, pred, route, elapsed_seconds=1.5))
+    assert rep["routing"]["false_auto_rate"] == 1.0 and rep["elapsed_seconds"] == 1.5
+    assert rep["intent_classification"][0]["accuracy"] == 0.5

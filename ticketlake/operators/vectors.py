@@ -99,3 +99,25 @@ def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "den
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
     return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select(F.col("q").alias(q_name), F.col("c").alias(c_name), "rank", "score"))
+
+
+def filtered_topk(queries: DataFrame, cands: DataFrame, k: int, part: str, *, mode: str = "pre",
+                  **kw) -> DataFrame:
+    """Top-k among candidates sharing the query's `part` value.
+
+    mode="pre": exact (filter, then rank). mode="post": fetch the top
+    min(3k, N) over all candidates, then keep those in the query's part, so
+    fewer than k may remain (the over-fetch rule). Ranks are renumbered
+    after the filter."""
+    if mode == "pre":
+        return block_topk(queries, cands, k, part=part, **kw)
+    if mode != "post":
+        raise ValueError(mode)
+    q_name, c_name = kw.get("q_name", "query_id"), kw.get("c_name", "case_id")
+    wide = block_topk(queries.drop(part), cands.drop(part), 3 * k, **kw)
+    qp = queries.select(F.col("id").alias(q_name), F.col(part).alias("_qp"))
+    cp = cands.select(F.col("id").alias(c_name), F.col(part).alias("_cp"))
+    kept = wide.join(qp, q_name).join(cp, c_name).filter(F.col("_qp") == F.col("_cp"))
+    w = Window.partitionBy(q_name).orderBy("rank")
+    return (kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                .select(q_name, c_name, "rank", "score"))

@@ -882,6 +882,18 @@ def judge_prompts(spark, d):
                                                 response=F.col("response"), evidence=ev).alias("prompt"))
 
 
+@register("topk_cosine_postfilter", f"""SELECT query_id, case_id, rn AS rank, score FROM (
+  SELECT t.query_id, t.case_id, t.score, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS rn
+  FROM ({_emb_top(False).replace(f'rank <= {TOPK}', f'rank <= {3 * TOPK}')}) t
+  JOIN embeddings a ON a.vec_id = t.query_id JOIN embeddings b ON b.vec_id = t.case_id WHERE a.label = b.label)
+WHERE rn <= {TOPK}""", _emb)
+def topk_cosine_postfilter(spark, d):
+    """Label-filtered top-k by the over-fetch rule (3k, then filter)."""
+    e = _emb_frame(spark, d)
+    out = V.filtered_topk(e, e, TOPK, "label", mode="post", exclude_self=True)
+    return out.withColumn("score", r6(F.col("score")))
+
+
 # ====================================================================== L2
 
 def _stream(spark, d):
