@@ -94,13 +94,12 @@ def brand_seed_ids(tweets: DataFrame, brand: str) -> DataFrame:
 
 # ------------------------------------------------------------------ B10
 
-def thread_closure(tweets: DataFrame, brand: str, max_rounds: int = 100000) -> DataFrame:
+def _closure_frontier(tweets: DataFrame, brand: str, max_rounds: int = 100000) -> DataFrame:
     """Tweets reachable from the brand seed by repeatedly adding parents and
     children of every *existing* tweet in the set (ids that have no row are
-    kept in the set but not expanded). Only the frontier is expanded; the
-    tweet table (read by the seed, the edges and the final filter) is
-    materialised once."""
-    tweets = cut_lineage(tweets)
+    kept in the set but not expanded). Only the frontier is expanded. The
+    caller passes a materialised tweet table (read by the seed, the edges and
+    the final filter)."""
     nbr = neighbours(tweets).persist()
     seen = cut_lineage(brand_seed_ids(tweets, brand))
     frontier = seen
@@ -117,6 +116,70 @@ def thread_closure(tweets: DataFrame, brand: str, max_rounds: int = 100000) -> D
     return tweets.join(seen.withColumnRenamed("id", "tweet_id"), "tweet_id", "left_semi")
 
 
+def edges_consistent(tweets: DataFrame) -> bool:
+    """True when, between existing tweets, every listed child points back to
+    its lister and every parent pointer is listed by the parent: then reply
+    edges are symmetric and reachability equals connectivity."""
+    ids = tweets.select(F.col("tweet_id").alias("c"))
+    listed = (explode_children(tweets).select(F.col("tweet_id").alias("x"), F.col("child_id").alias("c"))
+              .join(ids, "c", "left_semi").distinct().withColumn("l", F.lit(True)))
+    pointed = (tweets.filter(F.col("in_response_to_tweet_id") != "")
+               .select(F.col("in_response_to_tweet_id").alias("x"), F.col("tweet_id").alias("c"))
+               .join(ids.select(F.col("c").alias("x")), "x", "left_semi").distinct().withColumn("p", F.lit(True)))
+    j = listed.join(pointed, ["x", "c"], "full_outer")
+    return j.filter(F.col("l").isNull() | F.col("p").isNull()).isEmpty()
+
+
+def _cycle_labels(parents: DataFrame, rooted: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(root_id, comp): a root on a cycle (its own root, yet it has an
+    existing parent other than itself) gets the smallest id of its cycle, by
+    min-doubling along the cycle; other roots label themselves."""
+    p = parents.select(F.col("tweet_id").alias("node"), F.col("in_response_to_tweet_id").alias("parent"))
+    roots = rooted.select(F.col("root_id").alias("node")).distinct()
+    on_cycle = (roots.join(p, "node")
+                .join(p.select(F.col("node").alias("parent")), "parent", "left_semi")
+                .filter(F.col("parent") != F.col("node")))
+    cur = cut_lineage(on_cycle.select("node", F.col("parent").alias("ptr"), F.col("node").alias("m")))
+    for _ in range(max_rounds):
+        a, b = cur.alias("a"), cur.alias("b")
+        nxt = cut_lineage(a.join(b, F.col("a.ptr") == F.col("b.node")).select(
+            F.col("a.node").alias("node"), F.col("b.ptr").alias("ptr"),
+            F.least(F.col("a.m"), F.col("b.m")).alias("m")))
+        changed = nxt.join(cur.select("node", F.col("m").alias("m0")), "node").filter(F.col("m") != F.col("m0"))
+        cur = nxt
+        if changed.isEmpty():
+            break
+    labels = cur.select(F.col("node").alias("root_id"), F.col("m").alias("comp"))
+    return (roots.select(F.col("node").alias("root_id")).join(labels, "root_id", "left")
+                 .select("root_id", F.coalesce("comp", "root_id").alias("comp")))
+
+
+def thread_closure(tweets: DataFrame, brand: str, method: str = "auto", max_rounds: int = 100000,
+                   with_roots: bool = False) -> DataFrame:
+    """Tweets reachable from the brand seed (brand tweets, their parents and
+    children) by repeatedly adding parents and listed children of existing
+    tweets.
+
+    method="frontier": one join round per hop (rounds = graph diameter).
+    method="components": for consistent dumps, the union of reply-graph
+    components holding a brand tweet: pointer-doubling roots, cycles labelled
+    by their smallest id, O(log depth) rounds. "auto" checks consistency
+    with one edge join and picks components when it holds.
+    `with_roots=True` adds `root_id` (the parent-walk root within the
+    closure), reusing the component path's roots: every existing parent of a
+    closure member is itself in the closure."""
+    tweets = cut_lineage(tweets)
+    if method == "frontier" or (method == "auto" and not edges_consistent(tweets)):
+        rel = cut_lineage(_closure_frontier(tweets, brand, max_rounds))
+        return rel.join(thread_roots(rel), "tweet_id") if with_roots else rel
+    rooted = cut_lineage(thread_roots(tweets))
+    comp = rooted.join(_cycle_labels(tweets, rooted), "root_id").select("tweet_id", "root_id", "comp")
+    hit = comp.join(tweets.filter(F.col("author_id") == brand).select("tweet_id"), "tweet_id", "left_semi") \
+              .select("comp").distinct()
+    keep = comp.join(hit, "comp", "left_semi").select("tweet_id", "root_id")
+    return tweets.join(keep, "tweet_id") if with_roots else tweets.join(keep.select("tweet_id"), "tweet_id", "left_semi")
+
+
 # ------------------------------------------------------------------ B11
 
 def _double(p: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:

@@ -97,7 +97,7 @@ def thread_closure(spark, d):
 
 @register("thread_roots", "SELECT tweet_id, root_id FROM roots")
 def thread_roots(spark, d):
-    return TH.thread_roots(P.closure(spark, d))
+    return P.rooted(spark, d).select("tweet_id", "root_id")
 
 
 @register("thread_sizes", "SELECT root_id, count(*) AS n_tweets FROM rooted GROUP BY root_id")

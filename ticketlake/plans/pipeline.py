@@ -35,8 +35,8 @@ def closure(spark: SparkSession, d: str, brand: str = BRAND) -> DataFrame:
 
 
 def rooted(spark: SparkSession, d: str, brand: str = BRAND) -> DataFrame:
-    rel = closure(spark, d, brand)
-    return rel.join(TH.thread_roots(rel), "tweet_id")
+    """Closure tweets with their thread root."""
+    return TH.thread_closure(tweets(spark, d), brand, with_roots=True)
 
 
 def thread_conversations(spark: SparkSession, d: str, brand: str = BRAND) -> DataFrame:
