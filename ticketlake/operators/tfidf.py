@@ -121,11 +121,11 @@ def search(index: tuple[DataFrame, DataFrame, int], queries: DataFrame, q_key: s
     qv = tfidf_vectors(queries, q_key, q_text, vocab, ngram_max=ngram_max)
     if part:
         qv = qv.join(queries.select(F.col(q_key).alias("id"), part), "id")
-    # each block is densified to rows x dim doubles: keep one side under
-    # ~64 MB whatever the vocabulary size
+    # query blocks and candidate chunks are densified to rows x dim doubles:
+    # keep each under ~64 MB whatever the vocabulary size
     rows = max(64, min(1024, (64 << 20) // (8 * dim)))
     hits = block_topk(qv, cv, top_k, kind="sparse", dim=dim, part=part, exclude_self=exclude_self,
-                      normalize=False, block_rows=rows, q_name=q_name, c_name=c_name)
+                      normalize=False, block_rows=rows, chunk_rows=rows, q_name=q_name, c_name=c_name)
     return hits.filter(F.col("score") >= min_score)
 
 

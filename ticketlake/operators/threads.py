@@ -308,12 +308,3 @@ def clean_conversations(conv: DataFrame, min_turns: int = 2) -> DataFrame:
     })
     return c.filter((F.col("customer_problem") != "") & (F.col("brand_responses") != "")
                     & (F.col("turn_count") >= min_turns))
-
-
-def thread_turns(tweets: DataFrame, roots: DataFrame, two_sided: DataFrame, brand: str) -> DataFrame:
-    """Turn table of the two-sided threads of one brand (ids as BIGINT)."""
-    t = tweets.join(roots, "tweet_id").join(two_sided.select("root_id"), "root_id", "left_semi")
-    return t.select(F.col("root_id").alias("conversation_id"),
-                    F.col("tweet_id").cast("long").alias("tweet_id"),
-                    (F.col("author_id") == brand).alias("is_brand"),
-                    F.col("inbound"), F.col("created_at"), F.col("text"))

@@ -47,43 +47,71 @@ def _dense(pdf: pd.DataFrame, kind: str, dim: int | None) -> np.ndarray:
     return m
 
 
-def _block_fn(k: int, kind: str, dim: int | None, exclude_self: bool, normalize: bool):
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    np.divide(m, n, out=m, where=n > 0)
+    return m
+
+
+def _block_fn(k: int, kind: str, dim: int | None, exclude_self: bool, normalize: bool, chunk_rows: int):
+    """Per (query block, candidate block): densify the candidate block chunk
+    by chunk, one matmul per chunk, keep each query's top-k of the chunk plus
+    exact ties at the cut. Memory is bounded by the query block and one
+    chunk, not by the candidate block."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q": pd.Series([], dtype=object), "c": pd.Series([], dtype=object),
                               "score": pd.Series([], dtype="float64")})
         if len(q) == 0 or len(c) == 0:
             return empty
-        Q, C = _dense(q, kind, dim), _dense(c, kind, dim)
+        Q = _dense(q, kind, dim)
         if normalize:
-            for m in (Q, C):
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                np.divide(m, n, out=m, where=n > 0)
-        S = np.round(Q @ C.T, 12)
-        qid, cid = q["id"].to_numpy(), c["id"].to_numpy()
-        if exclude_self:
-            S[qid[:, None] == cid[None, :]] = -np.inf
-        kk = min(k, S.shape[1])
-        kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1:kk]
-        keep = (S >= kth) & np.isfinite(S)
-        qi, ci = np.nonzero(keep)
-        return pd.DataFrame({"q": qid[qi], "c": cid[ci], "score": S[qi, ci]})
+            Q = _unit(Q)
+        qid = q["id"].to_numpy()
+        out = []
+        for start in range(0, len(c), chunk_rows):
+            part = c.iloc[start:start + chunk_rows]
+            C = _dense(part, kind, dim)
+            if normalize:
+                C = _unit(C)
+            S = np.round(Q @ C.T, 12)
+            cid = part["id"].to_numpy()
+            if exclude_self:
+                S[qid[:, None] == cid[None, :]] = -np.inf
+            kk = min(k, S.shape[1])
+            kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1:kk]
+            keep = (S >= kth) & np.isfinite(S)
+            qi, ci = np.nonzero(keep)
+            out.append(pd.DataFrame({"q": qid[qi], "c": cid[ci], "score": S[qi, ci]}))
+        return pd.concat(out, ignore_index=True) if out else empty
     return fn
 
 
 def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "dense", dim: int | None = None,
                part: str | None = None, exclude_self: bool = False, normalize: bool = True,
-               block_rows: int = 2048, q_name: str = "query_id", c_name: str = "case_id") -> DataFrame:
+               block_rows: int = 2048, cand_block_bytes: int = 256 << 20, chunk_rows: int = 2048,
+               q_name: str = "query_id", c_name: str = "case_id") -> DataFrame:
     """Exact top-k per query by inner product (cosine when `normalize`).
 
     queries / cands: columns `id` plus `vec` (dense ARRAY) or `idx`/`val`
     (sparse ARRAY<INT>/ARRAY<DOUBLE>, `dim` required), and `part` when given
     (candidates must share the query's part value: a pre-filter).
     Returns (q_name, c_name, rank, score) with ties broken by candidate id.
+
+    Query blocks hold at most `block_rows` rows; candidate blocks are sized
+    by their stored bytes (`cand_block_bytes`, from a measured average row
+    size), so a candidate table within the budget is a single block and the
+    queries are not replicated at all. Each query is shuffled once per
+    candidate block and each candidate once per query block.
     """
     vcols = ["vec"] if kind == "dense" else ["idx", "val"]
     pcols = [part] if part else []
-    nq, nc = queries.count(), cands.count()
-    qb, cb = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nc / block_rows))
+    width = F.size(vcols[0])
+    nq = queries.count()
+    cstats = cands.agg(F.count(F.lit(1)).alias("n"), F.avg(width).alias("w")).first()
+    nc, avg_w = cstats["n"], float(cstats["w"] or 1.0)
+    row_bytes = 16 + avg_w * (8 if kind == "dense" else 12)
+    c_rows = max(chunk_rows, int(cand_block_bytes // row_bytes))
+    qb, cb = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nc / c_rows))
     qt = queries.schema["id"].dataType
     ct = cands.schema["id"].dataType
     q = (queries.select("id", *vcols, *pcols)
@@ -95,7 +123,7 @@ def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "den
     keys = ["qblk", "cblk", *pcols]
     schema = T.StructType([T.StructField("q", qt), T.StructField("c", ct), T.StructField("score", T.DoubleType())])
     hits = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
-        _block_fn(k, kind, dim, exclude_self, normalize), schema)
+        _block_fn(k, kind, dim, exclude_self, normalize, chunk_rows), schema)
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
     return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select(F.col("q").alias(q_name), F.col("c").alias(c_name), "rank", "score"))

@@ -77,8 +77,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over all cores when the scan yields fewer splits
     than cores (e.g. a single Parquet row group). On a cluster reading large
     inputs the scan already has more splits than cores, so this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no partition introspection (e.g. a remote session): leave as is
+        return df
     return df.repartition(cores) if parts < cores else df
 
 
