@@ -88,7 +88,7 @@ def _block_fn(k: int, kind: str, dim: int | None, exclude_self: bool, normalize:
 
 def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "dense", dim: int | None = None,
                part: str | None = None, exclude_self: bool = False, normalize: bool = True,
-               block_rows: int = 2048, cand_block_bytes: int = 256 << 20, chunk_rows: int = 2048,
+               block_rows: int = 2048, cand_block_bytes: int = 128 << 20, chunk_rows: int = 2048,
                q_name: str = "query_id", c_name: str = "case_id") -> DataFrame:
     """Exact top-k per query by inner product (cosine when `normalize`).
 

@@ -169,6 +169,12 @@ def pii_mask_each(spark, d):
     return wide.selectExpr(f"stack({len(L.PII_PATTERNS)}, {stack}) AS (pii_type, rows_hit, n_matches)")
 
 
+@register("pii_mask_pages", f"SELECT page_id, {G.mask('url')} AS url, {G.mask('html')} AS html FROM pages")
+def pii_mask_pages(spark, d):
+    """Mask every STRING column of the page table (no column list given)."""
+    return pii.mask_columns(S.read_table(spark, d, "pages"))
+
+
 # ====================================================================== 2.D
 
 @register("quality_reasons", "SELECT conversation_id, reason FROM proc")
