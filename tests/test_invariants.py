@@ -89,3 +89,17 @@ def test_triage_job_and_metrics_report(spark):
     rep = json.loads(metrics_report(spark, pred, route, elapsed_seconds=1.5))
     assert rep["routing"]["false_auto_rate"] == 1.0 and rep["elapsed_seconds"] == 1.5
     assert rep["intent_classification"][0]["accuracy"] == 0.5
+
+
+@pytest.mark.parametrize("name", ["id_normalise", "conversation_stats", "clean_conversations"])
+def test_session_time_zone_independent(spark, name):
+    q = queries()[name]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = []
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            out.append(_rows(q(spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert out[0] == out[1] == out[2]

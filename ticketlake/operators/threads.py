@@ -29,8 +29,11 @@ def normalise_id_list(c: str | Column) -> Column:
 
 
 def parse_timestamp(c: str | Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """One fixed format; anything else -> null (TIMESTAMP_NTZ)."""
-    return F.try_to_timestamp(col(c), F.lit(fmt)).cast("timestamp_ntz")
+    """One fixed format; anything else -> null (TIMESTAMP_NTZ). The tolerant
+    parse only guards validity; the value comes from the zone-free NTZ parse,
+    evaluated only for parseable rows, so no session time zone can shift it."""
+    ok = F.try_to_timestamp(col(c), F.lit(fmt)).isNotNull()
+    return F.when(ok, F.to_timestamp_ntz(col(c), F.lit(fmt)))
 
 
 def normalise_tweets(raw: DataFrame, fmt: str = "yyyy-MM-dd HH:mm:ss",
