@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import strip_ws, word_count
@@ -16,13 +16,45 @@ def _median(c, approx: bool):
     return F.percentile_approx(c, 0.5, 10000) if approx else F.percentile(c, 0.5)
 
 
+def exact_percentiles(df: DataFrame, c: str | Column, ps: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation percentiles (the `percentile` /
+    `quantile_cont` definition) of a discrete column without buffering the
+    values in one task: a value histogram (partial aggregation; one row per
+    distinct value), cumulative counts over it, then the two values that
+    bracket rank p*(n-1). Windows run on the histogram only, whose size is the
+    number of distinct values, not rows. One row, one column per name."""
+    x = F.col(c) if isinstance(c, str) else c
+    hist = df.select(x.cast("double").alias("v")).filter(F.col("v").isNotNull()) \
+             .groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
+    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = (hist.withColumn("hi", F.sum("cnt").over(run))
+                .withColumn("lo", F.col("hi") - F.col("cnt"))
+                .withColumn("n", F.sum("cnt").over(Window.partitionBy())))
+    aggs = []
+    for name, p in ps.items():
+        pos = F.lit(p) * (F.col("n") - 1)
+        r0, r1 = F.floor(pos), F.ceil(pos)
+        at = lambda r: (F.col("lo") <= r) & (r < F.col("hi"))
+        hist = hist.withColumn(f"_{name}_pos", pos)
+        aggs += [F.max(F.when(at(r0), F.col("v"))).alias(f"_{name}_v0"),
+                 F.max(F.when(at(r1), F.col("v"))).alias(f"_{name}_v1"),
+                 F.max(F.col(f"_{name}_pos") - r0).alias(f"_{name}_f")]
+    out = hist.agg(*aggs)
+    return out.select(*[(F.col(f"_{n}_v0") + F.col(f"_{n}_f") * (F.col(f"_{n}_v1") - F.col(f"_{n}_v0"))).alias(n)
+                        for n in ps])
+
+
+def _exact_median(df: DataFrame, c) -> Column:
+    return exact_percentiles(df, c, {"m": 0.5}).select("m").scalar()
+
+
 def turn_profile(conv: DataFrame, c: str = "turn_count", approx: bool = False) -> DataFrame:
     """Mean, median, sample std, min, max; exactly-2 and >2 counts with pct."""
     x = F.col(c)
     n = F.count(F.lit(1))
     return conv.agg(
         F.round(F.avg(x.cast("double")), 6).alias("mean"),
-        F.round(_median(x.cast("double"), approx), 6).alias("median"),
+        F.round(_median(x.cast("double"), True) if approx else _exact_median(conv, c), 6).alias("median"),
         F.round(F.stddev_samp(x.cast("double")), 6).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"),
         F.count_if(x == 2).alias("two_turn"),
@@ -57,14 +89,15 @@ def length_profile(conv: DataFrame, tweets: DataFrame, approx: bool = False) ->
     (mean/median/max)."""
     words = word_count("customer_problem").cast("double")
     rlen = F.length("brand_responses").cast("double")
+    med = (lambda d, e: _median(e, True)) if approx else _exact_median
     a = conv.agg(F.round(F.avg(words), 6).alias("words_mean"),
-                 F.round(_median(words, approx), 6).alias("words_median"),
+                 F.round(med(conv, words), 6).alias("words_median"),
                  F.count("brand_responses").alias("responses_nonnull"),
                  F.round(F.avg(rlen), 6).alias("response_len_mean"),
-                 F.round(_median(rlen, approx), 6).alias("response_len_median"))
+                 F.round(med(conv, rlen), 6).alias("response_len_median"))
     tlen = F.length("text").cast("double")
     b = tweets.agg(F.round(F.avg(tlen), 6).alias("text_len_mean"),
-                   F.round(_median(tlen, approx), 6).alias("text_len_median"),
+                   F.round(med(tweets, tlen), 6).alias("text_len_median"),
                    F.max(tlen).alias("text_len_max"))
     # the tweet-side figures attach as (merged) scalar subqueries
     return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])

@@ -239,11 +239,15 @@ def thread_sizes(rooted: DataFrame) -> DataFrame:
 
 
 def describe_sizes(sizes: DataFrame, c: str = "n_tweets") -> DataFrame:
+    """count, mean, std, min, quartiles, max; quartiles are exact but come
+    from a size histogram, not from buffering every size in one task."""
+    from ticketlake.operators.profile import exact_percentiles
     x = F.col(c).cast("double")
+    q = exact_percentiles(sizes, c, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return sizes.agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-        F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max"))
+        F.min(x).alias("min"), F.max(x).alias("max")).select(
+        "count", "mean", "std", "min", *[q.select(n).scalar().alias(n) for n in ("p25", "p50", "p75")], "max")
 
 
 def two_sided_roots(rooted_tweets: DataFrame, brand: str) -> DataFrame:
