@@ -70,11 +70,16 @@ def stratified_sample(df: DataFrame, label: str, key: str, alloc: DataFrame, see
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42,
-                     buckets: int = 4096) -> DataFrame:
+                     buckets: int | None = None, rows_per_bucket: int = 200_000) -> DataFrame:
     """Adds `split` in {'train','test'}: per label the round(test_share*n)
     rows with the lowest seeded hash go to test. Exact without sorting a
     label: a (label, hash-bucket) histogram finds the cut bucket, and only
-    rows of that one bucket are ranked."""
+    rows of that one bucket are ranked. The bucket count follows the largest
+    label (about `rows_per_bucket` rows per bucket), so the ranked bucket
+    stays small even when one label holds a large share of the table."""
+    if buckets is None:
+        biggest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = int(min(1 << 20, max(4096, -(-biggest // rows_per_bucket))))
     width = MODULUS // buckets + 1
     h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", (F.col("_h") / width).cast("long"))
     hist = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
