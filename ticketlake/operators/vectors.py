@@ -1,13 +1,15 @@
 """Vectors and exact top-k similarity search.
 
-Exact top-k by inner product runs as a blocked nested loop: both sides are
-hash-split into blocks of at most `block_rows` rows, every (query block,
-candidate block) pair meets once in a cogrouped pandas task that does one
-numpy matmul and keeps the per-query top-k of that block, and a final
-`row_number() <= k` (a literal, so Spark pre-limits per partition) merges
-the block winners. No pair table is ever materialised: each task emits at
-most k rows per query (plus exact ties at the cut), and block sizes bound
-task memory whatever the skew of an optional equality constraint (`part`).
+Exact top-k by inner product runs as a blocked nested loop: queries are
+hash-split into blocks of at most `block_rows` rows and candidates into
+blocks sized by their stored bytes; every (query block, candidate block)
+pair meets once in a cogrouped pandas task that densifies the candidate
+block chunk by chunk, does one numpy matmul per chunk and keeps each
+query's top-k (plus exact ties at the cut). A final `row_number() <= k` (a
+literal, so Spark pre-limits per partition) merges the block winners. No
+pair table is ever materialised, task memory is bounded by the query block
+and one chunk, and an optional equality constraint (`part`) is applied
+inside each block pair, so a hot part value cannot create a hot task.
 """
 
 from __future__ import annotations
