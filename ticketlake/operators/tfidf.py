@@ -54,28 +54,28 @@ def term_arrays(df: DataFrame, text: str, ngram_max: int = 2, stop_words: bool =
     return out.withColumn("terms", terms).drop("_tok")
 
 
-def doc_term_counts(df: DataFrame, key: str, text: str, ngram_max: int = 2, stop_words: bool = False) -> DataFrame:
-    """(id, term, tf): term counts per row."""
-    t = term_arrays(df.select(key, text), text, ngram_max, stop_words)
-    return (t.select(F.col(key).alias("id"), F.explode("terms").alias("term"))
-             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def vocabulary_from_counts(tf: DataFrame, n_docs: int, *, min_df: int = 1, max_df: float = 1.0,
-                           max_features: int = 5000) -> DataFrame:
+def _fit(terms: DataFrame, n_docs: int, *, min_df: int, max_df: float, max_features: int) -> DataFrame:
+    """Vocabulary from per-row term arrays: document frequency counts each
+    row's distinct terms, corpus frequency counts every occurrence; both are
+    term-keyed aggregations with map-side combine (no (row, term) shuffle)."""
     n = F.lit(float(n_docs))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
+    dfc = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term") \
+               .agg(F.count(F.lit(1)).alias("df"))
+    tot = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    kept = dfc.join(tot, "term").filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     top = kept.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     # bounded by max_features: the index window runs on at most that many rows
     return top.select("term", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"),
                       (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("tidx"))
 
 
-def vectors_from_counts(tf: DataFrame, vocab: DataFrame) -> DataFrame:
+def _vectors(terms: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """(id, idx ARRAY<INT>, val ARRAY<DOUBLE>) L2-normalised; the vocabulary
-    (at most max_features rows) is broadcast."""
-    w = tf.join(F.broadcast(vocab.select("term", "tidx", "idf")), "term")
+    (at most max_features rows) is broadcast, so only vocabulary terms are
+    counted per row."""
+    w = (terms.select(F.col(key).alias("id"), F.explode("terms").alias("term"))
+              .join(F.broadcast(vocab.select("term", "tidx", "idf")), "term")
+              .groupBy("id", "tidx", "idf").agg(F.count(F.lit(1)).alias("tf")))
     per = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
         "tidx", (F.col("tf") * F.col("idf")).alias("w")))).alias("p"))
     norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
@@ -85,15 +85,20 @@ def vectors_from_counts(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fit_vocabulary(docs: DataFrame, key: str, text: str, *, ngram_max: int = 2, stop_words: bool = False,
                    min_df: int = 1, max_df: float = 1.0, max_features: int = 5000) -> DataFrame:
-    """(term, df, idf, tidx) over the corpus; at most `max_features` rows."""
-    return vocabulary_from_counts(doc_term_counts(docs, key, text, ngram_max, stop_words), docs.select(key).count(),
-                                  min_df=min_df, max_df=max_df, max_features=max_features)
+    """(term, df, idf, tidx) over the corpus; at most `max_features` rows,
+    materialised in the checkpoint folder (the term arrays are tokenised
+    once and read by both aggregations)."""
+    t = term_arrays(docs.select(key, text), text, ngram_max, stop_words).persist()
+    vocab = cut_lineage(_fit(t, docs.select(key).count(), min_df=min_df, max_df=max_df,
+                             max_features=max_features))
+    t.unpersist()
+    return vocab
 
 
 def tfidf_vectors(df: DataFrame, key: str, text: str, vocab: DataFrame, *, ngram_max: int = 2,
                   stop_words: bool = False) -> DataFrame:
     """(id, idx, val) L2-normalised; rows without a vocabulary term are dropped."""
-    return vectors_from_counts(doc_term_counts(df, key, text, ngram_max, stop_words), vocab)
+    return _vectors(term_arrays(df.select(key, text), text, ngram_max, stop_words), key, vocab)
 
 
 def build_index(corpus: DataFrame, c_key: str, c_text: str, *, max_features: int = 5000, ngram_max: int = 2,
@@ -102,15 +107,15 @@ def build_index(corpus: DataFrame, c_key: str, c_text: str, *, max_features: int
     feeds both the fit and the vectors; vocabulary and vectors are written to
     the shared checkpoint folder, so every search (and every micro-batch of a
     stream) reads the index instead of re-tokenising the corpus."""
-    tf = doc_term_counts(corpus, c_key, c_text, ngram_max).persist()
-    vocab = cut_lineage(vocabulary_from_counts(tf, corpus.select(c_key).count(), max_features=max_features))
+    t = term_arrays(corpus.select(c_key, c_text), c_text, ngram_max).persist()
+    vocab = cut_lineage(_fit(t, corpus.select(c_key).count(), min_df=1, max_df=1.0, max_features=max_features))
     dim = max(1, vocab.count())
-    cv = vectors_from_counts(tf, vocab)
+    cv = _vectors(t, c_key, vocab)
     if part:
         cv = cv.join(corpus.select(F.col(c_key).alias("id"), part), "id")
     # the index is materialised once in the shared checkpoint folder
     cv = cut_lineage(cv)
-    tf.unpersist()
+    t.unpersist()
     return vocab, cv, dim
 
 
