@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ticketlake.operators import kb as K
 from ticketlake.operators import metrics as M

@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake import lexicons as L
 from ticketlake.operators import intent as I
 from ticketlake.operators import kb as K
 from ticketlake.operators import quality as Q
