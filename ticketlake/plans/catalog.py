@@ -810,7 +810,7 @@ def logreg_baseline(spark, d):
     docs = S.read_table(spark, d, "documents").select("doc_id", "text")
     data = SM.stratified_split(lab.join(docs, "doc_id"), "y", "doc_id", 0.2, 42)
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
-    model = MD.fit_logreg(train, "text", "y", max_iter=100)
+    model = MD.fit_logreg(train, "text", "y", max_iter=1000)
     lr = MD.predict_labels(model, test, "y").select(F.lit("tfidf_logreg").alias("model"),
                                                     F.col("y").alias("truth"), "pred")
     mj = SM.majority_label(train, "y").select("majority").scalar()
