@@ -10,10 +10,6 @@ bound and is broadcast; vectors are sparse (idx, val) arrays per row.
 
 from __future__ import annotations
 
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,18 +20,27 @@ from ticketlake.session import cut_lineage
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-@lru_cache(maxsize=1)
+# --------------------------------------------------------------------------
+# FIXED VALUES: Spark ML's default English stop-word list, so that the Spark
+# featuriser and the SQL oracle use the same words without reading a jar.
+# --------------------------------------------------------------------------
+ENGLISH_STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split())
+
+
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the MLlib jar
-    (no JVM needed, so the SQL oracle can embed the same list)."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                txt = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-            return tuple(w.strip() for w in txt.splitlines() if w.strip())
-    raise FileNotFoundError("spark-mllib jar not found")
+    return ENGLISH_STOP_WORDS
 
 
 def term_arrays(df: DataFrame, text: str, ngram_max: int = 2, stop_words: bool = False) -> DataFrame:
