@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import decontaminate_sw, mixing, quality_gbt, secrets_trigram, simhash_gray
+from ticketlake.llm import decontaminate_sw, mixing, quality_gbt, secrets_trigram, simhash_gray, suffix_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@register
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.removals(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @register
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_gray.classes(table(spark, sf_dir, "documents"))
