@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import decontaminate_sw, mixing, quality_gbt, secrets_trigram, simhash_gray, suffix_repeats
+from ticketlake.llm import (decontaminate_sw, mixing, perspectives, pseudo_likelihood, quality_gbt, secrets_trigram,
+                            simhash_gray, suffix_repeats, url_vocabulary, warc_zstd)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,11 +37,24 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@register
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return got.withColumnRenamed("conv", "conv_id").withColumn("mask", mask)
+
+
 @register
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.removals(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@register
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc_zstd.archive_and_read(table(spark, sf_dir, "pages"))
+    return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_gray.classes(table(spark, sf_dir, "documents"))
@@ -48,6 +62,17 @@ def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("component").alias("component_id"))
 
 
+@register
+def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", url_vocabulary.judge(F.col("url")).alias("j")).select("page_id", "j.*")
+
+
+@register
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @register
 def op9_decontaminate_sw(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate_sw.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
