@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ticketlake.llm import (decontaminate_sw, mixing, perspectives, pseudo_likelihood, quality_gbt, secrets_trigram,
                             simhash_gray, suffix_repeats, url_vocabulary, warc_zstd)
+from ticketlake.llm.oracle import ORACLE  # noqa: F401  (registered next to the queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

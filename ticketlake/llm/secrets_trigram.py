@@ -56,7 +56,7 @@ MORE_RULES = [
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,250}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,4000}\\.eyJ[A-Za-z0-9_-]{10,4000}\\.[A-Za-z0-9_-]{10,4000}"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,1000}\\.eyJ[A-Za-z0-9_-]{10,1000}\\.[A-Za-z0-9_-]{10,1000}"),
 ]
 RULES = BASE_RULES + MORE_RULES
 
