@@ -100,7 +100,7 @@ def _draw(*parts: Column) -> Column:
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         max_repeats: float | None = 2.0, entropy: float | None = None, budget: float | None = None,
-        block_tokens: int = 1_000_000, range_rows: int = 20_000, seed: int = 17) -> DataFrame:
+        block_tokens: int = 1_000_000, range_rows: int = 2_500, seed: int = 17) -> DataFrame:
     """(id, source, n_tokens, pass, block, position): the mixture, a row for
     every use of a document; `position` counts from 1 inside the block."""
     t = written(docs.select(col(id_col).alias("id"), col(source_col).alias("source"),

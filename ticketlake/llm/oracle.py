@@ -133,12 +133,14 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, n_strict, n_so
 def secrets_sql() -> str:
     found = []
     for i, r in enumerate(RULES):
-        rx = q(r.regex)
+        # a run of one class is shorter than the least length or counts whole
+        rx = q(f"{r.regex[:-1]}{{{r.min_len},}}" if r.kind == "hex" else r.regex)
         found.append(f"""SELECT r, '{r.kind}' AS kind, {i} AS ord, e - len AS s, e FROM (
   SELECT r, len, glen, sum(gap + len) OVER (PARTITION BY r ORDER BY i) AS e FROM (
-    SELECT r, i, length(gaps[i]) AS gap, length(m[i]) AS len, length(g[i]) AS glen FROM (
+    SELECT r, unnest(range(1, len(m) + 1)) AS i, unnest([length(x) FOR x IN gaps[:len(m)]]) AS gap,
+      unnest([length(x) FOR x IN m]) AS len, unnest([length(x) FOR x IN g]) AS glen FROM (
       SELECT r, string_split_regex(t, {rx}) AS gaps, regexp_extract_all(t, {rx}) AS m,
-        regexp_extract_all(t, {rx}, {r.group}) AS g, unnest(range(1, len(regexp_extract_all(t, {rx})) + 1)) AS i FROM d)))
+        regexp_extract_all(t, {rx}, {r.group}) AS g FROM d WHERE regexp_matches(t, {rx}))))
 WHERE glen >= {r.min_len}""")
     base = ", ".join(q(r.kind) for r in BASE_RULES)
     one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"

@@ -252,15 +252,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # an id of one row names its document; ids of several rows are told apart by fingerprint
     often = fps.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     best = written(best.join(often.withColumn("often", F.lit(True)), best["id"].eqNullSafe(often["id"]), "left")
-                       .select(best["id"].alias("_id"), "fp", F.coalesce("often", F.lit(False)).alias("often")), "kept-ids")
-    sure = best.where("NOT often").select("_id")
-    out = docs.join(sure, col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+                       .select(best["id"], "fp", F.coalesce("often", F.lit(False)).alias("often")), "kept-ids")
+    i, f = fresh(docs, "_kept_id"), fresh(docs, "_kept_fp")
+    g = fresh(docs.withColumn(f, F.lit(0)), "_own_fp")
+    is_kept = col(id_col).eqNullSafe(F.col(i))
+    out = docs.join(best.where("NOT often").select(F.col("id").alias(i)), is_kept, "left_semi")
     if best.where("often").limit(1).count():
-        f = fresh(docs, "_fp")
-        some = best.where("often")
-        many = docs.join(some.select("_id").distinct(), col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-        many = many.withColumn(f, fingerprint(col(text_col), shingle, seed))
-        many = many.join(some.withColumnRenamed("fp", "_fp2"),
-                         col(id_col).eqNullSafe(F.col("_id")) & (col(f) == F.col("_fp2")), "left_semi")
-        out = out.unionByName(many.dropDuplicates([id_col, f]).drop(f))
+        some = best.where("often").select(F.col("id").alias(i), F.col("fp").alias(f))
+        many = docs.join(some.select(i).distinct(), is_kept, "left_semi").withColumn(
+            g, fingerprint(col(text_col), shingle, seed))
+        many = many.join(some, is_kept & (F.col(g) == F.col(f)), "left_semi")
+        out = out.unionByName(many.dropDuplicates([id_col, g]).drop(g))
     return out
