@@ -1,8 +1,8 @@
 """Repeatable sampling, stratified allocation, stratified samples and splits.
 
-Randomness is a seeded multiplicative hash of the key (Lehmer / MINSTD), so a
-sample does not depend on partitioning or row order and the same rows come
-out on any engine that can do integer arithmetic.
+Randomness is the MD5 of `seed:key`, so a sample depends on neither
+partitioning nor row order, every seed gives another sample, ids spread over
+the whole key range, and any engine with MD5 draws the same rows.
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MODULUS = 2147483647  # 2^31 - 1
-MULT = 48271
-SEED_MULT = 16807
+HASH_BITS = 60      # fifteen hexadecimal digits
+BUCKET_BITS = 20
 
 
 def seeded_hash(key: str | Column, seed: int) -> Column:
-    """Deterministic pseudo-random order key in [0, 2^31-1) from a BIGINT key."""
+    """Pseudo-random order key in [0, 2^60) from a key of any simple type."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.pmod(k, F.lit(MODULUS)) * MULT + F.lit(seed * SEED_MULT % MODULUS), F.lit(MODULUS))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -48,60 +48,47 @@ def stratified_allocation(df: DataFrame, label: str, n: int, minimum: int = 5) -
     return a.select("label", "n_rows", adj.cast("long").alias("alloc"))
 
 
+def _lowest(df: DataFrame, label: str, key: str, need: DataFrame, seed: int) -> DataFrame:
+    """`df` with `_h` and `_take`: per label the `_need` rows (columns `_label`,
+    `_need` of the label-sized `need`) with the lowest hash, ties by key.
+
+    Exact without sorting a label: a (label, leading hash bits) histogram finds
+    the bucket in which the count is reached, and only its rows, about a
+    millionth of the label's, are ranked."""
+    h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
+    hist = h.groupBy(F.col(label).alias("_label"), "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_label").orderBy("_b"))
+    wanted = need.select(F.col("_label").alias("_nl"), "_need")
+    cut = (hist.withColumn("_upto", upto).join(wanted, F.col("_label").eqNullSafe(F.col("_nl")))
+               .filter(F.col("_upto") >= F.col("_need"))
+               .groupBy("_label").agg(F.min_by(F.struct("_b", (F.col("_need") - F.col("_upto") + F.col("_c")).alias("left")),
+                                               "_b").alias("_cut")))
+    j = h.join(cut, h[label].eqNullSafe(cut["_label"]), "left").drop("_label")
+    in_cut = F.coalesce(F.col("_b") == F.col("_cut._b"), F.lit(False))
+    # a label without a cut bucket needs more rows than it has, or is not wanted at all
+    known = wanted.withColumn("_known", F.lit(True))
+    outside = (j.filter(~in_cut).join(known, F.col(label).eqNullSafe(F.col("_nl")), "left")
+                .withColumn("_take", F.coalesce(F.col("_b") < F.col("_cut._b"), F.col("_known"), F.lit(False)))
+                .drop("_nl", "_need", "_known"))
+    rn = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    inside = j.filter(in_cut).withColumn("_take", rn <= F.col("_cut.left"))
+    return outside.unionByName(inside).drop("_b", "_cut")
+
+
 def stratified_sample(df: DataFrame, label: str, key: str, alloc: DataFrame, seed: int = 42) -> DataFrame:
-    """alloc[label] rows per label, lowest seeded hash first. The allocation
-    is one row per label (bounded by the label vocabulary), so it is
-    collected to build a literal per-label limit; the largest limit is a
-    literal too, which lets Spark cut each label to that many rows before the
-    shuffle (WindowGroupLimit), so a hot label never sorts whole."""
-    limits = {r["label"]: int(r["alloc"]) for r in alloc.select("label", "alloc").collect()}
-    if not limits:
-        return df.limit(0)
-    kmax = max(limits.values())
-    lim = None
-    for lab, k in limits.items():
-        cond = F.col(label) == F.lit(lab)
-        lim = F.when(cond, F.lit(k)) if lim is None else lim.when(cond, F.lit(k))
-    w = Window.partitionBy(label).orderBy("_h", key)
-    ranked = (df.withColumn("_h", seeded_hash(key, seed))
-                .withColumn("_rn", F.row_number().over(w))
-                .filter(F.col("_rn") <= kmax))
-    return ranked.filter(F.col("_rn") <= lim.otherwise(F.lit(0))).drop("_rn")
-
-
-def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42,
-                     buckets: int | None = None, rows_per_bucket: int = 200_000) -> DataFrame:
+    """alloc[label] rows per label, lowest seeded hash (column `_h`) first;
+    `alloc` is one row per label (`label`, `alloc`)."""
+    need = alloc.select(F.col("label").alias("_label"), F.col("alloc").alias("_need"))
+    return _lowest(df, label, key, need, seed).filter("_take").drop("_take")
+
+
+def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds `split` in {'train','test'}: per label the round(test_share*n)
-    rows with the lowest seeded hash go to test. Exact without sorting a
-    label: a (label, hash-bucket) histogram finds the cut bucket, and only
-    rows of that one bucket are ranked. The bucket count follows the largest
-    label (about `rows_per_bucket` rows per bucket), so the ranked bucket
-    stays small even when one label holds a large share of the table."""
-    if buckets is None:
-        biggest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        buckets = int(min(1 << 20, max(4096, -(-biggest // rows_per_bucket))))
-    width = MODULUS // buckets + 1
-    h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", (F.col("_h") / width).cast("long"))
-    hist = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = F.sum("_c").over(Window.partitionBy(label))
-    hist = (hist.withColumn("_cum", F.sum("_c").over(w))
-                .withColumn("_need", F.floor(F.lit(test_share) * tot + 0.5).cast("long")))
-    # per label: the bucket where the cumulative count first reaches the need
-    cut = (hist.filter(F.col("_cum") >= F.col("_need"))
-               .groupBy(label).agg(F.min("_b").alias("_cb"), F.first("_need").alias("_need")))
-    before = hist.join(cut, label).filter(F.col("_b") < F.col("_cb")) \
-                 .groupBy(label).agg(F.sum("_c").alias("_before"))
-    cut = cut.join(before, label, "left").fillna(0, ["_before"])
-    j = h.join(F.broadcast(cut), label, "left")
-    in_cut = F.col("_b") == F.col("_cb")
-    drop = ["_h", "_b", "_cb", "_need", "_before"]
-    outside = j.filter(~in_cut).withColumn(
-        "split", F.when((F.col("_need") > 0) & (F.col("_b") < F.col("_cb")), "test").otherwise("train"))
-    rn = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
-    inside = j.filter(in_cut).withColumn(
-        "split", F.when(rn <= F.col("_need") - F.col("_before"), "test").otherwise("train"))
-    return outside.drop(*drop).unionByName(inside.drop(*drop))
+    rows with the lowest seeded hash go to test."""
+    need = df.groupBy(F.col(label).alias("_label")).agg(
+        F.floor(F.lit(test_share) * F.count(F.lit(1)) + 0.5).cast("long").alias("_need"))
+    return (_lowest(df, label, key, need, seed)
+            .withColumn("split", F.when(F.col("_take"), "test").otherwise("train")).drop("_h", "_take"))
 
 
 def majority_label(df: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,6 @@ from __future__ import annotations
 from ticketlake import lexicons as L
 from ticketlake.plans import pipeline as P
 from ticketlake.plans import sqlgen as G
-from ticketlake.operators.sampling import MODULUS, MULT, SEED_MULT
 from ticketlake.operators.tfidf import english_stop_words
 from ticketlake.sources import tables as S
 
@@ -15,7 +14,8 @@ NL = "chr(10)"
 
 
 def _hash(key: str, seed: int) -> str:
-    return f"(((({key}) % {MODULUS}) * {MULT} + {seed * SEED_MULT % MODULUS}) % {MODULUS})"
+    """The first fifteen hexadecimal digits of the MD5 of `seed:key`."""
+    return f"CAST('0x' || substr(md5('{seed}:' || coalesce(CAST({key} AS VARCHAR), '')), 1, 15) AS BIGINT)"
 
 
 def _phrases(lst: list[str]) -> str:
