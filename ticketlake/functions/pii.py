@@ -28,10 +28,15 @@ def patterns(order: str = "reference",
     raise ValueError(f"unknown order {order!r}")
 
 
+def unicode(pattern: str) -> str:
+    """The pattern with the Unicode reading of \\d \\s \\w \\b that it was written for."""
+    return f"(?U){pattern}"
+
+
 def mask_one(c: str | Column, kind: str, table=PII_PATTERNS) -> Column:
     for name, pattern, repl in table:
         if name == kind:
-            return F.regexp_replace(col(c), pattern, repl)
+            return F.regexp_replace(col(c), unicode(pattern), repl)
     raise KeyError(kind)
 
 
@@ -39,7 +44,7 @@ def mask_text(c: str | Column, order: str = "reference", table=PII_PATTERNS) ->
     """All masks applied in sequence; null stays null."""
     out = col(c)
     for _, pattern, repl in patterns(order, table):
-        out = F.regexp_replace(out, pattern, repl)
+        out = F.regexp_replace(out, unicode(pattern), repl)
     return out
 
 
@@ -54,4 +59,4 @@ def mask_columns(df: DataFrame, columns: Sequence[str] | None = None,
 
 def match_count(c: str | Column, pattern: str) -> Column:
     """Number of non-overlapping matches of one pattern."""
-    return F.size(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0)))
+    return F.regexp_count(col(c), F.lit(unicode(pattern)))

@@ -68,24 +68,31 @@ def classify_table(df: DataFrame, text_col: str = "message", lexicon=L.CLASSIFIE
 # ------------------------------------------------------------ F8-F10 coercion
 
 CLASSIFICATION_SCHEMA = T.StructType([
-    T.StructField("intent", T.StringType()), T.StructField("confidence", T.DoubleType()),
+    T.StructField("intent", T.StringType()), T.StructField("confidence", T.StringType()),
     T.StructField("reasoning", T.StringType())])
 ROUTING_SCHEMA = T.StructType([
-    T.StructField("action", T.StringType()), T.StructField("risk_score", T.DoubleType()),
+    T.StructField("action", T.StringType()), T.StructField("risk_score", T.StringType()),
     T.StructField("reason", T.StringType()), T.StructField("intent", T.StringType()),
-    T.StructField("confidence", T.DoubleType()), T.StructField("has_evidence", T.BooleanType())])
+    T.StructField("confidence", T.StringType()), T.StructField("has_evidence", T.BooleanType())])
 GENERATION_SCHEMA = T.StructType([
     T.StructField("response", T.StringType()),
     T.StructField("evidence_case_ids", T.ArrayType(T.StringType())),
     T.StructField("escalate", T.BooleanType()), T.StructField("reason", T.StringType())])
 
 
+def number(c: Column) -> Column:
+    """DOUBLE from a number or numeric text; null otherwise."""
+    return F.trim(c.cast("string")).try_cast("double")
+
+
 def coerce_classification(parsed: Column, valid: Sequence[str] = L.VALID_INTENTS) -> Column:
-    """Unknown intent -> general_inquiry; confidence default 0.3; reasoning
-    default ''; `error` names an out-of-range confidence instead of raising."""
+    """Unknown intent -> general_inquiry; confidence (a number, or a string
+    that is one) default 0.3; reasoning default ''; `error` names a confidence
+    that is out of range or no number instead of raising."""
     intent = F.when(parsed["intent"].isin(*valid), parsed["intent"]).otherwise(F.lit(L.DEFAULT_INTENT))
-    conf = F.coalesce(parsed["confidence"], F.lit(L.CONF_NONE))
-    err = F.when((conf < 0) | (conf > 1), F.lit("confidence out of range"))
+    conf = F.coalesce(number(parsed["confidence"]), F.lit(L.CONF_NONE))
+    err = (F.when((conf < 0) | (conf > 1), F.lit("confidence out of range"))
+           .when(parsed["confidence"].isNotNull() & number(parsed["confidence"]).isNull(), F.lit("confidence is not a number")))
     return F.struct(intent.alias("intent"), conf.alias("confidence"),
                     F.coalesce(parsed["reasoning"], F.lit("")).alias("reasoning"), err.alias("error"))
 
@@ -93,10 +100,10 @@ def coerce_classification(parsed: Column, valid: Sequence[str] = L.VALID_INTENTS
 def coerce_routing(parsed: Column) -> Column:
     action = F.when(parsed["action"].isin(*L.VALID_ACTIONS), parsed["action"]).otherwise(F.lit("auto_handle"))
     return F.struct(action.alias("action"),
-                    F.coalesce(parsed["risk_score"], F.lit(0.0)).alias("risk_score"),
+                    F.coalesce(number(parsed["risk_score"]), F.lit(0.0)).alias("risk_score"),
                     F.coalesce(parsed["reason"], F.lit("")).alias("reason"),
                     F.coalesce(parsed["intent"], F.lit("")).alias("intent"),
-                    F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"),
+                    F.coalesce(number(parsed["confidence"]), F.lit(0.0)).alias("confidence"),
                     F.coalesce(parsed["has_evidence"], F.lit(False)).alias("has_evidence"))
 
 

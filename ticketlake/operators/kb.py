@@ -51,8 +51,10 @@ def quality_level(score: Column) -> Column:
 
 
 def case_id(key: str | Column) -> Column:
-    """Stable case id from the conversation key (not from row position)."""
-    return F.format_string("C%06d", col(key))
+    """Stable case id from the conversation key (not from row position): `C`
+    and the key, zero-padded to six characters; keys of any simple type."""
+    k = col(key).cast("string")
+    return F.concat(F.lit("C"), F.when(F.length(k) >= 6, k).otherwise(F.lpad(k, 6, "0")))
 
 
 def build_cases(labelled: DataFrame, key: str = "conversation_id") -> DataFrame:
@@ -76,7 +78,7 @@ def document_text(problem: str | Column = "customer_problem", resolution: str |
 
 
 def index_metadata(cases: DataFrame) -> DataFrame:
-    return cases.select("case_id", F.coalesce("conversation_id", F.lit("")).alias("conversation_id"),
+    return cases.select("case_id", F.coalesce(F.col("conversation_id").cast("string"), F.lit("")).alias("conversation_id"),
                         F.coalesce("intent", F.lit(L.DEFAULT_INTENT)).alias("intent"),
                         F.coalesce("resolution_quality", F.lit("weak")).alias("resolution_quality"),
                         F.coalesce("turn_count", F.lit(2)).alias("turn_count"))

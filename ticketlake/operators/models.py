@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
-                                StopWordsRemover, StringIndexer)
+from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer,
+                                SQLTransformer, StopWordsRemover, StringIndexer)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,32 +29,44 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return df.join(F.broadcast(w), label)
 
 
-def logreg_pipeline(text: str, label: str, n_train: int, C: float = 1.0, max_iter: int = 1000,
-                    vocab_size: int = 10000) -> Pipeline:
-    stages = [
+def fit_logreg(train: DataFrame, text: str, label: str, C: float = 1.0, max_iter: int = 1000,
+               vocab_size: int = 10000) -> PipelineModel:
+    """Featuriser and classifier as one model. The weights are tf * idf with
+    idf = ln((1+n)/(1+df)) + 1, as in `tfidf.fit_vocabulary`: Spark's IDF lacks
+    the + 1, so its vector (at most `vocab_size` numbers) is raised by it."""
+    counts = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=list(english_stop_words()), caseSensitive=True),
         NGram(n=2, inputCol="_uni", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _terms FROM __THIS__"),
         CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab_size, minDF=2.0, maxDF=0.95),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features", p=2.0),
+    ]).fit(train)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(train)).idf.toArray() + 1.0
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
+    model = Pipeline(stages=[
+        counts, weigh, Normalizer(inputCol="_tfidf", outputCol="features", p=2.0),
         StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
         LogisticRegression(featuresCol="features", labelCol="label_idx", weightCol="weight", maxIter=max_iter,
-                           regParam=1.0 / (C * max(1, n_train)), elasticNetParam=0.0, standardization=False,
+                           regParam=1.0 / (C * max(1, train.count())), elasticNetParam=0.0, standardization=False,
                            family="multinomial"),
-    ]
-    return Pipeline(stages=stages)
-
-
-def fit_logreg(train: DataFrame, text: str, label: str, **kw) -> PipelineModel:
-    tw = balanced_weights(train, label)
-    return logreg_pipeline(text, label, train.count(), **kw).fit(tw)
+    ])
+    return model.fit(balanced_weights(train, label))
 
 
 def predict_labels(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
-    """Adds `pred` in the original label space."""
-    labels = model.stages[-2].labels
+    """Adds `pred` in the original label space and `probabilities`, a map from
+    label to class probability."""
+    indexer = next(s for s in model.stages if s.hasParam("stringOrderType"))
+    names = F.array(*[F.lit(x) for x in indexer.labels])
     out = model.transform(df.withColumn("weight", F.lit(1.0)))
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-    return out.withColumn("pred", lab)
+    p = vector_to_array("probability")
+    return (out.withColumn("pred", F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")))
+               .withColumn("probabilities", F.map_from_arrays(names, p)))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -135,8 +135,8 @@ def search(index: tuple[DataFrame, DataFrame, int], queries: DataFrame, q_key: s
     # keep each under ~64 MB whatever the vocabulary size
     rows = max(64, min(1024, (64 << 20) // (8 * dim)))
     hits = block_topk(qv, cv, top_k, kind="sparse", dim=dim, part=part, exclude_self=exclude_self,
-                      normalize=False, block_rows=rows, chunk_rows=rows, q_name=q_name, c_name=c_name)
-    return hits.filter(F.col("score") >= min_score)
+                      normalize=False, block_rows=rows, chunk_rows=rows, min_score=min_score, q_name=q_name, c_name=c_name)
+    return hits
 
 
 def tfidf_retrieve(queries: DataFrame, q_key: str, q_text: str, corpus: DataFrame, c_key: str, c_text: str,
@@ -144,7 +144,7 @@ def tfidf_retrieve(queries: DataFrame, q_key: str, q_text: str, corpus: DataFram
                    part: str | None = None, exclude_self: bool = False,
                    q_name: str = "query_id", c_name: str = "doc_id") -> DataFrame:
     """Cosine top-k of each query against the corpus; scores below
-    `min_score` are dropped after the cut, so fewer than k may remain. The
+    `min_score` are no hits, so fewer than k may remain. The
     vocabulary is fitted once on the corpus (not per query). With `part`,
     candidates must share the query's part value (pre-filter)."""
     index = build_index(corpus, c_key, c_text, max_features=max_features, ngram_max=ngram_max, part=part)

@@ -59,8 +59,9 @@ def brand_responses(tweets: DataFrame, brand: str) -> DataFrame:
 
 def reply_pairs(tweets: DataFrame, brand: str) -> DataFrame:
     """(response_id, query_id, user_query, response): brand replies joined to
-    the customer tweets they answer; row multiplicity kept."""
-    resp = brand_responses(tweets, brand).select(
+    the customer tweets they answer; row multiplicity kept. Blank ids answer
+    nothing."""
+    resp = brand_responses(tweets, brand).filter(F.col("in_response_to_tweet_id") != "").select(
         F.col("tweet_id").alias("response_id"),
         F.col("in_response_to_tweet_id").alias("query_id"),
         F.col("text").alias("response"))
@@ -97,7 +98,7 @@ def brand_seed_ids(tweets: DataFrame, brand: str) -> DataFrame:
 
 # ------------------------------------------------------------------ B10
 
-def _closure_frontier(tweets: DataFrame, brand: str, max_rounds: int = 100000) -> DataFrame:
+def _closure_frontier(tweets: DataFrame, brand: str) -> DataFrame:
     """Tweets reachable from the brand seed by repeatedly adding parents and
     children of every *existing* tweet in the set (ids that have no row are
     kept in the set but not expanded). Only the frontier is expanded. The
@@ -106,7 +107,7 @@ def _closure_frontier(tweets: DataFrame, brand: str, max_rounds: int = 100000) -
     nbr = neighbours(tweets).persist()
     seen = cut_lineage(brand_seed_ids(tweets, brand))
     frontier = seen
-    for _ in range(max_rounds):
+    while True:         # ends: every round adds ids of the dump
         new = (frontier.join(nbr, frontier.id == nbr.src, "inner")
                        .select(F.col("nbr").alias("id")).distinct()
                        .join(seen, "id", "left_anti"))
@@ -152,12 +153,14 @@ def _cycle_labels(parents: DataFrame, rooted: DataFrame, max_rounds: int = 64) -
         cur = nxt
         if changed.isEmpty():
             break
+    else:
+        raise RuntimeError(f"cycle labels did not settle in {max_rounds} rounds")
     labels = cur.select(F.col("node").alias("root_id"), F.col("m").alias("comp"))
     return (roots.select(F.col("node").alias("root_id")).join(labels, "root_id", "left")
                  .select("root_id", F.coalesce("comp", "root_id").alias("comp")))
 
 
-def thread_closure(tweets: DataFrame, brand: str, method: str = "auto", max_rounds: int = 100000,
+def thread_closure(tweets: DataFrame, brand: str, method: str = "auto",
                    with_roots: bool = False) -> DataFrame:
     """Tweets reachable from the brand seed (brand tweets, their parents and
     children) by repeatedly adding parents and listed children of existing
@@ -173,7 +176,7 @@ def thread_closure(tweets: DataFrame, brand: str, method: str = "auto", max_roun
     closure member is itself in the closure."""
     tweets = cut_lineage(tweets)
     if method == "frontier" or (method == "auto" and not edges_consistent(tweets)):
-        rel = cut_lineage(_closure_frontier(tweets, brand, max_rounds))
+        rel = cut_lineage(_closure_frontier(tweets, brand))
         return rel.join(thread_roots(rel), "tweet_id") if with_roots else rel
     rooted = cut_lineage(thread_roots(tweets))
     comp = rooted.join(_cycle_labels(tweets, rooted), "root_id").select("tweet_id", "root_id", "comp")
@@ -211,13 +214,18 @@ def _double(p: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
 def thread_roots(related: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(tweet_id, root_id): follow parents while the parent is in the set; on
     a cycle, a node on the cycle is its own root and a tail node's root is
-    the cycle entry (first node revisited by the parent walk)."""
-    nodes = related.select(F.col("tweet_id").alias("node"),
-                           F.col("in_response_to_tweet_id").alias("parent"))
-    ids = nodes.select(F.col("node").alias("pid")).distinct()
-    base = (nodes.join(ids, nodes.parent == ids.pid, "left")
+    the cycle entry (first node revisited by the parent walk). An id of
+    several rows has one parent: the greatest, so any before none. Rows
+    without a parent, a third of a dump or more, take no part in the join."""
+    nodes = (related.groupBy(F.col("tweet_id").alias("node"))
+                    .agg(F.max(F.coalesce("in_response_to_tweet_id", F.lit(""))).alias("parent")))
+    nodes = cut_lineage(nodes)
+    ids = nodes.select(F.col("node").alias("pid"))
+    child = nodes.filter("parent <> ''")
+    base = (child.join(ids, child.parent == ids.pid, "left")
                  .select("node", F.when(F.col("pid").isNotNull(), F.col("parent"))
-                                  .otherwise(F.col("node")).alias("ptr")))
+                                  .otherwise(F.col("node")).alias("ptr"))
+                 .unionByName(nodes.filter("parent = ''").select("node", F.col("node").alias("ptr"))))
     base = cut_lineage(base.withColumn("done", F.col("ptr") == F.col("node")))
     p, cyclic = _double(base, max_rounds)
     if cyclic:
@@ -263,23 +271,24 @@ def two_sided_roots(rooted_tweets: DataFrame, brand: str) -> DataFrame:
 # ------------------------------------------------------------------ B14-B19
 
 def assemble_conversations(turns: DataFrame, brand_speaker: str = "Brand",
-                           customer_speaker: str = "Customer", chunk_unit: str = "hour") -> DataFrame:
+                           customer_speaker: str = "Customer", chunk_unit: str = "minute") -> DataFrame:
     """One row per conversation from a turn table (conversation_id, tweet_id
     BIGINT, is_brand, inbound, created_at, text): transcript, customer side,
     brand side and stats. Order: time (nulls last), then tweet id; null texts
-    are skipped.
+    are skipped, empty ones are lines.
 
     Two-level aggregation so a hot conversation is never sorted or collected
     whole in one task: level 1 groups (conversation, time bucket of
-    `chunk_unit`) and renders sorted partial texts plus partial stats; level 2
-    concatenates the bucket parts in bucket order (one small element per
-    bucket). Buckets are contiguous in the sort order, so the result equals a
+    `chunk_unit`; rows without a time by runs of 1024 ids) and renders sorted
+    partial texts plus partial stats; level 2 concatenates the bucket parts in
+    bucket order (one element per bucket). Buckets are contiguous in the sort order, so the result equals a
     single global sort per conversation."""
     chunk = F.date_trunc(chunk_unit, F.col("created_at"))
     t = F.array_sort(F.collect_list(F.struct(
         F.col("created_at").isNull().alias("ts_null"), F.col("created_at").alias("ts"),
         F.col("tweet_id").alias("id"), F.col("is_brand").alias("b"), F.col("text").alias("x"))))
-    lvl1 = turns.groupBy("conversation_id", chunk.alias("chunk")).agg(
+    run = F.when(F.col("created_at").isNull(), F.shiftright(F.col("tweet_id"), 10)).otherwise(0)
+    lvl1 = turns.groupBy("conversation_id", chunk.alias("chunk"), run.alias("run")).agg(
         t.alias("t"),
         F.count("tweet_id").alias("n"),
         F.count_if(F.col("inbound")).cast("long").alias("n_in"),
@@ -287,19 +296,21 @@ def assemble_conversations(turns: DataFrame, brand_speaker: str = "Brand",
         F.max("created_at").alias("mx"))
     with_text = F.filter("t", lambda e: e["x"].isNotNull())
     speaker = lambda e: F.when(e["b"], F.lit(brand_speaker)).otherwise(F.lit(customer_speaker))
+    # a bucket without lines is null, which the join of the buckets leaves out
+    lines = lambda a: F.when(F.size(a) > 0, F.array_join(a, "\n"))
     parts = lvl1.select(
-        "conversation_id", "chunk", "n", "n_in", "mn", "mx",
-        F.array_join(F.transform(with_text, lambda e: F.concat(speaker(e), F.lit(": "), e["x"])), "\n").alias("pc"),
-        F.array_join(F.transform(F.filter(with_text, lambda e: ~e["b"]), lambda e: e["x"]), "\n").alias("pu"),
-        F.array_join(F.transform(F.filter(with_text, lambda e: e["b"]), lambda e: e["x"]), "\n").alias("pb"))
+        "conversation_id", "chunk", "run", "n", "n_in", "mn", "mx",
+        lines(F.transform(with_text, lambda e: F.concat(speaker(e), F.lit(": "), e["x"]))).alias("pc"),
+        lines(F.transform(F.filter(with_text, lambda e: ~e["b"]), lambda e: e["x"])).alias("pu"),
+        lines(F.transform(F.filter(with_text, lambda e: e["b"]), lambda e: e["x"])).alias("pb"))
     g = parts.groupBy("conversation_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("chunk").isNull().alias("cn"), "chunk", "pc", "pu", "pb")))
+        F.array_sort(F.collect_list(F.struct(F.col("chunk").isNull().alias("cn"), "chunk", "run", "pc", "pu", "pb")))
          .alias("p"),
         F.sum("n").alias("turn_count"), F.sum("n_in").alias("customer_turns"),
         F.min("mn").alias("first_timestamp"), F.max("mx").alias("last_timestamp"))
 
     def joined(field: str) -> Column:
-        return F.array_join(F.filter(F.transform("p", lambda e: e[field]), lambda s: s != ""), "\n")
+        return F.array_join(F.transform("p", lambda e: e[field]), "\n")
 
     return g.select("conversation_id", joined("pc").alias("conversation"), joined("pu").alias("customer_problem"),
                     joined("pb").alias("brand_responses"), F.col("turn_count").cast("long").alias("turn_count"),

@@ -55,11 +55,64 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m
 
 
-def _block_fn(k: int, kind: str, dim: int | None, exclude_self: bool, normalize: bool, chunk_rows: int):
+def _useful(S: np.ndarray, k: int, min_score: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k best scores plus exact ties at the
+    cut; scores under the floor are no candidates, so they are no ties."""
+    if min_score is not None:
+        S[S < min_score] = -np.inf
+    kk = min(k, S.shape[1])
+    kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1:kk]
+    return np.nonzero((S >= kth) & np.isfinite(S))
+
+
+def _scan_fn(q: pd.DataFrame, k: int, kind: str, dim: int | None, exclude_self: bool, normalize: bool,
+             min_score: float | None, part: str | None, chunk_rows: int):
+    """Scan of a candidate partition against all queries at once: the k best
+    (and ties) so far are merged with every chunk's, so a task holds the
+    queries, one chunk and the best rows."""
+    Q = _dense(q, kind, dim)
+    if normalize and len(Q):
+        Q = _unit(Q)
+    qid = q["id"].to_numpy()
+    qpart = q[part].to_numpy() if part else None
+    chunk_rows = max(16, min(chunk_rows, (32 << 20) // (8 * max(1, len(q)))))      # scores of a chunk: 32 MB
+
+    def fn(frames):
+        best = None
+        for frame in frames:
+            for start in range(0, len(frame), chunk_rows):
+                c = frame.iloc[start:start + chunk_rows]
+                if kind == "dense":
+                    C = _dense(c, kind, dim)
+                    S = Q @ (_unit(C) if normalize else C).T
+                else:       # only the columns that a candidate has
+                    S = np.stack([Q[:, np.asarray(i, np.int64)] @ np.asarray(v, np.float64) if i is not None and len(i)
+                                  else np.zeros(len(Q)) for i, v in zip(c["idx"], c["val"])], 1)
+                S = np.round(S, 12)
+                cid = c["id"].to_numpy()
+                if exclude_self:
+                    S[qid[:, None] == cid[None, :]] = -np.inf
+                if part:
+                    S[qpart[:, None] != c[part].to_numpy()[None, :]] = -np.inf
+                qi, ci = _useful(S, k, min_score)
+                now = pd.DataFrame({"q": qi, "c": cid[ci], "score": S[qi, ci]})
+                best = now if best is None else pd.concat([best, now], ignore_index=True)
+            if best is not None and len(best) > 4 * k * max(1, len(Q)):
+                rank = best.groupby("q")["score"].rank(method="min", ascending=False)
+                best = best[rank <= k]
+        if best is not None and len(best):
+            rank = best.groupby("q")["score"].rank(method="min", ascending=False)
+            best = best[rank <= k]
+            yield best.assign(q=qid[best["q"].to_numpy()])
+    return fn
+
+
+def _block_fn(k: int, kind: str, dim: int | None, exclude_self: bool, normalize: bool, chunk_rows: int,
+              min_score: float | None = None):
     """Per (query block, candidate block): densify the candidate block chunk
     by chunk, one matmul per chunk, keep each query's top-k of the chunk plus
-    exact ties at the cut. Memory is bounded by the query block and one
-    chunk, not by the candidate block."""
+    exact ties at the cut. A task holds its two blocks, whose rows are bounded
+    by the block sizes, and one dense chunk."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q": pd.Series([], dtype=object), "c": pd.Series([], dtype=object),
                               "score": pd.Series([], dtype="float64")})
@@ -79,10 +132,7 @@ def _block_fn(k: int, kind: str, dim: int | None, exclude_self: bool, normalize:
             cid = part["id"].to_numpy()
             if exclude_self:
                 S[qid[:, None] == cid[None, :]] = -np.inf
-            kk = min(k, S.shape[1])
-            kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1:kk]
-            keep = (S >= kth) & np.isfinite(S)
-            qi, ci = np.nonzero(keep)
+            qi, ci = _useful(S, k, min_score)
             out.append(pd.DataFrame({"q": qid[qi], "c": cid[ci], "score": S[qi, ci]}))
         return pd.concat(out, ignore_index=True) if out else empty
     return fn
@@ -91,6 +141,7 @@ def _block_fn(k: int, kind: str, dim: int | None, exclude_self: bool, normalize:
 def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "dense", dim: int | None = None,
                part: str | None = None, exclude_self: bool = False, normalize: bool = True,
                block_rows: int = 2048, cand_block_bytes: int = 128 << 20, chunk_rows: int = 2048,
+               min_score: float | None = None, scan_bytes: int = 64 << 20,
                q_name: str = "query_id", c_name: str = "case_id") -> DataFrame:
     """Exact top-k per query by inner product (cosine when `normalize`).
 
@@ -99,7 +150,9 @@ def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "den
     (candidates must share the query's part value: a pre-filter).
     Returns (q_name, c_name, rank, score) with ties broken by candidate id.
 
-    Query blocks hold at most `block_rows` rows; candidate blocks are sized
+    Queries that take at most `scan_bytes` as a dense matrix (measured) go to
+    every task, and the candidates are scanned where they are: neither side is
+    copied or shuffled. Beyond that, query blocks hold at most `block_rows` rows; candidate blocks are sized
     by their stored bytes (`cand_block_bytes`, from a measured average row
     size), so a candidate table within the budget is a single block and the
     queries are not replicated at all. Each query is shuffled once per
@@ -108,14 +161,22 @@ def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "den
     vcols = ["vec"] if kind == "dense" else ["idx", "val"]
     pcols = [part] if part else []
     width = F.size(vcols[0])
-    nq = queries.count()
+    schema = T.StructType([T.StructField("q", queries.schema["id"].dataType), T.StructField("c", cands.schema["id"].dataType),
+                           T.StructField("score", T.DoubleType())])
+    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
+    qstats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(width).alias("w")).first()
+    nq = qstats["n"]
+    if nq * (dim or qstats["w"] or 1) * 8 <= scan_bytes:
+        few = queries.select("id", *vcols, *pcols).toPandas()           # bounded by scan_bytes
+        hits = cands.select("id", *vcols, *pcols).mapInPandas(
+            _scan_fn(few, k, kind, dim, exclude_self, normalize, min_score, part, chunk_rows), schema)
+        return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                    .select(F.col("q").alias(q_name), F.col("c").alias(c_name), "rank", "score"))
     cstats = cands.agg(F.count(F.lit(1)).alias("n"), F.avg(width).alias("w")).first()
     nc, avg_w = cstats["n"], float(cstats["w"] or 1.0)
     row_bytes = 16 + avg_w * (8 if kind == "dense" else 12)
     c_rows = max(chunk_rows, int(cand_block_bytes // row_bytes))
     qb, cb = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nc / c_rows))
-    qt = queries.schema["id"].dataType
-    ct = cands.schema["id"].dataType
     q = (queries.select("id", *vcols, *pcols)
                 .withColumn("qblk", F.pmod(F.xxhash64("id"), F.lit(qb)))
                 .withColumn("cblk", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)).cast("array<long>"))))
@@ -123,10 +184,8 @@ def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "den
               .withColumn("cblk", F.pmod(F.xxhash64("id"), F.lit(cb)))
               .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>"))))
     keys = ["qblk", "cblk", *pcols]
-    schema = T.StructType([T.StructField("q", qt), T.StructField("c", ct), T.StructField("score", T.DoubleType())])
     hits = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
-        _block_fn(k, kind, dim, exclude_self, normalize, chunk_rows), schema)
-    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
+        _block_fn(k, kind, dim, exclude_self, normalize, chunk_rows, min_score), schema)
     return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select(F.col("q").alias(q_name), F.col("c").alias(c_name), "rank", "score"))
 

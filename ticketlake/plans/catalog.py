@@ -159,11 +159,11 @@ _each = " UNION ALL ".join(
 
 @register("pii_mask_each", _each)
 def pii_mask_each(spark, d):
-    docs = S.read_table(spark, d, "documents").select("text")
+    docs = S.read_table(spark, d, "documents").select(*[pii.match_count("text", p).alias(f"c_{n}") for n, p, _ in L.PII_PATTERNS])
     aggs = []
     for n, p, _ in L.PII_PATTERNS:
-        aggs += [F.count_if(F.col("text").rlike(p)).alias(f"h_{n}"),
-                 F.coalesce(F.sum(pii.match_count("text", p)), F.lit(0)).cast("long").alias(f"m_{n}")]
+        aggs += [F.count_if(F.col(f"c_{n}") > 0).alias(f"h_{n}"),
+                 F.coalesce(F.sum(f"c_{n}"), F.lit(0)).cast("long").alias(f"m_{n}")]
     wide = docs.agg(*aggs)
     stack = ", ".join(f"'{n}', h_{n}, m_{n}" for n, _, _ in L.PII_PATTERNS)
     return wide.selectExpr(f"stack({len(L.PII_PATTERNS)}, {stack}) AS (pii_type, rows_hit, n_matches)")
@@ -322,13 +322,13 @@ FROM (SELECT event_id, coalesce(json_extract_string(props, '$.intent'), {G.str_m
   TRY_CAST(json_extract(props, '$.k') AS BIGINT) / 100.0 AS risk FROM events)""")
 def coerce_predictions(spark, d):
     ev = S.read_table(spark, d, "events")
-    schema = "k long, intent string, confidence double, reasoning string"
+    schema = "k long, intent string, confidence string, reasoning string"
     j = ev.withColumn("j", F.from_json("props", schema))
     mapped = F.col("event_type")
     for k, v in _EVENT_INTENT.items():
         mapped = F.when(F.col("event_type") == k, F.lit(v)).otherwise(mapped)
     cls = F.struct(F.coalesce("j.intent", mapped).alias("intent"),
-                   F.coalesce(F.col("j.confidence"), F.col("j.k") / 50.0).alias("confidence"),
+                   F.coalesce(F.col("j.confidence"), (F.col("j.k") / 50.0).cast("string")).alias("confidence"),
                    F.col("j.reasoning").alias("reasoning"))
     act = F.when(F.col("j.k") >= 50, F.lit("escalate")).otherwise(F.col("event_type"))
     rt = F.struct(act.alias("action"), (F.col("j.k") / 100.0).alias("risk_score"),
@@ -769,7 +769,7 @@ def sample_conversations(spark, d):
 
 @register("reply_pair_slice", f"""SELECT response_id, query_id, user_query, response FROM (
   SELECT r.tweet_id AS response_id, r.in_response_to_tweet_id AS query_id, c.text AS user_query, r.text AS response
-  FROM tw r JOIN tw c ON c.tweet_id = r.in_response_to_tweet_id WHERE r.author_id = {O.BRAND} AND NOT r.inbound)
+  FROM tw r JOIN tw c ON c.tweet_id = r.in_response_to_tweet_id WHERE r.author_id = {O.BRAND} AND NOT r.inbound AND r.in_response_to_tweet_id <> '')
 ORDER BY CAST(response_id AS BIGINT) LIMIT {SLICE_LEN} OFFSET {SLICE_FROM}""")
 def reply_pair_slice(spark, d):
     """Row display by position: pairs [10, 20) in response order."""

@@ -158,7 +158,7 @@ FROM tr_top t JOIN cases k ON k.case_id = t.cid WHERE t.score >= 0.01"""
   n_cases > 0 AS has_evidence, escalate,
   CASE WHEN NOT escalate THEN list_filter(case_ids[1:3], lambda x: x IS NOT NULL AND x <> '') ELSE [] END AS evidence_case_ids,
   CASE WHEN escalate THEN 'Escalated to human agent' ELSE 'Template response for ' || intent END AS generation_reason,
-  CASE WHEN escalate THEN '' ELSE 'template' END AS used_llm, {tpl} AS template FROM tri3"""
+  CASE WHEN escalate THEN 'keyword' ELSE 'template' END AS used_llm, {tpl} AS template FROM tri3"""
     c["tri_out"] = """SELECT *, CASE WHEN escalate THEN printf('This message has been escalated to a human agent.' || chr(10) || 'Reason: %s' || chr(10) || 'Intent: %s (confidence: %.2f)',
   routing_reason, intent, round(confidence, 2)) ELSE template END AS response FROM tri"""
     return c

@@ -123,8 +123,10 @@ def evidence(rr: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(case)).alias("cases"))
 
 
-def triage(cls: DataFrame, ev: DataFrame) -> DataFrame:
-    """Route every message and assemble the reply or escalation."""
+def triage(cls: DataFrame, ev: DataFrame, classifier: str = "keyword") -> DataFrame:
+    """Route every message and assemble the reply or escalation. `used_llm`
+    names the provider of the last step: the reply's, or, where a message is
+    escalated and none is written, the classifier's."""
     j = cls.join(ev, "message_id", "left").withColumn("n_cases", F.coalesce("n_cases", F.lit(0)))
     r = RT.route("intent", "confidence", "n_cases", "avg_score", "message")
     j = j.withColumn("routing", r)
@@ -141,7 +143,7 @@ def triage(cls: DataFrame, ev: DataFrame) -> DataFrame:
         F.when(esc, F.array().cast("array<string>")).otherwise(tpl["evidence_case_ids"]).alias("evidence_case_ids"),
         esc.alias("escalate"),
         F.when(esc, F.lit("Escalated to human agent")).otherwise(tpl["reason"]).alias("generation_reason"),
-        F.when(esc, F.lit("")).otherwise(F.lit("template")).alias("used_llm"))
+        F.when(esc, F.lit(classifier)).otherwise(F.lit("template")).alias("used_llm"))
 
 
 def triage_all(spark: SparkSession, d: str) -> DataFrame:

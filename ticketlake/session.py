@@ -12,22 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "ticketlake") -> SparkSession:
     """Session for tests and the bench. On a cluster, pass nothing and let
-    spark-submit decide master and resources; the SQL settings still apply."""
+    spark-submit decide master, resources and shuffle partitions; only a local
+    master gets as many partitions as this machine has cores, and scans of few
+    splits dealt over them (`spark.ticketlake.spreadScans`)."""
     builder = SparkSession.builder.appName(app)
+    local = bool(master) and master.startswith("local")
+    parts = shuffle_partitions or int(os.environ.get("TL_SHUFFLE_PARTITIONS", "0"))
+    if local:
+        parts = parts or os.cpu_count() or 8
+        builder = builder.config("spark.ticketlake.spreadScans", "true").config(
+            "spark.driver.memory", os.environ.get("TL_DRIVER_MEMORY", "16g"))
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
-    parts = shuffle_partitions or int(os.environ.get("TL_SHUFFLE_PARTITIONS", "0")) or cores
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(parts))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("TL_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
     )
     spark = builder.getOrCreate()

@@ -74,15 +74,13 @@ TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the scan yields fewer splits
-    than cores (e.g. a single Parquet row group). On a cluster reading large
-    inputs the scan already has more splits than cores, so this is a no-op."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no partition introspection (e.g. a remote session): leave as is
+    """Round-robin the rows over all cores. Only where the session asks for it
+    (`spark.ticketlake.spreadScans`, an option of local test and bench sessions,
+    whose tables are one row group); scans of large inputs have splits enough."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.ticketlake.spreadScans", "false") != "true":
         return df
-    return df.repartition(cores) if parts < cores else df
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
