@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlake import lexicons as L
+from ticketlake.operators.sampling import seeded_hash
 from ticketlake.functions.text import best_label, col, keyword_scores, lower_text, strip_ws
 
 
@@ -141,6 +142,18 @@ def cascade(base: DataFrame, key: str, providers: Sequence[tuple[str, DataFrame]
     return out.withColumns(cols).drop(*drop)
 
 
-def taxonomy_frame(spark, confusions=L.TAXONOMY_CONFUSIONS) -> DataFrame:
-    rows = [(k, v) for k, v in confusions.items()]
-    return spark.createDataFrame(rows, "intent string, confusing_with array<string>")
+def taxonomy_frame(spark, confusions=L.TAXONOMY_CONFUSIONS, definitions=L.TAXONOMY_DEFINITIONS,
+                   examples: dict[str, list[str]] | None = None, store: str = "store") -> DataFrame:
+    """(intent, definition, examples, confusing_with), a row per intent."""
+    rows = [(k, definitions.get(k, "").format(store=store), (examples or {}).get(k, []), v) for k, v in confusions.items()]
+    return spark.createDataFrame(rows, "intent string, definition string, examples array<string>, confusing_with array<string>")
+
+
+def label_examples(labelled: DataFrame, n: int = 3, key: str = "conversation_id", text: str = "customer_problem",
+                   label: str = "intent", seed: int = 42) -> DataFrame:
+    """(label, examples): up to `n` texts per label, lowest seeded hash first;
+    the literal limit lets Spark cut every label before the shuffle."""
+    w = Window.partitionBy(label).orderBy("_h", key)
+    top = (labelled.withColumn("_h", seeded_hash(key, seed)).withColumn("_rn", F.row_number().over(w))
+                   .filter(F.col("_rn") <= n))
+    return top.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", text))), lambda x: x[text]).alias("examples"))

@@ -801,6 +801,81 @@ def case_summary(spark, d):
     return t.select("message_id", F.array_join(F.transform(top, item), "; ").alias("top_cases"))
 
 
+@register("quality_distribution", """SELECT resolution_quality, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM cases GROUP BY resolution_quality""")
+def quality_distribution(spark, d):
+    """Resolution quality of the knowledge base, with shares."""
+    out = PR.label_distribution(P.cases(spark, d), "resolution_quality")
+    return out.select(F.col("label").alias("resolution_quality"), "n", r6(F.col("pct")).alias("pct"))
+
+
+@register("thread_cases", """SELECT case_id, conversation_id, customer_problem, conversation, brand_responses, resolution, intent,
+  resolution_quality, turn_count FROM th_cases""")
+def thread_cases(spark, d):
+    """Cases of the conversations rebuilt from the reply graph of one brand."""
+    return P.thread_cases(spark, d)
+
+
+@register("pii_mask_one", f"SELECT doc_id, {', '.join(G.mask('text', [x]) + ' AS ' + x[0].lower() for x in L.PII_PATTERNS[:3])} FROM documents")
+def pii_mask_one(spark, d):
+    """Every document under single masks: mail, phone, order id."""
+    docs = S.read_table(spark, d, "documents")
+    return docs.select("doc_id", *[pii.mask_one("text", n).alias(n.lower()) for n, _, _ in L.PII_PATTERNS[:3]])
+
+
+_tax_rows = ", ".join(f"({G.lit(k)}, {G.lit(L.TAXONOMY_DEFINITIONS[k].format(store='store'))}, {G.lit(', '.join(v))})"
+                      for k, v in L.TAXONOMY_CONFUSIONS.items())
+
+
+@register("taxonomy_table", f"""SELECT x.intent, x.definition, x.confusing_with, coalesce(e.examples, '') AS examples
+FROM (VALUES {_tax_rows}) x(intent, definition, confusing_with)
+LEFT JOIN (SELECT intent, string_agg(example, chr(10) ORDER BY rn) AS examples FROM (
+  SELECT {G.map_labels('intent')} AS intent, customer_problem AS example,
+    row_number() OVER (PARTITION BY {G.map_labels('intent')} ORDER BY {O._hash('conversation_id', 42)}, conversation_id) AS rn FROM lab)
+  WHERE rn <= 3 GROUP BY intent) e ON e.intent = x.intent""")
+def taxonomy_table(spark, d):
+    """Definitions, confusions and three example problems of every intent."""
+    lab = P.labelled(spark, d).withColumn("intent", I.map_labels("intent"))
+    ex = I.label_examples(lab, 3)
+    return (I.taxonomy_frame(spark).drop("examples").join(ex, "intent", "left")
+             .select("intent", "definition", F.array_join("confusing_with", ", ").alias("confusing_with"),
+                     F.coalesce(F.array_join("examples", "\n"), F.lit("")).alias("examples")))
+
+
+E2E_N, E2E_SEED = 20, 123
+
+
+@register("pipeline_sample", f"""SELECT message_id, substring(message, 1, 100) AS message, intent, action, used_llm,
+  substring(response, 1, 120) AS response FROM tri_out WHERE message_id IN (
+  SELECT message_id FROM tmsg ORDER BY {O._hash('message_id', E2E_SEED)}, message_id LIMIT {E2E_N}) AND length(message) >= 5""")
+def pipeline_sample(spark, d):
+    """End-to-end rows of a seeded sample of 20 messages, previews cut."""
+    kb = P.kb_table(spark, d)
+    msgs = kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"))
+    some = SM.seeded_sample(msgs, "message_id", E2E_N, E2E_SEED).filter(F.length("message") >= 5)
+    cls = P.classified(some)
+    t = P.triage(cls, P.evidence(P.reranked(cls, P.retrieved(cls, kb))))
+    return t.select("message_id", F.substring("message", 1, 100).alias("message"), "intent", "action", "used_llm",
+                    F.substring("response", 1, 120).alias("response"))
+
+
+_ti = {"tib": f"SELECT case_id, customer_problem, {G.map_labels('intent')} AS part FROM cases",
+       "tiq": f"SELECT case_id AS message_id, customer_problem AS message, {G.map_labels('intent')} AS part FROM cases",
+       **O._tfidf("ti", "tib", "case_id", "customer_problem", "tiq", "message_id", "message", max_features=5000, k=5)}
+_ti["ti_s"] = ("SELECT q.id AS qid, c.id AS cid, round(sum(q.w * c.w), 12) AS score FROM ti_qv q JOIN ti_cv c USING (term) "
+               "JOIN tiq a ON a.message_id = q.id JOIN tib b ON b.case_id = c.id WHERE q.id <> c.id AND a.part = b.part GROUP BY q.id, c.id")
+
+
+@register("tfidf_retrieve_filtered", "SELECT qid AS message_id, cid AS case_id, rank, round(score, 6) AS score FROM ti_top WHERE score >= 0.01", _ti)
+def tfidf_retrieve_filtered(spark, d):
+    """Retrieval among the cases of the message's own intent (pre-filter)."""
+    kb = P.kb_table(spark, d).withColumn("part", I.map_labels("intent"))
+    q = kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"), "part")
+    out = tfidf_retrieve(q, "message_id", "message", kb, "case_id", "customer_problem", top_k=5, part="part",
+                         exclude_self=True, q_name="message_id", c_name="case_id")
+    return out.withColumn("score", r6(F.col("score")))
+
+
 def logreg_baseline(spark, d):
     """TF-IDF + logistic regression on the labelled documents (quality
     label), stratified 80/20 split; accuracy / macro / weighted F1 next to

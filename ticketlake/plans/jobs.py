@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.operators import kb as K
+from ticketlake.operators import sampling as SM
 from ticketlake.operators import metrics as M
 from ticketlake.operators import quality as Q
+from ticketlake.operators import threads as TH
 from ticketlake.plans import pipeline as P
 from ticketlake.sources import tables as S
 
 
-def build_kb(spark: SparkSession, sf_dir: str, out: str) -> dict[str, str]:
+SAMPLE_ROWS = 5000
+
+
+def build_kb(spark: SparkSession, sf_dir: str, out: str, source: str = "conversations", brand: str = P.BRAND) -> dict[str, str]:
     """Conversations -> processed (masked, reasons) -> labelled -> cases ->
-    index metadata, each written as Parquet; cases partitioned by intent so
-    an intent pre-filter prunes partitions."""
-    paths = {n: f"{out}/{n}" for n in ("conversations", "processed", "removal_report", "cases", "index_metadata")}
-    S.write_parquet(P.clean(spark, sf_dir), paths["conversations"])
+    index metadata, TF-IDF index, each written as Parquet; cases partitioned
+    by intent so an intent pre-filter prunes partitions. `source="threads"`
+    rebuilds the conversations of `brand` from the tweets first. The valid
+    conversations are also written as a seeded sample of 5,000."""
+    paths = {n: f"{out}/{n}" for n in ("conversations", "processed", "processed_sample", "removal_report", "cases",
+                                       "index_metadata", "index")}
+    conv = P.clean(spark, sf_dir) if source == "conversations" else \
+        TH.clean_conversations(P.thread_conversations(spark, sf_dir, brand))
+    S.write_parquet(conv, paths["conversations"])
     proc = Q.processed_conversations(spark.read.parquet(paths["conversations"]))
     S.write_parquet(proc, paths["processed"])
     proc = spark.read.parquet(paths["processed"])
@@ -26,7 +36,29 @@ def build_kb(spark: SparkSession, sf_dir: str, out: str) -> dict[str, str]:
     from ticketlake.operators import intent as I
     lab = I.label_table(proc.filter("is_valid").drop("reason", "is_valid"), "customer_problem", "intent")
     S.write_parquet(K.build_cases(lab), paths["cases"], partition_by=["intent"])
-    S.write_parquet(K.index_metadata(spark.read.parquet(paths["cases"])), paths["index_metadata"])
+    S.write_parquet(SM.seeded_sample(proc.filter("is_valid"), "conversation_id", SAMPLE_ROWS), paths["processed_sample"])
+    cases = spark.read.parquet(paths["cases"])
+    S.write_parquet(K.index_metadata(cases), paths["index_metadata"])
+    save_index(P.kb_index(cases), paths["index"])
+    return paths
+
+
+def save_index(index: tuple[DataFrame, DataFrame, int], path: str) -> None:
+    """Write a TF-IDF index (vocabulary, vectors) once, for every later search."""
+    S.write_parquet(index[0], f"{path}/vocab")
+    S.write_parquet(index[1], f"{path}/vectors")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    vocab = spark.read.parquet(f"{path}/vocab")
+    return vocab, spark.read.parquet(f"{path}/vectors"), max(1, vocab.count())
+
+
+def write_golden_set(golden: DataFrame, out: str) -> dict[str, str]:
+    """The golden examples as CSV and as JSON lines."""
+    paths = {"csv": f"{out}/golden_csv", "json": f"{out}/golden_json"}
+    S.write_csv(golden, paths["csv"])
+    S.write_json(golden, paths["json"])
     return paths
 
 
@@ -38,11 +70,12 @@ def triage_job(spark: SparkSession, sf_dir: str, out: str) -> str:
 
 
 def metrics_report(spark: SparkSession, pred_table, routing_table, provider: str = "keyword",
-                   elapsed_seconds: float | None = None) -> str:
-    """Nested metrics JSON (provider, intent, routing, elapsed). The inputs
-    are small grouped results, so the final document is built on the driver
-    from at most a label-sized table."""
-    summ = [r.asDict() for r in M.summary(M.per_label(pred_table)).collect()]
-    agree = M.agreement(routing_table).first().asDict()
-    return json.dumps({"provider": provider, "intent_classification": summ, "routing": agree,
-                       "elapsed_seconds": elapsed_seconds}, default=str)
+                   elapsed_seconds: float | None = None, retrieval=None, response_quality=None) -> str:
+    """Nested metrics JSON: provider, intent, retrieval, response quality,
+    routing, elapsed. The inputs are grouped results of a few rows (a row a
+    label, or one), so the document is built on the driver."""
+    one = lambda df: None if df is None else df.first().asDict()
+    return json.dumps({"provider": provider,
+                       "intent_classification": [r.asDict() for r in M.summary(M.per_label(pred_table)).collect()],
+                       "retrieval": one(retrieval), "response_quality": one(response_quality),
+                       "routing": one(M.agreement(routing_table)), "elapsed_seconds": elapsed_seconds}, default=str)

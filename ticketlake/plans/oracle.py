@@ -126,6 +126,12 @@ WHERE customer_problem <> '' AND brand_responses <> '' AND turn_count >= 2"""
   coalesce(conversation, '') AS conversation, brand_responses, {G.extract_actions('brand_responses')} AS resolution,
   coalesce(intent, {G.lit(L.DEFAULT_INTENT)}) AS intent, {G.quality_level(qs)} AS resolution_quality,
   coalesce(turn_count, 2) AS turn_count FROM lab"""
+    # the same chain over the conversations of the rebuilt threads, whose keys are strings
+    import re
+    for n in ("clean", "masked", "proc", "lab0", "lab", "cases"):
+        sql = re.sub(r"\bFROM (conv|clean|masked|proc|lab0|lab)\b", lambda m: "FROM " + ("tconv" if m[1] == "conv" else "th_" + m[1]), c[n])
+        c["th_" + n] = sql.replace("printf('C%06d', conversation_id)",
+                                   "'C' || CASE WHEN length(conversation_id) >= 6 THEN conversation_id ELSE lpad(conversation_id, 6, '0') END")
     # ------------------------------------------------------------- triage
     c["tmsg"] = f"SELECT case_id AS message_id, customer_problem AS message, {G.map_labels('intent')} AS truth FROM cases"
     c["cls0"] = f"SELECT *, {score} FROM tmsg"

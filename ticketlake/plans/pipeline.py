@@ -63,9 +63,18 @@ def processed(spark: SparkSession, d: str) -> DataFrame:
     return Q.processed_conversations(clean(spark, d))
 
 
+def label_valid(proc: DataFrame) -> DataFrame:
+    return I.label_table(proc.filter("is_valid").drop("reason", "is_valid"), "customer_problem", "intent")
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    valid = processed(spark, d).filter("is_valid").drop("reason", "is_valid")
-    return I.label_table(valid, "customer_problem", "intent")
+    return label_valid(processed(spark, d))
+
+
+def thread_cases(spark: SparkSession, d: str, brand: str = BRAND) -> DataFrame:
+    """Tweets -> threads -> conversations -> masked and filtered -> cases."""
+    conv = TH.clean_conversations(thread_conversations(spark, d, brand))
+    return K.build_cases(label_valid(Q.processed_conversations(conv)))
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:

@@ -191,3 +191,39 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+# -------------------------------------------------- typed readers and writers
+
+#: Columns of the file formats, in order, with the value an absent column or a
+#: null takes (None: stays null).
+CONVERSATION_COLUMNS = {"conversation_id": ("string", None), "conversation": ("string", ""), "customer_problem": ("string", ""),
+                        "brand_responses": ("string", ""), "turn_count": ("bigint", 2), "customer_turns": ("bigint", None),
+                        "first_timestamp": ("timestamp_ntz", None), "last_timestamp": ("timestamp_ntz", None)}
+CASE_COLUMNS = {"case_id": ("string", None), "conversation_id": ("string", ""), "customer_problem": ("string", ""),
+                "conversation": ("string", ""), "brand_responses": ("string", ""), "resolution": ("string", ""),
+                "intent": ("string", "general_inquiry"), "resolution_quality": ("string", "weak"), "turn_count": ("bigint", 2)}
+GOLDEN_COLUMNS = {"example_id": ("string", None), "customer_message": ("string", ""), "intent": ("string", "general_inquiry"),
+                  "intent_notes": ("string", ""), "expected_action": ("string", "auto_handle"),
+                  "reference_response": ("string", ""), "difficulty": ("string", "easy"), "turn_count": ("bigint", 2)}
+
+
+def typed(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """The columns in their types; absent ones and nulls take their default."""
+    out = []
+    for name, (kind, default) in columns.items():
+        c = F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        out.append((c if default is None else F.coalesce(c, F.lit(default).cast(kind))).alias(name))
+    return df.select(*out)
+
+
+def read_typed(spark: SparkSession, path: str, columns: dict[str, tuple[str, object]], fmt: str = "csv") -> DataFrame:
+    """Read a conversation, case or golden file (CSV with a header, JSON lines
+    or Parquet) without inferring types from the data."""
+    if fmt == "csv":
+        df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    elif fmt == "json":
+        df = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).json(path)
+    else:
+        df = spark.read.parquet(path)
+    return typed(df, columns)
