@@ -66,7 +66,3 @@ def word_count(c: str | Column) -> Column:
     return F.when(s.isNull(), F.lit(None).cast("int")) \
         .when(s == "", F.lit(0)) \
         .otherwise(F.size(F.split(s, r"\s+")))
-
-
-def join_nonempty(parts: Column, sep: str) -> Column:
-    return F.array_join(parts, sep)

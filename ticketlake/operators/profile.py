@@ -83,24 +83,30 @@ def null_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                         F.round(F.col("n_missing") * 100.0 / F.col("__n"), 6).alias("pct")))
 
 
-def length_profile(conv: DataFrame, tweets: DataFrame, approx: bool = False) -> DataFrame:
+def length_profile(conv: DataFrame, tweets: DataFrame) -> DataFrame:
     """Words per customer problem (mean/median over non-null), brand response
     length (count/mean/median over non-null) and tweet text length
-    (mean/median/max)."""
-    words = word_count("customer_problem").cast("double")
-    rlen = F.length("brand_responses").cast("double")
-    med = (lambda d, e: _median(e, True)) if approx else _exact_median
-    a = conv.agg(F.round(F.avg(words), 6).alias("words_mean"),
-                 F.round(med(conv, words), 6).alias("words_median"),
-                 F.count("brand_responses").alias("responses_nonnull"),
-                 F.round(F.avg(rlen), 6).alias("response_len_mean"),
-                 F.round(med(conv, rlen), 6).alias("response_len_median"))
-    tlen = F.length("text").cast("double")
-    b = tweets.agg(F.round(F.avg(tlen), 6).alias("text_len_mean"),
-                   F.round(med(tweets, tlen), 6).alias("text_len_median"),
-                   F.max(tlen).alias("text_len_max"))
-    # the tweet-side figures attach as (merged) scalar subqueries
-    return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
+    (mean/median/max). One pass over each input builds a histogram of lengths
+    (a row per distinct length, combined map-side) that gives all figures."""
+    item = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("double").alias("v"))
+    both = conv.select(F.explode(F.array(item("words", word_count("customer_problem")),
+                                         item("response", F.length("brand_responses")))).alias("x"))
+    h = (both.unionByName(tweets.select(item("text", F.length("text")).alias("x"))).select("x.*").filter("v IS NOT NULL")
+             .groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
+    total = F.sum("n").over(Window.partitionBy("k"))
+    h = h.withColumns({"upto": upto, "total": total})
+    at = lambda p: F.max(F.when((F.col("upto") - F.col("n") < p) & (F.col("upto") >= p), F.col("v")))
+    one = h.groupBy("k").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.max("v").alias("max"),
+        ((at(F.floor((F.col("total") + 1) / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2).alias("median"))
+    get = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    r = lambda k, c, name: F.round(get(k, c), 6).alias(name)
+    return one.agg(r("words", "mean", "words_mean"), r("words", "median", "words_median"),
+                   F.coalesce(get("response", "n"), F.lit(0)).alias("responses_nonnull"),
+                   r("response", "mean", "response_len_mean"), r("response", "median", "response_len_median"),
+                   r("text", "mean", "text_len_mean"), r("text", "median", "text_len_median"),
+                   get("text", "max").alias("text_len_max"))
 
 
 def share_inbound(tweets: DataFrame) -> DataFrame:

@@ -45,10 +45,6 @@ def with_reasons(conv: DataFrame, **kw) -> DataFrame:
                .withColumn("is_valid", F.col("reason") == "valid")
 
 
-def filter_valid(conv: DataFrame, **kw) -> DataFrame:
-    return with_reasons(conv, **kw).filter("is_valid").drop("reason", "is_valid")
-
-
 def with_share(counts: DataFrame, n: str, out: str) -> DataFrame:
     """Percent of total over an already-aggregated table (one row per label,
     so the single-partition total window is bounded by the label count)."""

@@ -29,14 +29,6 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def l2_normalize(c: str | Column) -> Column:
-    """Unit vector as ARRAY<DOUBLE>; a zero vector stays zero."""
-    v = F.col(c) if isinstance(c, str) else c
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)) \
-            .otherwise(F.transform(v, lambda x: x.cast("double") * 0.0))
-
-
 def _dense(pdf: pd.DataFrame, kind: str, dim: int | None) -> np.ndarray:
     if kind == "dense":
         if len(pdf) == 0:
