@@ -336,8 +336,9 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("n_words long, whole string")
     def whole(texts: pd.Series) -> pd.DataFrame:
-        got = [_words(t) for t in texts]
-        return pd.DataFrame({"n_words": [len(w) for w in got], "whole": [_digest(w) for w in got]})
+        # one text's words at a time: those of a whole batch would take hundreds of MB
+        got = [(len(w), _digest(w)) for w in map(_words, texts)]
+        return pd.DataFrame(got, columns=["n_words", "whole"])
 
     changed = repeats(docs, text_col=text_col, window=window, **kw)
     changed = written(changed.select("k", "k2", cut("text", "copies", "runs").alias("c")).select("k", "k2", "c.*")
