@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 import tempfile
 
@@ -19,6 +20,9 @@ def spark():
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    folder = tempfile.mkdtemp(prefix="tl-test-ckpt-")
     if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tl-test-ckpt-"))
+        s.sparkContext.setCheckpointDir(folder)
     yield s
+    s.stop()
+    shutil.rmtree(folder, ignore_errors=True)

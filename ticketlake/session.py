@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -57,6 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError(
             "set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for iterative operators")
     path = tempfile.mkdtemp(prefix="ticketlake-ckpt-", dir=os.environ.get("TL_SCRATCH", "/tmp"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)     # a scratch folder of this process alone
     sc.setCheckpointDir(path)
     return path
 
