@@ -26,7 +26,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     tot = F.sum("_nc").over(Window.partitionBy())
     k = F.count(F.lit(1)).over(Window.partitionBy())
     w = counts.select(label, (tot / (k * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def fit_logreg(train: DataFrame, text: str, label: str, C: float = 1.0, max_iter: int = 1000,

@@ -10,6 +10,13 @@ bound and is broadcast; vectors are sparse (idx, val) arrays per row.
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +24,9 @@ from pyspark.sql import functions as F
 from ticketlake.operators.vectors import block_topk
 from ticketlake.session import cut_lineage
 
+# ship the kernels with the task (pickled by value)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -59,33 +69,57 @@ def term_arrays(df: DataFrame, text: str, ngram_max: int = 2, stop_words: bool =
     return out.withColumn("terms", terms).drop("_tok")
 
 
+def _count_terms(frames: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """(term, total, df) of a partition, given out whenever `most` terms are held."""
+    total: Counter = Counter()
+    df: Counter = Counter()
+    for frame in frames:
+        for terms in frame["terms"]:
+            if terms is not None:
+                total.update(terms)
+                df.update(set(terms))
+            if len(total) > most:
+                yield pd.DataFrame({"term": list(total), "total": list(total.values()), "df": [df[t] for t in total]})
+                total.clear()
+                df.clear()
+    if total:
+        yield pd.DataFrame({"term": list(total), "total": list(total.values()), "df": [df[t] for t in total]})
+
+
 def _fit(terms: DataFrame, n_docs: int, *, min_df: int, max_df: float, max_features: int) -> DataFrame:
-    """Vocabulary from per-row term arrays: document frequency counts each
-    row's distinct terms, corpus frequency counts every occurrence; both are
-    term-keyed aggregations with map-side combine (no (row, term) shuffle)."""
+    """Vocabulary from per-row term arrays: corpus frequency counts every
+    occurrence, document frequency each row once; both are counted inside the
+    tasks and summed in one aggregation over terms."""
     n = F.lit(float(n_docs))
-    dfc = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term") \
-               .agg(F.count(F.lit(1)).alias("df"))
-    tot = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
-    kept = dfc.join(tot, "term").filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
+    counts = (terms.select("terms").mapInPandas(_count_terms, "term string, total long, df long")
+                   .groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
+    kept = counts.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     top = kept.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     # bounded by max_features: the index window runs on at most that many rows
     return top.select("term", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"),
                       (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("tidx"))
 
 
+def _weigher(vocab: dict[str, tuple[int, float]]):
+    """Sparse unit vectors of term arrays, counted within the row."""
+    @F.pandas_udf("idx array<int>, val array<double>")
+    def weigh(rows: pd.Series) -> pd.DataFrame:
+        idx, val = [], []
+        for terms in rows:
+            found = sorted((vocab[t], k) for t, k in Counter(terms if terms is not None else ()).items() if t in vocab)
+            w = np.array([k * idf for (_, idf), k in found])
+            idx.append([i for (i, _), _ in found])
+            val.append((w / np.sqrt((w * w).sum())).tolist() if len(w) else [])
+        return pd.DataFrame({"idx": idx, "val": val})
+    return weigh
+
+
 def _vectors(terms: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """(id, idx ARRAY<INT>, val ARRAY<DOUBLE>) L2-normalised; the vocabulary
-    (at most max_features rows) is broadcast, so only vocabulary terms are
-    counted per row."""
-    w = (terms.select(F.col(key).alias("id"), F.explode("terms").alias("term"))
-              .join(F.broadcast(vocab.select("term", "tidx", "idf")), "term")
-              .groupBy("id", "tidx", "idf").agg(F.count(F.lit(1)).alias("tf")))
-    per = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
-        "tidx", (F.col("tf") * F.col("idf")).alias("w")))).alias("p"))
-    norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    return per.select("id", F.transform("p", lambda e: e["tidx"]).alias("idx"),
-                      F.transform("p", lambda e: e["w"] / norm).alias("val"))
+    """(id, idx ARRAY<INT>, val ARRAY<DOUBLE>) L2-normalised; map-only, as the
+    vocabulary (at most max_features rows) goes to every task."""
+    words = {r["term"]: (r["tidx"], r["idf"]) for r in vocab.select("term", "tidx", "idf").collect()}
+    return (terms.select(F.col(key).alias("id"), _weigher(words)("terms").alias("v"))
+                 .select("id", "v.idx", "v.val").filter(F.size("idx") > 0))
 
 
 def fit_vocabulary(docs: DataFrame, key: str, text: str, *, ngram_max: int = 2, stop_words: bool = False,
