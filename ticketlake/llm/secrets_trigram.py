@@ -139,11 +139,12 @@ def build_index(docs: DataFrame, text_col: str, rules: list[Rule]) -> DataFrame:
     text = F.coalesce(col(text_col), F.lit(""))
     queries = {r: trigram_query(r.regex) for r in rules}
     tris = sorted({t for q in queries.values() for a in q for t in a})
-    low = F.lower(F.col("text"))
-    terms = [F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in tris]
-    terms += [F.when(_may_match(F.col("text"), r), F.lit(f"scan:{r.kind}")) for r, q in queries.items() if not q]
-    return (docs.select(text.alias("text")).select("text", low.alias("low"))
-                .select(F.array_compact(F.array(*terms)).alias("terms"), text_key(F.col("text")).alias("key"))
+    # one small expression over the list of trigrams; the outer function keeps the lowered text of a row
+    held = F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*map(F.lit, tris)).cast("array<string>"), lambda t: F.contains(low, t)))[0]
+    scans = F.array(*[F.when(_may_match(F.col("text"), r), F.lit(f"scan:{r.kind}")) for r, q in queries.items() if not q])
+    return (docs.select(text.alias("text"))
+                .select(F.concat(held, F.array_compact(scans).cast("array<string>")).alias("terms"),
+                        text_key(F.col("text")).alias("key"))
                 .where(F.size("terms") > 0).distinct()
                 .select(F.explode("terms").alias("term"), "key"))
 
