@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import col, strip_ws
+from ticketlake.operators.components import components
 from ticketlake.session import cut_lineage
 
 ID_PATTERN = r"^(\d+)(?:\.0+)?$"
@@ -120,6 +121,33 @@ def _closure_frontier(tweets: DataFrame, brand: str) -> DataFrame:
     return tweets.join(seen.withColumnRenamed("id", "tweet_id"), "tweet_id", "left_semi")
 
 
+def _closure_contracted(tweets: DataFrame, brand: str) -> DataFrame:
+    """The closure of a dump with some inconsistent edges: tweets joined by
+    edges that both ends state are one component and reached together, so the
+    frontier walks components, and only over the edges that one end states."""
+    ids = tweets.select(F.col("tweet_id").alias("nbr")).distinct()
+    edges = cut_lineage(neighbours(tweets).distinct().join(ids, "nbr", "left_semi").select("src", "nbr"))
+    back = edges.select(F.col("nbr").alias("src"), F.col("src").alias("nbr"))
+    roots = components(edges.join(back, ["src", "nbr"], "left_semi"), "src", "nbr")
+    comp = cut_lineage(ids.join(roots, ids.nbr == roots.node, "left")
+                          .select(F.col("nbr").alias("id"), F.coalesce("root", "nbr").alias("comp")))
+    one_way = edges.join(back, ["src", "nbr"], "left_anti")
+    to = comp.select(F.col("id").alias("nbr"), F.col("comp").alias("to"))
+    steps = cut_lineage(one_way.join(comp.withColumnRenamed("id", "src"), "src").join(to, "nbr")
+                               .select("comp", "to").filter("comp <> to").distinct())
+    seen = cut_lineage(brand_seed_ids(tweets, brand).join(comp, "id").select("comp").distinct())
+    frontier = seen
+    while True:         # ends: every round adds components
+        new = cut_lineage(frontier.join(steps, "comp").select(F.col("to").alias("comp")).distinct()
+                                  .join(seen, "comp", "left_anti"))
+        if new.isEmpty():
+            break
+        seen = cut_lineage(seen.union(new))
+        frontier = new
+    keep = comp.join(seen, "comp", "left_semi").select(F.col("id").alias("tweet_id"))
+    return tweets.join(keep, "tweet_id", "left_semi")
+
+
 def edges_consistent(tweets: DataFrame) -> bool:
     """True when, between existing tweets, every listed child points back to
     its lister and every parent pointer is listed by the parent: then reply
@@ -170,13 +198,14 @@ def thread_closure(tweets: DataFrame, brand: str, method: str = "auto",
     method="components": for consistent dumps, the union of reply-graph
     components holding a brand tweet: pointer-doubling roots, cycles labelled
     by their smallest id, O(log depth) rounds. "auto" checks consistency
-    with one edge join and picks components when it holds.
+    with one edge join and picks components when it holds; otherwise the
+    consistent part is contracted and only its other edges are walked.
     `with_roots=True` adds `root_id` (the parent-walk root within the
     closure), reusing the component path's roots: every existing parent of a
     closure member is itself in the closure."""
     tweets = cut_lineage(tweets)
     if method == "frontier" or (method == "auto" and not edges_consistent(tweets)):
-        rel = cut_lineage(_closure_frontier(tweets, brand))
+        rel = cut_lineage((_closure_frontier if method == "frontier" else _closure_contracted)(tweets, brand))
         return rel.join(thread_roots(rel), "tweet_id") if with_roots else rel
     rooted = cut_lineage(thread_roots(tweets))
     comp = rooted.join(_cycle_labels(tweets, rooted), "root_id").select("tweet_id", "root_id", "comp")
