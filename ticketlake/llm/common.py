@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlake.operators.components import components as _components
 from ticketlake.session import ensure_checkpoint_dir
 
 #: A word: a run of characters other than space and U+0009..U+000D. It is the
@@ -52,34 +53,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
-    """(node, root): every node of a link and the smallest node it reaches.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): each
-    round is a grouped minimum and a join over at most as many rows as there
-    are links, so no component is ever gathered in one task or on the driver.
-    Stops when a round changes nothing; raises if `max_rounds` do not suffice.
-    """
-    e = written(links.select(col(a).alias("u"), col(b).alias("v"))
-                .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-                .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    for _ in range(max_rounds):
-        # large-star: every neighbour above a node is linked to the node's least neighbour
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .where("u <> v").distinct())
-        # small-star: a node and its lower neighbours are linked to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u")
-                      .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                                                F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-                      .select("x.*").where("u <> v").distinct())
-        nxt = written(small, "links")
-        change = nxt.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"))
-        now, was = change.first(), e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        e = nxt
-        if now == was:
-            return (e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-                     .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): connected components, a written table a round."""
+    return _components(links, a, b, keep=lambda t: written(t, "links"))
