@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from ticketlake.operators import intent as I
+from ticketlake.operators import vectors as V
 from ticketlake.plans import jobs
 from ticketlake.plans import pipeline as P
 from ticketlake.sources import tables as S
@@ -24,6 +25,8 @@ def test_knowledge_base_from_threads_and_its_index(spark, tmp_path):
     key = ["message_id", "case_id", "retrieval_rank"]
     a, b = ({tuple(r) for r in P.retrieved(cls, cases, index=i).select(*key).collect()} for i in (index, None))
     assert a == b
+    out = jobs.triage_job(spark, SF, str(tmp_path / "triage"), kb=paths)
+    assert spark.read.text(out).count() == cases.count()
 
 
 def test_golden_files_round_trip(spark, tmp_path):
@@ -58,3 +61,10 @@ def test_examples_per_label(spark):
     got = {r.intent: r.examples for r in I.label_examples(df, 3).collect()}
     assert set(got) == {"a", "b"} and all(len(v) == 3 and all(int(t[1:]) % 2 == (k == "b") for t in v) for k, v in got.items())
 
+
+
+def test_featurizer_hook(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "id long, raw array<double>")
+    by_name = V.embed(df, "raw").select("vec").collect()
+    by_function = V.embed(df, lambda x: x.withColumn("vec", F.col("raw"))).select("vec").collect()
+    assert by_name == by_function

@@ -55,6 +55,12 @@ JUDGE_TEMPLATE = ("Score this support reply from 1 to 5 on groundedness, correct
                   "and escalation. Answer with a JSON object of those five keys.\n"
                   "Message: {message}\nIntent: {intent}\nReply: {response}\nEvidence: {evidence}")
 
+CLASSIFY_TEMPLATE = ("Choose exactly one intent for this customer message.\nIntents: {intents}\nMessage: {message}\n"
+                     "Answer with a JSON object of intent, confidence (0 to 1) and reasoning.")
+GENERATE_TEMPLATE = ("Draft a reply to this customer message that rests only on the evidence; promise nothing it does not hold.\n"
+                     "Message: {message}\nIntent: {intent}\nEvidence: {evidence}\n"
+                     "Answer with a JSON object of response, evidence_case_ids, escalate and reason.")
+
 
 def prompt_rows(template: str, **fields: Column) -> Column:
     """Fill `{name}` placeholders from columns (format_string, no UDF)."""

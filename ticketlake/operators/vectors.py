@@ -29,6 +29,18 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def embed(df: DataFrame, featurizer, out: str = "vec") -> DataFrame:
+    """Adds the vector column `out`: from a column expression or name, or from
+    a function DataFrame -> DataFrame (an ML pipeline's `transform`, a
+    `mapInPandas` batch model) that adds it. Unit length is `block_topk`'s."""
+    if callable(featurizer):
+        got = featurizer(df)
+        if out not in got.columns:
+            raise ValueError(f"the featurizer adds no column {out!r}")
+        return got
+    return df.withColumn(out, F.col(featurizer) if isinstance(featurizer, str) else featurizer)
+
+
 def _dense(pdf: pd.DataFrame, kind: str, dim: int | None) -> np.ndarray:
     if kind == "dense":
         if len(pdf) == 0:

@@ -963,6 +963,35 @@ def judge_prompts(spark, d):
                                                 response=F.col("response"), evidence=ev).alias("prompt"))
 
 
+def _prompt_sql(template: str, **args: str) -> str:
+    names = _re.findall(r"{(\w+)}", template)
+    fmt = _re.sub(r"{\w+}", "%s", template.replace("%", "%%"))
+    return f"printf({G.lit(fmt)}, {', '.join(args[n] for n in names)})"
+
+
+_intent_list = ", ".join(L.VALID_INTENTS)
+
+
+@register("classification_prompts", f"""SELECT message_id, {_prompt_sql(R.CLASSIFY_TEMPLATE, intents=G.lit(_intent_list), message="coalesce(message, '')")} AS prompt
+FROM tmsg""")
+def classification_prompts(spark, d):
+    """A prompt row per message for an external classifier."""
+    return P.triage_messages(spark, d).select("message_id", R.prompt_rows(
+        R.CLASSIFY_TEMPLATE, intents=F.lit(_intent_list), message=F.col("message")).alias("prompt"))
+
+
+@register("generation_prompts", f"""SELECT t.message_id, {_prompt_sql(R.GENERATE_TEMPLATE, message="coalesce(t.message, '')", intent="coalesce(t.intent, '')", evidence="coalesce(e.evidence, '')")} AS prompt
+FROM tri_out t LEFT JOIN (SELECT message_id, string_agg(case_id || ': ' || resolution, '; ' ORDER BY rerank_rank) AS evidence
+  FROM rr WHERE rerank_rank <= 3 GROUP BY message_id) e USING (message_id) WHERE NOT t.escalate""")
+def generation_prompts(spark, d):
+    """A prompt row per message that is to be answered, with the resolutions
+    of its first three cases, for an external generator."""
+    ev = F.array_join(F.transform(F.slice(F.coalesce("cases", F.array()), 1, 3),
+                                  lambda c: F.concat(c["case_id"], F.lit(": "), c["resolution"])), "; ")
+    return _triage(spark, d).filter("NOT escalate").select("message_id", R.prompt_rows(
+        R.GENERATE_TEMPLATE, message=F.col("message"), intent=F.col("intent"), evidence=ev).alias("prompt"))
+
+
 @register("topk_cosine_postfilter", f"""SELECT query_id, case_id, rn AS rank, score FROM (
   SELECT t.query_id, t.case_id, t.score, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS rn
   FROM ({_emb_top(False).replace(f'rank <= {TOPK}', f'rank <= {3 * TOPK}')}) t

@@ -62,9 +62,11 @@ def write_golden_set(golden: DataFrame, out: str) -> dict[str, str]:
     return paths
 
 
-def triage_job(spark: SparkSession, sf_dir: str, out: str) -> str:
-    """Batch triage of every message; records written as JSON lines."""
-    rec = P.record(P.triage_all(spark, sf_dir))
+def triage_job(spark: SparkSession, sf_dir: str, out: str, kb: dict[str, str] | None = None) -> str:
+    """Batch triage of every message; records written as JSON lines. `kb` are
+    the paths that `build_kb` returned: its cases and index are read."""
+    cases, index = (spark.read.parquet(kb["cases"]), load_index(spark, kb["index"])) if kb else (None, None)
+    rec = P.record(P.triage_all(spark, sf_dir, cases, index))
     rec.select("json").write.mode("overwrite").text(f"{out}/records")
     return f"{out}/records"
 

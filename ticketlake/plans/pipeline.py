@@ -155,14 +155,16 @@ def triage(cls: DataFrame, ev: DataFrame, classifier: str = "keyword") -> DataFr
         F.when(esc, F.lit(classifier)).otherwise(F.lit("template")).alias("used_llm"))
 
 
-def triage_all(spark: SparkSession, d: str) -> DataFrame:
+def triage_all(spark: SparkSession, d: str, kb: DataFrame | None = None, index=None) -> DataFrame:
+    """Triage of every message; `kb` and `index` are a written knowledge base
+    and its index (`jobs.build_kb`, `jobs.load_index`), else both are built."""
     # the KB is read several times (corpus, vectors, case fields, messages):
     # materialise it once in the shared checkpoint folder
-    kb = kb_table(spark, d)
+    kb = kb_table(spark, d) if kb is None else kb
     msgs = kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message"),
                      I.map_labels("intent").alias("truth"))
     cls = classified(msgs)
-    rr = reranked(cls, retrieved(cls, kb))
+    rr = reranked(cls, retrieved(cls, kb, index=index))
     return triage(cls, evidence(rr))
 
 
