@@ -45,7 +45,7 @@ by_value(__name__)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _BUCKETS = 1 << 16
-_CHUNK = 250_000        # words handled at once
+_CHUNK = 100_000        # words handled at once
 
 
 class WordHashes(dict):
@@ -53,7 +53,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
