@@ -167,6 +167,53 @@ def test_edited_copies_are_found(spark, make_docs):
     assert all(0.6 <= got[i].score < 1 and 45 <= got[i].first_word <= 55 for i in want)
 
 
+def test_seeds_lose_no_alignment_that_reaches_the_score():
+    """Random and even edits of a fifth to a quarter of the words, and a word
+    put in after every two, against aligning every item with every text."""
+    r = random.Random(5)
+    items = [[f"i{k}w{j}" if r.random() < 0.6 else f"c{r.randrange(20)}" for j in range(m)]
+             for k, m in enumerate((4, 5, 6, 9, 15, 25, 40, 59))]
+    texts = []
+    for k, item in enumerate(items):
+        for rate in (4, 5, 3):
+            texts.append([("edited" if j % rate == rate - 1 else w) for j, w in enumerate(item)])
+        texts.append([x for j, w in enumerate(item) for x in ((w, "extra") if j % 2 else (w,))])
+        for share in (0.2, 0.25):
+            for _ in range(8):
+                texts.append([x for w in item for x in ((w,) if r.random() > share else r.choice([("edited",), (), (w, "extra")]))])
+    texts = [[f"c{r.randrange(20)}" for _ in range(60)] + t + [f"c{r.randrange(20)}" for _ in range(60)] for t in texts]
+    number = {w: n for n, w in enumerate({w for t in [*items, *texts] for w in t})}
+    code = lambda ws: np.array([number[w] for w in ws])
+    want = {}
+    for n, t in enumerate(texts):
+        for k, item in enumerate(items):
+            score, _ = decontaminate_sw.align(code(item), code(t))
+            if score >= 0.6 * 2 * len(item):
+                want[n, k] = score / (2 * len(item))
+    assert len(want) > 80
+    for size in (1, 2):
+        mine = [" ".join(x) if (len(x) > 5) == (size == 2) else None for x in items]
+        g = decontaminate_sw.Grams(mine, size)
+        for df in (np.zeros(g.size), np.random.default_rng(0).random(g.size)):      # whatever is counted
+            seed = decontaminate_sw.seeds(g, df, 0.6)
+            got = {(n, k): s for n, t in enumerate(texts)
+                   for k, s, _, _ in decontaminate_sw.find_items(g, seed, [w.encode() for w in t], 0.6)}
+            assert got == {(n, k): s for (n, k), s in want.items() if mine[k]}
+
+
+@pytest.mark.parametrize("copies, others", [(300, 30), (1, 12)])
+def test_edited_copies_without_common_grams_are_found(make_docs, copies, others):
+    """A hot group of one copy with every fifth word replaced, and a small table."""
+    r = random.Random(3)
+    item = [f"term{i}" for i in range(40)]
+    hot = " ".join("edited" if i % 5 == 4 else w for i, w in enumerate(item))
+    docs = [(i, hot) for i in range(copies)] + [(1000 + i, " ".join(f"x{r.randrange(50)}" for _ in range(80))) for i in range(others)]
+    bench = make_docs([]).sparkSession.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.id: round(r.score, 6) for r in decontaminate_sw.contaminations(make_docs(docs), bench).collect()}
+    assert got == dict.fromkeys(range(copies), 0.7125)        # 32 matches and 7 replacements before the last word
+    assert decontaminate_sw.drop_contaminated(make_docs(docs), bench).count() == others
+
+
 def test_secret_spans_by_hand(spark, make_docs):
     t = "é password= 'abcdefgh12' AKIA" + "B" * 12 + " secret: short token=" + "0" * 40 + " AKIAshort"
     docs = make_docs([(1, t), (1, t), (2, None), (3, "ghp_" + "z" * 36)], clashes=True)

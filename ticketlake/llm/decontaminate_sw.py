@@ -1,27 +1,34 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
-Words are lower-cased (A-Z) and freed of punctuation. A first pass over all
-documents counts in how many of them each n-gram of the benchmark occurs
-(counted inside the task, summed by a grouped aggregation). Seeds are an item's
-n-grams that at most `rare_share` of the documents hold, and always those in
-the rarer half of the item's n-grams: an item that was copied into most of the
-corpus keeps its seeds. A second pass joins passages to items by their seeds,
-and aligns every passage that could reach the score; no candidate is capped.
-The passes are map-only; the benchmark goes to the tasks in blocks of at most
-`block_chars` characters, one pair of passes for each.
+Words are lower-cased (A-Z) and freed of punctuation. Seeds are pairs of
+neighbouring words. An alignment that reaches the score keeps at least
+`least_hits` of its item's pairs, wherever the edits stand, so no fewer than
+that can be hit; half of that number, the pairs that most documents hold, are
+left out of the seeds, and the other half must be hit on diagonals no further
+apart than the alignment's gaps allow. Items too short for such a bound are
+seeded by their words. The bound holds for any choice of the pairs left out:
+how often a pair occurs decides the cost only, not what is found.
+
+A first pass over all documents counts in how many of them each gram of the
+benchmark occurs (counted inside the task, summed by a grouped aggregation); a
+second joins passages to items by their seeds, and aligns every passage that
+could reach the score; no candidate is capped. The passes are map-only; the
+benchmark goes to the tasks in blocks of at most `block_chars` characters, one
+pair of passes for each.
 
 Score: best local alignment (match 2, mismatch -1, gap -1 a word) over twice
 the item's words: 1 for a verbatim copy, about 0.7 with a fifth of the words
 replaced.
 
 Defined cases: null or empty texts match nothing; items with fewer than `n`
-words carry no seed and match nothing; items and documents that repeat give a
+words match nothing; items and documents that repeat give a
 row each; null ids are passed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -116,33 +123,67 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def find_items(g: Grams, seed: np.ndarray, words: list[bytes], min_score: float) -> list[tuple[int, float, int, int]]:
+def least_hits(m: int, n: int, min_score: float) -> int:
+    """How many of an item's `n`-grams (pairs or words) every alignment that
+    reaches the score keeps. M matches and E edits score at most 2 M - E; they
+    keep M - 1 - E pairs or more, and M is at most the item's m words."""
+    need = int(np.ceil(min_score * 2 * m - 1e-9))
+    return need - m - 1 if n == 2 else (need + 1) // 2
+
+
+class Seeds(NamedTuple):
+    """Which gram rows are seeds; for each item the seeds that a passage must
+    hit and the most by which their diagonals differ."""
+    row: np.ndarray
+    hits: np.ndarray
+    shift: np.ndarray
+
+
+def seeds(g: Grams, df: np.ndarray, min_score: float) -> Seeds:
+    """Each item's grams without the most common ones that may be left out."""
+    size = np.array([len(x) for x in g.items], np.int64)
+    least = np.array([max(1, least_hits(m, g.n, min_score)) for m in size.tolist()], np.int64)
+    row, drop = np.ones(len(g.gram), bool), least // 2
+    first = np.searchsorted(g.item, np.arange(len(size) + 1))
+    for lo, hi, k in zip(first[:-1], first[1:], drop):
+        row[lo + np.argsort(-df[g.gram[lo:hi]], kind="stable")[:k]] = False
+    return Seeds(row, least - drop, 2 * size - np.ceil(min_score * 2 * size - 1e-9).astype(np.int64))
+
+
+def find_items(g: Grams, seed: Seeds, words: list[bytes], min_score: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end word) of the best alignment of each item
     that reaches `min_score` in the document."""
     a = g.ids(words)
     pos, gram = g.hits(a)
-    keep = seed[gram] if len(gram) else np.zeros(0, bool)
-    pos, gram = pos[keep], gram[keep]
     if not len(pos):
         return []
     n_rows = g.first[gram + 1] - g.first[gram]
     row = g.by_gram[np.repeat(g.first[gram] - np.concatenate(([0], np.cumsum(n_rows)[:-1])), n_rows) + np.arange(n_rows.sum())]
-    item, start = g.item[row], np.repeat(pos, n_rows) - g.pos[row]
+    keep = seed.row[row]
+    row, at = row[keep], np.repeat(pos, n_rows)[keep]
+    item, start = g.item[row], at - g.pos[row]
     order = np.lexsort((start, item))
     item, start = item[order], start[order]
-    size = np.array([len(x) for x in g.items], np.int64)
-    # passages: runs of implied starts no further apart than the item is long
-    new = np.concatenate(([True], (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[item[1:]])))
+    # passages: enough seeds on diagonals close enough, with room for an alignment through them
+    i = np.arange(len(item))
+    j = i + seed.hits[item] - 1
+    i, j = i[j < len(item)], j[j < len(item)]
+    near = (item[i] == item[j]) & (start[j] - start[i] <= seed.shift[item[i]])
+    i, j = i[near], j[near]
+    if not len(i):
+        return []
+    item, lefts = item[i], start[j] - seed.shift[item[i]]
+    rights = start[i] + seed.shift[item] + np.array([len(g.items[k]) for k in item.tolist()], np.int64)
+    new = np.concatenate(([True], (item[1:] != item[:-1]) | (lefts[1:] > rights[:-1])))
     out: dict[int, tuple[float, int, int]] = {}
     firsts = np.flatnonzero(new)
     for lo, hi in zip(firsts, np.append(firsts[1:], len(item))):
         it = int(item[lo])
         m = len(g.items[it])
-        slack = m // 4 + 2
-        left, right = max(0, int(start[lo]) - slack), min(len(a), int(start[hi - 1]) + m + slack)
+        left, right = max(0, int(lefts[lo])), min(len(a), int(rights[hi - 1]))
         need = min_score * 2 * m
         for at in range(left, right, 40 * m):        # long runs of seeds are aligned in overlapping stretches
-            part = a[at: min(right, at + 42 * m + 2 * slack)]
+            part = a[at: min(right, at + 42 * m)]
             if 2 * int(np.isin(part, g.items[it]).sum()) < need:
                 continue
             score, end = align(g.items[it], part)
@@ -183,38 +224,33 @@ def gram_counts(docs: DataFrame, text_col: str, grams: Grams) -> np.ndarray:
     return out
 
 
-def seeds(g: Grams, df: np.ndarray, n_docs: int, rare_share: float) -> np.ndarray:
-    """Which grams are seeds: rare ones, and the rarer half of each item's."""
-    seed = df <= rare_share * n_docs
-    for i in range(len(g.items)):
-        mine = np.unique(g.gram[g.item == i])
-        if len(mine):
-            seed[mine[df[mine] <= np.median(df[mine])]] = True
-    return seed
-
-
-def _matcher(docs: DataFrame, pdf: pd.DataFrame, text_col: str, n: int, rare_share: float, min_score: float):
-    g = Grams(list(pdf["text"]), n)
-    seed = seeds(g, gram_counts(docs, text_col, g), docs.count(), rare_share)
-    shared = docs.sparkSession.sparkContext.broadcast((g, seed))
+def _matcher(docs: DataFrame, pdf: pd.DataFrame, text_col: str, n: int, min_score: float):
+    size = [len(clean_words(t)) for t in pdf["text"]]
+    parts = []
+    for k in (1, 2):        # items whose pairs may all be edited are seeded by words
+        mine = [t if m >= n and (least_hits(m, 2, min_score) > 0) == (k == 2) else None for t, m in zip(pdf["text"], size)]
+        if any(mine):
+            g = Grams(mine, k)
+            parts.append((g, seeds(g, gram_counts(docs, text_col, g), min_score)))
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("array<struct<item:int,score:double,first_word:int,end_word:int>>")
     def match(texts: pd.Series) -> pd.Series:
-        grams, which = shared.value
+        words = map(clean_words, texts)
         return pd.Series([[{"item": i, "score": s, "first_word": a, "end_word": b}
-                           for i, s, a, b in find_items(grams, which, clean_words(t), min_score)] for t in texts], dtype=object)
+                           for g, seed in shared.value for i, s, a, b in find_items(g, seed, w, min_score)] for w in words], dtype=object)
     return match
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                   item_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare_share: float = 0.001,
-                   min_score: float = 0.6, block_chars: int = 4_000_000) -> DataFrame:
+                   item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.6,
+                   block_chars: int = 4_000_000) -> DataFrame:
     """(id, item, score, first_word, end_word): every document that holds a
     verbatim, paraphrased or edited copy of a benchmark item."""
     spark, out = docs.sparkSession, None
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     for pdf in _blocks(benchmark, item_col, item_text_col, block_chars):
-        match = _matcher(docs, pdf, text_col, n, rare_share, min_score)
+        match = _matcher(docs, pdf, text_col, n, min_score)
         names = spark.createDataFrame([(i, x) for i, x in enumerate(pdf["id"].astype(object).where(pdf["id"].notna(), None))],
                                       f"item int, name {item_type.simpleString()}")
         got = (docs.select(col(id_col).alias("id"), F.explode(match(col(text_col))).alias("x")).select("id", "x.*")
@@ -228,12 +264,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
-                      item_text_col: str = "text", n: int = 3, rare_share: float = 0.001, min_score: float = 0.6,
+                      item_text_col: str = "text", n: int = 3, min_score: float = 0.6,
                       block_chars: int = 4_000_000) -> DataFrame:
     """The documents that hold no copy of any item, with their columns."""
     out = docs
     for pdf in _blocks(benchmark, item_col, item_text_col, block_chars):
         f = fresh(docs, "_leaks")
-        match: Column = _matcher(docs, pdf, text_col, n, rare_share, min_score)(col(text_col))
+        match: Column = _matcher(docs, pdf, text_col, n, min_score)(col(text_col))
         out = out.withColumn(f, F.size(match)).where(col(f) == 0).drop(f)
     return out
