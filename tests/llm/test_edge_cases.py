@@ -298,6 +298,38 @@ def test_network_learns_context():
     assert np.allclose(net.log_probs(x, i, net.pairs()), want, atol=1e-4)
 
 
+def test_every_word_has_its_own_probability(make_docs):
+    """Words within a class and the unseen mass sum to one, rare words come
+    by the join as they come from the tasks, and nonsense costs more."""
+    r = random.Random(4)
+    docs = make_docs([(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(60))) for i in range(80)] + [(900, None), (901, "")])
+    m = pseudo_likelihood.fit(docs, top_words=5, classes=4)
+    for c in range(4):
+        seen = np.exp(m.known.logs[m.known.tokens == 5 + c]).sum()
+        assert abs(seen + pseudo_likelihood.DISCOUNT * m.distinct[c] / m.total[c] - 1) < 1e-9
+    few = m._replace(known=pseudo_likelihood.Known([], np.zeros(0, np.int64), np.zeros(0)))
+    a, b = ({x.id: (x.n_tokens, x.log_prob) for x in pseudo_likelihood.score_rows(docs, k).collect()} for k in (m, few))
+    assert set(a) == set(b) == {*range(80), 900, 901}
+    assert all(a[i][0] == b[i][0] and abs(a[i][1] - b[i][1]) < 1e-3 for i in a)
+    word = next(w for w, t in zip(m.known.words, m.known.tokens) if t == 5).decode()       # the commonest of a class
+    same = next(f"nonsense{i}" for i in range(1000) if m.vocab.encoder()[f"nonsense{i}".encode()] == 5)
+    got = {x.id: x.log_prob for x in pseudo_likelihood.score_rows(make_docs([(1, f"w1 {word} w1"), (2, f"w1 {same} w1")]), m).collect()}
+    assert got[1] > got[2] + 10
+
+
+def test_held_out_words_beat_a_full_unigram_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    m = pseudo_likelihood.fit(train)
+    got = pseudo_likelihood.score_rows(test, m).toPandas()
+    n = {x.word.encode(): x.n for x in m.counts.collect()}
+    total, d, want = sum(n.values()), pseudo_likelihood.DISCOUNT, 0.0
+    for (t,) in test.select("text").collect():
+        for w in (t or "").encode().split():
+            want += np.log((n[w] - d) / total) if w in n else np.log(d * len(n) / total) - (len(w) + 1) * np.log(257)
+    assert got.log_prob.sum() > want
+
+
 def test_mixture_properties(make_docs):
     rows = [(i, "w " * (10 + i % 7), "big") for i in range(300)] + [(1000 + i, "w " * 10, "small") for i in range(20)]
     rows += [(2000, None, "void"), (2001, "w w", None), (1000, "w " * 10, "small")]

@@ -1,13 +1,18 @@
 """LM scoring by masked pseudo-likelihood.
 
-A window network predicts every token from `SIDE` tokens on either side: the
-sum of position-wise embeddings, a tanh layer and a softmax over the
-vocabulary. A document's score is the sum of the conditional log-probabilities
-of all its tokens.
-
-Vocabulary: the most frequent words of the whole corpus, counted inside the
-tasks and summed by a grouped aggregation; all other words fall into hash
-classes. Training covers every token of every document: each task trains its
+A window network reads `SIDE` tokens on either side of every token: the sum of
+position-wise embeddings, a tanh layer and a softmax over tokens. A document's
+score is the sum of the conditional log-probabilities of all its words.
+
+Vocabulary: every word of the corpus, counted inside the tasks and summed by a
+grouped aggregation. The most frequent words are tokens of their own; all others
+share the tokens of hash classes, and P(word | context) = P(class | context) *
+P(word | class). The second factor is the word's count in the class less
+`DISCOUNT`; what the discounts free goes to unseen words, byte by byte over an
+even alphabet. The counts of the `known` most frequent words go to the tasks;
+rarer words are looked up by a join on their 64-bit hash.
+
+Training covers every token of every document: each task trains its
 own copy, from the same start, on its documents, and the copies are averaged by
 their token counts in a grouped aggregation over parameter positions, so what
 is gathered grows with the input and only one model reaches the driver. The
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,6 +38,7 @@ from ticketlake.llm.common import by_value, col, written
 by_value(__name__)
 
 SIDE = 2
+DISCOUNT = 0.5          # taken off every word's count for the unseen words
 _CHUNK = 200_000        # tokens encoded at once
 _BATCH = 4096           # tokens of a training step
 
@@ -63,6 +70,45 @@ class _Encoder(dict):
         return t
 
 
+class Known(NamedTuple):
+    """Frequent words outside the top, with token and log P(word | class)."""
+    words: list[bytes]
+    tokens: np.ndarray
+    logs: np.ndarray
+
+
+class _Lexicon(dict):
+    """Numbers of words, into arrays of tokens and log P(word | class); 0 is
+    padding. Words that are not known get a log of 0 and their hash."""
+
+    def __init__(self, vocab: Vocabulary, known: Known):
+        super().__init__()
+        self.fixed = dict(zip([*vocab.words, *known.words], range(1, len(vocab.words) + len(known.words) + 1)))
+        self.first_rare, self.classes, self.top = len(self.fixed) + 1, vocab.classes, len(vocab.words)
+        self.base = np.concatenate(([vocab.size], np.arange(self.top), known.tokens)).astype(np.int32)
+        self.logs = np.concatenate((np.zeros(1 + self.top), known.logs))
+        self.clear_rare()
+
+    def clear_rare(self) -> None:
+        self.clear()
+        self.update(self.fixed)
+        self.hashes: list[int] = []
+        self.sizes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+        h = xxhash.xxh64_intdigest(word, 42)
+        self.hashes.append(h - (1 << 64) if h >> 63 else h)
+        self.sizes.append(len(word))
+        n = self[word] = len(self) + 1
+        return n
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens by number, and of the rare words hashes and bytes."""
+        h = np.array(self.hashes, np.int64)
+        return np.concatenate((self.base, (self.top + h % self.classes).astype(np.int32))), self.logs, h, np.array(self.sizes, np.int32)
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -185,17 +231,41 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         F.sum("n").alias("n"))
 
 
+class Model(NamedTuple):
+    """The network over tokens, and the words within their classes: `counts`
+    (word, n) of the corpus, tokens and different words of each class."""
+    vocab: Vocabulary
+    net: Network
+    counts: DataFrame
+    total: np.ndarray
+    distinct: np.ndarray
+    known: Known
+
+
+def _known(counts: DataFrame, vocab: Vocabulary, total: np.ndarray, known: int) -> Known:
+    # words above the least count that `known` words reach: no more rows than these are gathered
+    top, by_count = len(vocab.words), counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    least = by_count["n"][by_count["words"].cumsum() <= top + known].min()      # NaN, and no words, if even the first are more
+    got = (counts.where(F.col("n").cast("double") >= F.lit(float(least))) if least == least else counts.limit(0)).select(
+        "word", "n", F.pmod(F.xxhash64("word"), F.lit(vocab.classes)).alias("c")).toPandas()
+    got["word"] = [w.encode("utf-8", "surrogatepass") for w in got["word"]]
+    got = got[~got["word"].isin(list(vocab.words))]
+    c = got["c"].to_numpy(np.int64)
+    return Known(list(got["word"]), top + c, np.log((got["n"].to_numpy(float) - DISCOUNT) / total[c]))
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", top_words: int = 96, classes: int = 32, dim: int = 16,
-        rate: float = 0.004) -> tuple[Vocabulary, Network]:
-    """The averaged network over all tokens of all documents."""
+        rate: float = 0.004, known: int = 200_000) -> Model:
+    """The averaged network over all tokens of all documents, and all words."""
     counts = written(word_counts(docs, text_col), "word-counts")
     words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(top_words).collect()]
     vocab = Vocabulary(words, classes)
     index = F.coalesce(F.array_position(F.lit(words) if words else F.array().cast("array<string>"), F.col("word")), F.lit(0))
     token = F.when(index > 0, index - 1).otherwise(len(words) + F.pmod(F.xxhash64("word"), F.lit(classes)))
-    freq = np.ones(vocab.size)
-    for r in counts.groupBy(token.alias("t")).agg(F.sum("n").alias("n")).collect():       # at most a row a token
+    freq, distinct = np.ones(vocab.size), np.zeros(vocab.size)
+    for r in counts.groupBy(token.alias("t")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():      # at most a row a token
         freq[r["t"]] += r["n"]
+        distinct[r["t"]] = r["d"]
     start = Network(vocab.size, dim, np.log(freq / freq.sum()))
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,28 +284,62 @@ def fit(docs: DataFrame, *, text_col: str = "text", top_words: int = 96, classes
                .groupBy("at").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x")).toPandas())
     if len(got):        # a row a parameter
         start.load(got.sort_values("at")["x"].to_numpy())
-    return vocab, start
-
-
-def score(text: Column, vocab: Vocabulary, net: Network) -> Column:
-    """STRUCT of n_tokens, log_prob (the sum) and mean_log_prob."""
-    @F.pandas_udf("n_tokens long, log_prob double, mean_log_prob double")
-    def pll(texts: pd.Series) -> pd.DataFrame:
-        enc, tables = vocab.encoder(), net.pairs()
-        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for ids, x, at in chunks(texts, enc, vocab.size):
-            lp = net.log_probs(x, at, tables)
-            # a text's number is that of the paddings before its tokens
-            row = np.array(ids)[(np.cumsum(x == vocab.size)[at] // SIDE) - 1]
-            n += np.bincount(row, minlength=len(texts))
-            total += np.bincount(row, lp, minlength=len(texts))
-        return pd.DataFrame({"n_tokens": n, "log_prob": total,
-                             "mean_log_prob": [t / k if k else None for t, k in zip(total, n)]})
-    return pll(text)
+    total = freq[len(words):] - 1
+    return Model(vocab, start, counts, total, distinct[len(words):], _known(counts, vocab, total, known))
+
+
+def _rare_log(model: Model) -> Column:
+    """log P(word | class) by hash `h`, bytes `b` and count `n` (null: unseen)."""
+    at = (F.pmod("h", F.lit(model.vocab.classes)) + 1).cast("int")
+    of = lambda a: F.element_at(F.lit([float(x) for x in a]), at)
+    seen = model.total > 0
+    # an even alphabet of 256 bytes and an end; the hash puts one in `classes` of all byte strings into a class
+    freed = np.log(np.where(seen, DISCOUNT * model.distinct / np.where(seen, model.total, 1), 1) * model.vocab.classes)
+    return F.when(F.col("n").isNotNull(), F.log((F.col("n") - DISCOUNT) / of(model.total))).otherwise(
+        of(freed) - (F.col("b") + 1) * F.lit(float(np.log(257))))
+
+
+def score_rows(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, log_prob, mean_log_prob) of every document."""
+    spark, size = docs.sparkSession, model.vocab.size
+    shared = spark.sparkContext.broadcast((model.vocab, model.net, model.known))
+
+    @F.pandas_udf("n_tokens long, log_prob double, h array<long>, b array<int>")
+    def pll(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab, net, known = shared.value
+        lex, tables = _Lexicon(vocab, known), net.pairs()
+        for texts in batches:
+            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            hs, bs = [], []
+            for ids, x, at in chunks(texts, lex, 0):
+                tokens, logs, hashes, sizes = lex.arrays()
+                lp = net.log_probs(tokens[x], at, tables)
+                y = x[at]
+                rare = y >= lex.first_rare
+                lp[~rare] += logs[y[~rare]]
+                # a text's number is that of the paddings before its tokens
+                row = (np.cumsum(x == 0)[at] // SIDE) - 1
+                n[ids] = np.bincount(row, minlength=len(ids))
+                total[ids] = np.bincount(row, lp, minlength=len(ids))
+                which, cut = y[rare] - lex.first_rare, np.searchsorted(row[rare], np.arange(1, len(ids)))
+                hs += np.split(hashes[which], cut)
+                bs += np.split(sizes[which], cut)
+                if len(lex.hashes) > 200_000:
+                    lex.clear_rare()
+            yield pd.DataFrame({"n_tokens": n, "log_prob": total, "h": hs, "b": bs})
+
+    base = written(docs.select(col(id_col).alias("id"), pll(col(text_col)).alias("s"))
+                       .select(F.monotonically_increasing_id().alias("row"), "id", "s.*"), "word-scores")
+    rare = base.select("row", F.explode(F.arrays_zip("h", "b")).alias("x")).select("row", "x.h", "x.b")
+    sums = (rare.join(model.counts.select(F.xxhash64("word").alias("h"), "n"), "h", "left")
+                .groupBy("row").agg(F.sum(_rare_log(model)).alias("rest")))
+    whole = F.col("log_prob") + F.coalesce("rest", F.lit(0.0))
+    return (base.drop("h", "b").join(sums, "row", "left")
+                .select("id", "n_tokens", whole.alias("log_prob"),
+                        F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_prob")))
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob) of every document under the
     network trained on all of them."""
-    vocab, net = fit(docs, text_col=text_col, **kw)
-    return docs.select(col(id_col).alias("id"), score(col(text_col), vocab, net).alias("s")).select("id", "s.*")
+    return score_rows(docs, fit(docs, text_col=text_col, **kw), id_col=id_col, text_col=text_col)
