@@ -258,6 +258,21 @@ def test_archive_layout():
         list(warc_zstd.read_archive(data[:-5]))
 
 
+def test_payloads_that_differ_from_their_headers_are_noticed(spark, tmp_path):
+    page, good = b"<p>the page</p>", warc_zstd.payload_digest(b"<p>the page</p>")
+    files = spark.createDataFrame([("pages-1.warc.zst",)], "file string")
+    for k, (kept, digest, fails) in enumerate([(page, good, False), (b"<p>the pagE</p>", good, True), (page, "A" * 32, True)]):
+        raw = warc_zstd.record_bytes("1", "u", page, digest, None).replace(page, kept)
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "pages-1.warc.zst").write_bytes(warc_zstd.archive_bytes_of([raw], 4096, 1 << 20, 3))
+        got = warc_zstd.read_archives(files, str(tmp_path / str(k)))
+        if fails:
+            with pytest.raises(Exception, match="the headers say"):
+                got.collect()
+        else:
+            assert [(r.payload_digest, r.payload_bytes, bytes(r.payload)) for r in got.collect()] == [(good, len(page), page)]
+
+
 def test_urls_by_hand(spark):
     rows = [(1, None), (2, "no scheme porn"), (3, "http://A.Example.NET/en/x?y#z"), (4, "http://example.net"),
             (5, "http://x.com/cheap-pills"), (6, "http://x.com/cheapest"), (7, "http://notexample.net.com/"), (8, "x://example.com/de/?q")]

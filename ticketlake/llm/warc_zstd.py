@@ -204,17 +204,23 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
     """(id, url, record_type, refers_to, payload_digest, payload_bytes,
-    payload) of every record of the listed archives; a revisit's payload is
-    empty, its digest and length are those of the full payload."""
+    payload) of every record of the listed archives; a response's digest and
+    length are recomputed from its payload and must be those of its headers; a
+    revisit's payload is empty, its digest and length are those of the full
+    payload, from its headers."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for data in pdf["content"]:
                 rows, size = [], 0
                 for raw in read_archive(data):
                     h = parse_record(raw)
-                    ref = h.get("WARC-Refers-To")
+                    ref, digest, length = h.get("WARC-Refers-To"), h["WARC-Payload-Digest"][5:], int(h["X-Payload-Length"])
+                    if h["WARC-Type"] == "response":
+                        stated, digest, length = (digest, length), payload_digest(h["payload"]), len(h["payload"])
+                        if stated != (digest, length):
+                            raise ValueError(f"{h['WARC-Record-ID']}: payload read {digest}, {length} bytes; the headers say {stated}")
                     rows.append((h["WARC-Record-ID"][10:-1], h["WARC-Target-URI"], h["WARC-Type"], ref[10:-1] if ref else None,
-                                 h["WARC-Payload-Digest"][5:], int(h["X-Payload-Length"]), h["payload"]))
+                                 digest, length, h["payload"]))
                     size += len(raw)
                     if size > 4 << 20:
                         yield pd.DataFrame(rows, columns=names)
