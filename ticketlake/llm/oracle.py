@@ -156,6 +156,52 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (r)"""
 
 
+# ---------------------------------------------------------- op11, trie codes
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Plain nearest entries over all parts and entries, floors of the means."""
+    dist = "list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])"
+    ctes = [f"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+  [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+            f"""p AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x
+  FROM (SELECT r, v, unnest(range({parts})) AS p FROM k))""",
+            "d AS MATERIALIZED (SELECT p, x, count(*) AS n FROM p GROUP BY p, x)",
+            f"b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM p WHERE r <= {entries})"]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT d.p, x, any_value(n) AS n, min({dist} * {entries} + e) AS best "
+                    f"FROM d JOIN b{i} b ON d.p = b.p GROUP BY d.p, x)")
+        if i < rounds:
+            ctes.append(f"""m{i} AS (SELECT p, e, list(CAST(floor_of AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT p, e, i, (s - ((s % n) + n) % n) // n AS floor_of FROM (
+    SELECT p, best % {entries} AS e, i, sum(x[i] * n) AS s, sum(n) AS n
+    FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{i}) GROUP BY ALL)) GROUP BY p, e)""")
+            ctes.append(f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m USING (p, e))")
+    ctes.append(f"""o AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', best % {entries}), '' ORDER BY p.p) AS code,
+  CAST(sum(best // {entries}) AS BIGINT) AS error FROM k JOIN p USING (r) JOIN a{rounds} a ON a.p = p.p AND a.x = p.x
+  GROUP BY k.r, k.vec_id, k.label)""")
+    return f"""WITH {', '.join(ctes)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM o"""
+
+
+# ------------------------------------------------------ op13, fill in middle
+
+_DRAWS = ", ".join(f"CAST('0x' || substr(s, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+MIDDLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {_DRAWS} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1, n) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x"""
+
+
 ORACLE = {
     "op2_temperature_mixing": mixing_sql(),
     "op3_perspectives": PERSPECTIVES_SQL,
@@ -163,4 +209,6 @@ ORACLE = {
     "op5_warc_zstd": WARC_SQL,
     "op7_url_vocabulary": url_sql(),
     "op10_secret_scan": secrets_sql(),
+    "op11_trie_codes": codes_sql(),
+    "op13_fill_in_middle": MIDDLE_SQL,
 }

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import (decontaminate_sw, mixing, perspectives, pseudo_likelihood, quality_gbt, secrets_trigram,
-                            simhash_gray, suffix_repeats, url_vocabulary, warc_zstd)
+from ticketlake.llm import (decontaminate_sw, fill_in_middle, mixing, perspectives, pseudo_likelihood, quality_gbt,
+                            secrets_trigram, simhash_gray, suffix_repeats, trie_codes, url_vocabulary, warc_zstd)
 from ticketlake.llm.oracle import ORACLE  # noqa: F401  (registered next to the queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(F.filter("spans", lambda x: F.array_contains(base, x["kind"])), one), ","), 256)
          .alias("base_sha256"),
         F.array_join(F.transform("spans", one), ",").alias("spans"))
+
+
+@register
+def op11_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = trie_codes.compress(table(spark, sf_dir, "embeddings"))
+    return got.withColumnsRenamed({"id": "vec_id", "group_error": "label_error"})
+
+
+@register
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = docs.select("doc_id", fill_in_middle.transform(F.col("text"), F.col("doc_id")).alias("f")).select("doc_id", "f.*")
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
