@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import (decontaminate_sw, fill_in_middle, mixing, perspectives, pseudo_likelihood, quality_gbt,
+from ticketlake.llm import (best_fit, decontaminate_sw, fill_in_middle, mixing, perspectives, pseudo_likelihood, quality_gbt,
                             secrets_trigram, simhash_gray, suffix_repeats, trie_codes, url_vocabulary, warc_zstd)
 from ticketlake.llm.oracle import ORACLE  # noqa: F401  (registered next to the queries)
 
@@ -104,3 +104,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = docs.select("doc_id", fill_in_middle.transform(F.col("text"), F.col("doc_id")).alias("f")).select("doc_id", "f.*")
     return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
