@@ -89,6 +89,12 @@ def cut(text: str, first: int, second: int, unit: str = "code point") -> tuple[i
     return n, lanes.offset(ranks[0]), lanes.offset(ranks[1])
 
 
+def check_markers(markers: tuple[str, str, str]) -> None:
+    """Raises for markers that could arise where a part meets a marker."""
+    if len(set(markers)) < 3 or any(not m or any(m[0] in o[1:] or (o != m and o.startswith(m)) for o in markers) for m in markers):
+        raise ValueError("a marker's first character must stand only at the start of markers, and none may start another")
+
+
 def transform(text: Column, id: Column, *, unit: str = "code point", fim_percent: int = 90, spm_percent: int = 20,
               markers: tuple[str, str, str] = MARKERS, salt: str = "1:") -> Column:
     """STRUCT of n (units), form (plain, psm or spm), prefix_chars,
@@ -96,8 +102,7 @@ def transform(text: Column, id: Column, *, unit: str = "code point", fim_percent
     cut, `spm_percent` of those with the suffix first."""
     if unit != "code point" and unit not in UNITS:
         raise ValueError(f"unit is 'code point' or one of {sorted(UNITS)}")
-    if len(set(markers)) < 3 or any(not m or any(m[0] in o[1:] or (o != m and o.startswith(m)) for o in markers) for m in markers):
-        raise ValueError("a marker's first character must stand only at the start of markers, and none may start another")
+    check_markers(markers)
     p, s, m = markers
 
     @F.pandas_udf("n long, form string, prefix_chars long, middle_chars long, output string")

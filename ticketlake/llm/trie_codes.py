@@ -250,7 +250,7 @@ def with_group_error(coded: DataFrame, hot: int = 1000) -> DataFrame:
     Groups above rows / hot, which are at most `hot`, go to every task; the
     rows of all others are joined by their group."""
     total = coded.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("error").cast("decimal(38,0)")).alias("s"))
-    total = written(total.select("grp", "n", F.least("s", F.lit(Decimal(LONGEST))).cast("long").alias("group_error")), "totals")
+    total = written(total.select("grp", "n", F.when(F.col("s") > LONGEST, F.lit(LONGEST)).otherwise(F.col("s").cast("long")).alias("group_error")), "totals")
     n = total.agg(F.sum("n").alias("n")).first()["n"] or 0
     big = total.where(F.col("n") * hot > n).select("grp", "group_error", F.lit(True).alias("is_hot"))
     rest = total.where(F.col("n") * hot <= n).select("grp", "group_error")
