@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Lengths are handled from the longest class down; a class k holds lengths of
-which k fit into an empty sequence, and k + 1 (or 2k from 8 on) need not. In
+Lengths are handled from the longest class down; a class k up to 8 holds the
+lengths of which k fit into an empty sequence and k + 1 do not, the later ones
+an octave each. In
 each round the class's documents and the gaps that can take one are sorted by
 size, descending, and dealt out by ranges. A sweep over its range lets every
 document take the least gap before it, as closing brackets take opening ones;
@@ -173,10 +174,10 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.array(np.full(len(o) + len(rest), part, np.int32))], names=["seq", "slot", "gap", "pid", "length", "depth", "part"])
 
 
-def _match(docs: DataFrame, gaps: DataFrame, unit: int, least: int) -> tuple[DataFrame, dict]:
-    """One round: (rows of seq, slot, gap, pid, length, rank; counts). A row
-    has a sequence's slot and the document that it took, a slot alone, or a
-    document alone with its rank from the longest on."""
+def _match(docs: DataFrame, gaps: DataFrame, unit: int, least: int) -> tuple[DataFrame, dict, dict[int, int]]:
+    """One round: (rows of seq, slot, gap, pid, length, rank, part; counts;
+    tokens left by range). A row has a sequence's slot and the document that it
+    took, a slot alone, or a document alone with its rank from the longest on."""
     wide = F.greatest(F.lit(1), F.floor(F.col("gap") / unit)).cast("int")
     slots = (gaps.where(F.col("gap") >= least).withColumn("m", wide)
                  .select("seq", "gap", "m", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("slot"))
@@ -185,102 +186,119 @@ def _match(docs: DataFrame, gaps: DataFrame, unit: int, least: int) -> tuple[Dat
     both = slots.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("key"),
                                          F.lit(0).alias("slot"), F.lit(0).cast("long").alias("gap")))
     swept = written(both.repartitionByRange(F.desc("size"), "kind", "key", "slot").mapInArrow(_sweep, _SWEPT), "swept")
-    left = F.when(F.col("seq").isNull(), F.col("length"))
-    counts = [F.count(F.when(F.col("pid").isNotNull() & F.col("seq").isNotNull(), 1)).alias("taken"), F.count(left).alias("left"),
-              F.sum(left).alias("tokens"), F.min(left).alias("least"), F.max("slot").alias("slots"),
-              F.count(F.when(F.col("gap") - F.coalesce("length", F.lit(0)) >= least, 1)).alias("fit")]
-    # a row a range: what it leaves open
-    per = sorted(swept.groupBy("part").agg(F.count(F.when(F.col("pid").isNull(), 1)).alias("open"), *counts).collect())
+    taken, left = F.col("pid").isNotNull() & F.col("seq").isNotNull(), F.when(F.col("seq").isNull(), F.col("length"))
+    counts = [F.count(F.when(taken, 1)).alias("taken"), F.count(left).alias("left"), F.sum(left).alias("tokens"),
+              F.min(left).alias("least"), F.max(left).alias("most"), F.max("slot").alias("slots"),
+              F.count(F.when(taken & (F.col("gap") - F.col("length") >= least), 1)).alias("fit")]
+
+    def by_part(rows: DataFrame) -> list:        # a row a range
+        return sorted(rows.groupBy("part").agg(F.count(F.when(F.col("pid").isNull(), 1)).alias("open"), *counts).collect())
+
+    per = by_part(swept)
     start, at, seen_open, across = [], 0, False, False
     for r in per:
         start.append((r["part"], at))
         across |= seen_open and r["left"] > 0
         seen_open |= r["open"] > 0
         at += r["open"] - r["left"]
-    cols = ["seq", "slot", "gap", "pid", "length"]
+    cols = ["seq", "slot", "gap", "pid", "length", "part"]
     base = swept.sparkSession.createDataFrame(start, "part int, base long")
     rest = (swept.where("depth IS NOT NULL").join(F.broadcast(base), "part")
-                 .select(*cols, "part", (F.col("depth") + F.col("base")).alias("depth")))
-    rank = F.when(F.col("seq").isNull(), -F.col("depth")).alias("rank")
-    done = swept.where("depth IS NULL").select(*cols, F.lit(None).cast("long").alias("rank"))
-    if not across:
-        total = lambda name, f: f([r[name] for r in per if r[name] is not None], default=None)
-        add = lambda xs, default: sum(xs)
-        return done.unionByName(rest.select(*cols, rank)), {
-            "taken": total("taken", add), "left": total("left", add), "tokens": total("tokens", add),
-            "least": total("least", min), "slots": total("slots", max), "fit": total("fit", add)}
-    # openers and closers of one depth alternate over the ranges too; within a range the closer comes first
-    w = Window.partitionBy("depth").orderBy("part", F.col("pid").isNull())
-    free = F.col("pid").isNull()
-    taken = free & F.lead("pid").over(w).isNotNull()
-    rest = (rest.withColumns({"next": F.when(taken, F.lead("pid").over(w)), "next_length": F.when(taken, F.lead("length").over(w)),
-                              "gone": ~free & F.coalesce(F.lag("seq").over(w).isNotNull(), F.lit(False))})
-                .where("NOT gone")
-                .select("seq", "slot", "gap", F.coalesce("pid", "next").alias("pid"),
-                        F.coalesce("length", "next_length").alias("length"), "depth"))
-    out = written(done.unionByName(rest.select(*cols, rank)), "matched")
-    return out, out.agg(*counts).first().asDict()
+                 .select(*cols, (F.col("depth") + F.col("base")).alias("depth")))
+    if across:
+        # openers and closers of one depth alternate over the ranges too; within a range the closer comes first
+        w = Window.partitionBy("depth").orderBy("part", F.col("pid").isNull())
+        free = F.col("pid").isNull()
+        takes = free & F.lead("pid").over(w).isNotNull()
+        rest = (rest.withColumns({"next": F.when(takes, F.lead("pid").over(w)), "next_length": F.when(takes, F.lead("length").over(w)),
+                                  "gone": ~free & F.coalesce(F.lag("seq").over(w).isNotNull(), F.lit(False))})
+                    .where("NOT gone")
+                    .select("seq", "slot", "gap", F.coalesce("pid", "next").alias("pid"),
+                            F.coalesce("length", "next_length").alias("length"), "part", "depth"))
+    out = (swept.where("depth IS NULL").select(*cols, F.lit(None).cast("long").alias("rank"))
+                .unionByName(rest.select(*cols, F.when(F.col("seq").isNull(), -F.col("depth")).alias("rank"))))
+    if across:
+        out = written(out, "matched")
+        per = by_part(out)
+    total = {f: [r[f] for r in per if r[f] is not None] for f in ("taken", "left", "least", "most", "slots", "fit")}
+    now = {f: sum(v) if f in ("taken", "left", "fit") else (min if f == "least" else max)(v, default=0) for f, v in total.items()}
+    return out, now, {r["part"]: r["tokens"] or 0 for r in per}
+
+
+def _opened(left: DataFrame, k: int, capacity: int, most: int, tokens: dict[int, int]) -> DataFrame:
+    """New sequences for documents that no gap can take, in the order of their
+    ranks: `k` at a time, or from 9 on by the tokens before them, so that all of
+    a sequence's documents start within `capacity` less the longest one."""
+    if k <= 8:
+        left = left.withColumn("run", F.floor(F.col("rank") / k))
+    else:
+        start, at = [], 0
+        for part in sorted(tokens):
+            start.append((part, at))
+            at += tokens[part]
+        before = F.sum("length").over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        base = left.sparkSession.createDataFrame(start, "part int, base long")
+        left = left.join(F.broadcast(base), "part").withColumn(
+            "run", F.floor((F.col("base") + F.coalesce(before, F.lit(0))) / (capacity - most + 1)))
+    run = Window.partitionBy("run").orderBy("rank")
+    whole = F.sum("length").over(Window.partitionBy("run"))
+    return left.select(F.first("pid").over(run).alias("seq"), "pid",
+                       F.coalesce(F.sum("length").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+                       F.when(F.row_number().over(run) == 1, F.lit(capacity) - whole).alias("gap"))
 
 
 def pack(items: DataFrame, capacity: int = 4096, worth: int = 8) -> DataFrame:
     """(pid, sequence_id, offset) for rows (pid, length): pid is a unique long,
     lengths are 1 to `capacity`. A sequence's number is the pid of the piece
     that opened it; its pieces follow each other without a gap from 0. A class
-    is swept again while gaps that could take one of its documents number at
-    least a `worth`-th of those left."""
+    is swept again while gaps that took a document and could take another one
+    number at least a `worth`-th of the documents left."""
     j = F.floor(F.lit(capacity) / F.col("length")).cast("long")
-    k_of = F.when(j < 8, j).otherwise(F.expr(f"shiftleft(1L, cast(floor(log2({capacity} div length)) as int))"))
-    # classes are 1 to 7 and powers of two, so the driver sees about log2(capacity) rows
+    k_of = F.when(j <= 8, j).when(j < 16, F.lit(9)).otherwise(F.expr(f"shiftleft(1L, cast(floor(log2({capacity} div length)) as int))"))
+    # classes are 1 to 9 and powers of two, so the driver sees about log2(capacity) rows
     sizes = {r["k"]: (r["n"], r["a"]) for r in items.groupBy(k_of.alias("k")).agg(
         F.count(F.lit(1)).alias("n"), F.min("length").alias("a")).collect()}
     classes = sorted(k for k in sizes if k > 1)
     alone = items.where(F.col("length") > capacity // 2)
-    placed = [alone.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    gaps = alone.where(F.col("length") < capacity).select(F.col("pid").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap"))
+    # a step's rows: placements (pid), and once a sequence the gap that it is left with
+    none = F.lit(None).cast("long")
+    steps = [alone.select(F.col("pid").alias("seq"), "pid", F.lit(0).cast("long").alias("offset"),
+                          (F.lit(capacity) - F.col("length")).alias("gap"))]
 
-    def keep_gaps(now: DataFrame, unit: int) -> tuple[DataFrame, int]:
-        """The written gaps, and how many slots of `unit` they hold."""
+    def keep(rows: DataFrame, unit: int) -> int:
+        """Writes a step; returns the slots of `unit` that its gaps hold."""
         seen = Observation()
-        out = written(now.where("gap > 0").observe(seen, F.sum(F.floor(F.col("gap") / unit)).alias("slots")), "gaps")
-        return out, seen.get["slots"] or 0
+        steps.append(written(rows.observe(seen, F.sum(F.floor(F.col("gap") / unit)).alias("slots")), "packed"))
+        return seen.get["slots"] or 0
 
-    if classes:
-        gaps, room = keep_gaps(gaps, capacity // classes[0])
+    room = keep(steps.pop(), capacity // classes[0]) if classes else 0
     while classes:
         k, shortest = classes[0], min(sizes[x][1] for x in classes)
         unit, everything = capacity // k, sum(sizes[x][0] for x in classes)
         if room >= everything:              # a slot of this class for each document left: one sweep takes them all
             docs, n, least, classes = items.where(F.col("length") <= unit), everything, shortest, []
         else:
-            low = capacity // (k + 1 if k < 8 else 2 * k)
+            low = capacity // (k + 1 if k <= 8 else 16 if k == 9 else 2 * k)
             docs, (n, least), classes = items.where((F.col("length") > low) & (F.col("length") <= unit)), sizes[k], classes[1:]
         while n:
-            got, now = _match(docs, gaps, unit, least)
-            n, docs = now["left"], got.where("seq IS NULL").select("pid", "length", "rank")
-            if now["taken"]:
-                before, used = F.lit(0), got.where("seq IS NOT NULL")
-                if now["slots"] > 1:
-                    before = F.coalesce(F.sum("length").over(
-                        Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                placed.append(used.where("pid IS NOT NULL").select(
-                    "pid", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + before).alias("offset")))
-                if now["slots"] > 1:
-                    used = used.groupBy("seq").agg(F.first("gap").alias("gap"), F.sum("length").alias("length"))
-                gaps = gaps.where(F.col("gap") < least).unionByName(
-                    used.select("seq", (F.col("gap") - F.coalesce("length", F.lit(0))).alias("gap")))
-            if n and (not now["taken"] or now["fit"] * worth < n):
-                # open sequences for the longest documents left: for all where k + 1 never fit, else by their tokens
-                opened = n if k < 8 else min(n, -(-now["tokens"] // capacity) * k)
-                run = Window.partitionBy("run").orderBy("rank")
-                new = docs.where(F.col("rank") < opened).withColumn("run", F.floor(F.col("rank") / k))
-                placed.append(new.select("pid", F.first("pid").over(run).alias("sequence_id"), F.coalesce(F.sum("length").over(
-                    run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")))
-                fresh = new.groupBy("run").agg(F.min_by("pid", "rank").alias("seq"), (F.lit(capacity) - F.sum("length")).alias("gap"))
-                gaps, docs, n = gaps.unionByName(fresh.drop("run")), docs.where(F.col("rank") >= opened), n - opened
-            least = now["least"] or least
-            if n or classes:
-                gaps, room = keep_gaps(gaps, unit if n else capacity // classes[0])
-    return reduce(DataFrame.unionByName, placed)
+            gaps = steps[-1].where("gap > 0").select("seq", "gap")
+            got, now, tokens = _match(docs, gaps, unit, least)
+            slot = F.col("slot")
+            of_seq, used = Window.partitionBy("seq"), got.where("seq IS NOT NULL")
+            rows = gaps.where(F.col("gap") < least).select("seq", none.alias("pid"), none.alias("offset"), "gap")
+            if now["slots"] <= 1:
+                rows = rows.unionByName(used.select("seq", "pid", F.when(F.col("pid").isNotNull(), F.lit(capacity) - F.col("gap")).alias("offset"),
+                                                    (F.col("gap") - F.coalesce("length", F.lit(0))).alias("gap")))
+            else:
+                before = F.sum("length").over(of_seq.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+                rows = rows.unionByName(used.select(
+                    "seq", "pid", F.when(F.col("pid").isNotNull(), F.lit(capacity) - F.col("gap") + F.coalesce(before, F.lit(0))).alias("offset"),
+                    F.when(slot == 1, F.col("gap") - F.coalesce(F.sum("length").over(of_seq), F.lit(0))).alias("gap")))
+            docs, n, was = got.where("seq IS NULL"), now["left"], n
+            if n and (n == was or now["fit"] * worth < n):
+                rows, n = rows.unionByName(_opened(docs, k, capacity, now["most"], tokens)), 0
+            room, least = keep(rows, unit if n or not classes else capacity // classes[0]), now["least"] or least
+    return reduce(DataFrame.unionByName, [s.where("pid IS NOT NULL").select("pid", F.col("seq").alias("sequence_id"), "offset") for s in steps])
 
 
 def pack_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1,
