@@ -212,11 +212,28 @@ def test_pieces_and_ids_of_edge_cases(spark, make_docs):
 
 def test_worker_remembers_a_bounded_number_of_words(monkeypatch):
     monkeypatch.setattr(best_fit, "REMEMBERED", 50)
-    monkeypatch.setattr(best_fit, "SLICE", 30)
+    monkeypatch.setattr(best_fit, "REMEMBERED_PARTS", 50)
     ids = best_fit.WordIds(None)
     text = " ".join(f"w{i % 97} common" for i in range(500))
     want = ids.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(ids(text), "<u4").tolist() == want and len(ids.new) <= 80
+    assert np.frombuffer(ids(text), "<u4").tolist() == want and max(map(len, (ids, ids.old, ids.parts, ids.old_parts))) <= 52
+
+
+def test_ids_of_words_are_those_of_the_text():
+    """Letters beyond ASCII, combining marks, controls, contractions, digits,
+    final sigmas and names of special tokens, on the short way and the long."""
+    ids = best_fit.WordIds(None)
+    r = random.Random(1)
+    texts = ["ΑΣ ΟΔΟΣ's don't x\x1cy \x85 é İstanbul ﬁ 's't 've <|endoftext|> a\x00b   z 1234 ½ ²", "Σ Σ. ΣΑΣ's ́ leading mark",
+             "\u3000全角\u3000space 한국어한 ÀÉ×÷ŉŸſ ŒUVRE ßẞ l'ÉTÉ 'LL'Re d'D h\u0331 H\u0331", ""]
+    texts += ["".join(r.choice("aB'sStTdDlLm1 ,.éÉİıŒßſŉ×\x1f\x7f~'eΣ\u0301\n") for _ in range(60)) for _ in range(2000)]
+    assert ids.short
+    for short in (True, False):
+        ids.short = short
+        ids.clear()
+        ids.old.clear()
+        for t in texts:
+            assert np.frombuffer(ids(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_op12_packs_every_document(spark):
