@@ -19,9 +19,12 @@ ranges and the documents inside their range only, so a hot source is split.
 The windows are bounded by a range, a block, or the number of ranges of a pass.
 
 Defined cases: a null text has no tokens; a null source is a source of its
-own; a source without tokens has weight zero and passes its documents once, in
-block 0; null and repeated ids are rows like any other; one source gives weight
-1; an empty table gives an empty result.
+own; a source without tokens has weight zero and passes its documents once, each
+in a block that its hash draws; null and repeated ids are rows like any other
+(rows equal in source, id and length are numbered and draw by their number, so
+that copies spread over the ranges and blocks); one source gives weight 1; very long texts only
+count their words; an empty table gives an empty result. Only the named columns
+are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -93,9 +96,22 @@ def _least(pos: DataFrame) -> int:
     return pos.agg(F.min("tokens")).first()[0]
 
 
-def _draw(*parts: Column) -> Column:
-    """A pseudo-random 32-hex-digit string of the parts."""
-    return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+def _draw(*parts: Column, tie: Column) -> Column:
+    """A pseudo-random 32-hex-digit string of the parts, and of `tie` unless it is null."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], tie.cast("string")))
+
+
+def _with_ties(t: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Adds `tie`: rows equal in source, id and length are numbered from 0 (it
+    does not matter which is which), other rows have none. Equal rows are
+    counted before they are shuffled, and given out again by chunks."""
+    key = ["source", "id", "n_tokens"]
+    n = t.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    n = written(n, "repeats")
+    many = n.where("n > 1").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))))
+    tie = F.sequence(F.col("c") * chunk, F.least(F.col("n"), (F.col("c") + 1) * chunk) - 1)
+    many = many.repartition(*key, "c").select(*key, F.explode(tie).alias("tie"))
+    return n.where("n = 1").select(*key, F.lit(None).cast("long").alias("tie")).unionByName(many)
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -111,14 +127,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     total = w.agg(F.sum(F.col("repeats") * F.col("tokens")).alias("b")).first()["b"] or 0.0
     n_blocks = max(1, math.ceil(total / block_tokens))
 
-    s = F.lit(seed)
-    used = (t.join(w.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    s, tie = F.lit(seed), F.col("tie")
+    used = (_with_ties(t).join(w.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
              .withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("repeats").cast("int") - 1))))
-             .withColumn("draw", _draw(s, F.col("pass"), F.col("id"), F.col("n_tokens")))
+             .withColumn("draw", _draw(s, F.col("pass"), F.col("id"), F.col("n_tokens"), tie=tie))
              .withColumn("ranges", F.ceil(F.col("n_docs") / range_rows))
              .withColumn("range", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") * F.col("ranges")
                                           / 4294967296.0))
-             .select("id", "source", "n_tokens", "tokens", "repeats", "pass", "draw", "range"))
+             .select("id", "source", "n_tokens", "tie", "tokens", "repeats", "pass", "draw", "range"))
     by = ["source", "pass"]
     sums = used.groupBy(*by, "range").agg(F.sum("n_tokens").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(
@@ -133,10 +149,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
                   .withColumn("at", F.col("_before") + F.col("_in") + F.col("pass") * F.col("tokens")))
     # the last pass goes as far as the budget: a document is used if it begins before the end
     placed = placed.where((F.col("pass") == 0) & (F.col("repeats") >= 1) | (F.col("at") < F.col("repeats") * F.col("tokens")))
-    share = F.when(F.col("tokens") > 0, F.col("at") / (F.col("repeats") * F.col("tokens"))).otherwise(0.0)
+    drawn = F.conv(F.substring("draw", 9, 8), 16, 10).cast("double") / 4294967296.0
+    share = F.when(F.col("tokens") > 0, F.col("at") / (F.col("repeats") * F.col("tokens"))).otherwise(drawn)
     placed = placed.withColumn("block", F.least(F.floor(share * n_blocks), F.lit(n_blocks - 1)).cast("long"))
     order = Window.partitionBy("block").orderBy(_draw(s, F.lit("block"), F.col("block"), F.col("pass"), F.col("id"),
-                                                      F.col("n_tokens")), "source", "pass", "id", "n_tokens")
+                                                      F.col("n_tokens"), tie=tie), "source", "pass", "id", "n_tokens")
     return placed.withColumn("position", F.row_number().over(order)).select(
         "id", "source", "n_tokens", F.col("pass").cast("int").alias("pass"), "block", F.col("position").cast("long").alias("position"))
 

@@ -23,23 +23,25 @@ def q(s: str) -> str:
 def mixing_sql(max_repeats: float = 2.0, block_tokens: int = 1_000_000, seed: int = 17) -> str:
     """With the least budget that uses every document, the most repeated source
     is the smallest one: (largest / smallest) ^ (1 - a) = max_repeats."""
-    draw = f"md5(concat_ws(':', '{seed}', pass, coalesce(CAST(doc_id AS VARCHAR), ''), n_tokens))"
-    order = f"md5(concat_ws(':', '{seed}', 'block', block, pass, coalesce(CAST(doc_id AS VARCHAR), ''), n_tokens))"
+    draw = f"md5(concat_ws(':', '{seed}', pass, coalesce(CAST(doc_id AS VARCHAR), ''), n_tokens, tie))"
+    order = f"md5(concat_ws(':', '{seed}', 'block', block, pass, coalesce(CAST(doc_id AS VARCHAR), ''), n_tokens, tie))"
     return f"""
-WITH t AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS n_tokens FROM documents),
+WITH t0 AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS n_tokens FROM documents),
+t AS (SELECT *, CASE WHEN count(*) OVER same > 1 THEN row_number() OVER same - 1 END AS tie FROM t0
+  WINDOW same AS (PARTITION BY source, doc_id, n_tokens)),
 s AS (SELECT source, sum(n_tokens) AS tokens FROM t GROUP BY source),
 e AS (SELECT max(tokens) AS m, CASE WHEN max(tokens) = min(tokens) THEN 0.0 ELSE round(greatest(0.0,
         1 - ln({max_repeats!r}) / ln(max(tokens) / min(tokens))), 6) END AS a FROM s WHERE tokens > 0),
 w AS (SELECT source, CAST(tokens AS BIGINT) AS tokens, CASE WHEN tokens > 0
         THEN round(pow(m / tokens, 1 - a), 9) ELSE 1.0 END AS repeats FROM s, e),
 b AS (SELECT greatest(1, CAST(ceil(sum(repeats * tokens) / {block_tokens}) AS BIGINT)) AS n_blocks FROM w),
-u AS (SELECT t.doc_id, t.source, n_tokens, tokens, repeats,
+u AS (SELECT t.doc_id, t.source, n_tokens, tie, tokens, repeats,
         unnest(range(0, greatest(1, CAST(ceil(repeats) AS BIGINT)))) AS pass
       FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source),
 p AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY {draw}, doc_id, n_tokens
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + pass * tokens AS place FROM u),
-k AS (SELECT *, CASE WHEN tokens > 0 THEN least(CAST(floor(place / (repeats * tokens) * n_blocks) AS BIGINT), n_blocks - 1)
-        ELSE 0 END AS block FROM p, b WHERE pass = 0 AND repeats >= 1 OR place < repeats * tokens)
+k AS (SELECT *, least(n_blocks - 1, CAST(floor(n_blocks * CASE WHEN tokens > 0 THEN place / (repeats * tokens)
+        ELSE CAST('0x' || substr({draw}, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE END) AS BIGINT)) AS block FROM p, b WHERE pass = 0 AND repeats >= 1 OR place < repeats * tokens)
 SELECT doc_id, source, n_tokens, CAST(pass AS INTEGER) AS pass, CAST(block AS BIGINT) AS block,
   row_number() OVER (PARTITION BY block ORDER BY {order}, source, pass, doc_id, n_tokens) AS position
 FROM k"""
