@@ -1,9 +1,11 @@
 """WARC archives compressed with a dictionary.
 
 A task gathers records and writes an archive of about `archive_bytes` of
-payload: a Zstandard dictionary is trained on records spread over the archive
-(at most `sample_bytes` of them), put into a leading skippable frame, and every
-record is compressed on its own with it, so a record can be read alone. Records
+payload: a Zstandard dictionary is trained on pieces spread over the archive's
+records (at most `sample_bytes` of them), put into a leading skippable frame, and
+every record is compressed on its own with it, so a record can be read alone. An
+archive that holds too little for a dictionary of its own gets one trained on a
+sample of the whole table (none only where the table itself holds under 8 KB). Records
 whose payload equals that of an earlier page are written as revisits.
 
 Equal payloads are found by SHA-1 and length with a map-side combined grouped
@@ -76,29 +78,43 @@ def parse_record(raw: bytes) -> dict:
     return h
 
 
+def pieces_of(records: list[bytes], sample_bytes: int, piece: int = 4096) -> list[bytes]:
+    """Pieces spread evenly over all records, of at most `sample_bytes` in all:
+    as many of a long record as its share of the bytes gives, so that a few
+    large records are as good to train on as many small ones."""
+    total = sum(map(len, records))
+    every = max(piece, -(-total // max(1, sample_bytes // piece)))      # bytes of the archive for each piece
+    out, ahead = [], 0
+    for r in records:
+        at = ahead
+        while at < len(r):
+            out.append(r[at:at + piece])
+            at += every
+        ahead = at - len(r)
+    return out
+
+
 def train_dictionary(records: list[bytes], dict_bytes: int, sample_bytes: int) -> bytes:
-    """A dictionary from records spread evenly over the archive; empty if they
-    are too few or too small to train one."""
+    """A dictionary from pieces of the records; empty if they hold too little
+    to train one (8 pieces, 8 KB)."""
     import zstandard
-    total = sum(map(len, records))
-    stride = max(1, -(-total // sample_bytes))
-    sample, room = [], sample_bytes
-    for r in records[::stride]:
-        if room > 0:
-            sample.append(r[: min(len(r), 65536, room)])
-            room -= len(sample[-1])
-    if len(sample) < 8 or sum(map(len, sample)) < 8 * 1024:
+    sample = pieces_of(records, sample_bytes)
+    if len(sample) < 8:                 # few short records: smaller pieces
+        sample = pieces_of(records, sample_bytes, max(64, sum(map(len, records)) // 16))
+    size = sum(map(len, sample))
+    if len(sample) < 8 or size < 8 * 1024:
         return b""
     try:
-        return zstandard.train_dictionary(min(dict_bytes, sum(map(len, sample)) // 4), sample, k=256, d=8, level=3).as_bytes()
+        return zstandard.train_dictionary(min(dict_bytes, size // 4), sample, k=256, d=8, level=3).as_bytes()
     except zstandard.ZstdError:
         return b""          # e.g. all records alike: nothing to learn
 
 
-def archive_bytes_of(records: list[bytes], dict_bytes: int, sample_bytes: int, level: int) -> bytes:
-    """The archive: a skippable frame with the dictionary, then a frame a record."""
+def archive_bytes_of(records: list[bytes], dict_bytes: int, sample_bytes: int, level: int, shared: bytes = b"") -> bytes:
+    """The archive: a skippable frame with the dictionary, then a frame a
+    record. `shared` is the dictionary of archives too small for their own."""
     import zstandard
-    raw = train_dictionary(records, dict_bytes, sample_bytes)
+    raw = train_dictionary(records, dict_bytes, sample_bytes) or shared
     c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None,
                                  write_content_size=True)
     return b"".join([struct.pack("<II", DICT_FRAME_MAGIC, len(raw)), raw, *map(c.compress, records)])
@@ -169,6 +185,15 @@ def first_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
                       (F.col("first").isNotNull() & (~F.col("first").eqNullSafe(me) | (F.col("i") > 1))).alias("revisit"))
 
 
+def shared_dictionary(pages: DataFrame, payload_col: str, dict_bytes: int, sample_bytes: int) -> bytes:
+    """A dictionary of the whole table, for archives that are too small for one
+    of their own: from the first 4 KB of the payloads with the least hashes, at
+    most `sample_bytes` in all."""
+    p = F.substring(col(payload_col).cast("string"), 1, 4096).alias("p")
+    some = pages.where(F.length(col(payload_col).cast("string")) > 0).select(p).orderBy(F.xxhash64("p")).limit(max(8, sample_bytes // 16_384))
+    return train_dictionary([r["p"].encode("utf-8", "surrogatepass") for r in some.collect()], dict_bytes, sample_bytes)
+
+
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = 16 << 20,
                    dict_bytes: int = 64 << 10, sample_bytes: int = 1 << 20, level: int = 3) -> DataFrame:
@@ -178,7 +203,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
         def flush() -> pd.DataFrame:
             name = f"pages-{uuid.uuid4().hex}.warc.zst"
-            data = archive_bytes_of(held, dict_bytes, sample_bytes, level)
+            data = archive_bytes_of(held, dict_bytes, sample_bytes, level, shared)
             _store(folder, name, data)
             return pd.DataFrame({"file": [name], "n_records": [len(held)], "raw_bytes": [size], "file_bytes": [len(data)]})
 
@@ -197,6 +222,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
     got = first_pages(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, min_bytes=min_bytes)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    shared = shared_dictionary(pages, payload_col, dict_bytes, sample_bytes)
     # the list is kept: what it names was written by the attempts that succeeded
     return written(got.select(text("id").alias("id"), "url", "html", text("refers_to").alias("ref"), "revisit")
                       .mapInPandas(write, "file string, n_records long, raw_bytes long, file_bytes long"), "archive-list")
