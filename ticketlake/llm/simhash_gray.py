@@ -246,9 +246,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     columns. A class without ids keeps one of the documents with its smallest
     fingerprint; of rows that repeat the kept id and fingerprint one stays."""
     fps, named = _classes(docs, id_col, text_col, shingle, seed, max_bits)
-    best = (fps.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")).join(named.select("fp", "root"), "fp")
-               .groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("x")))
-    best = best.select(F.col("x.id").alias("id"), F.col("x.fp").alias("fp"))
+    # a fingerprint's least id is known, so no row is joined to its class
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x"))
+    best = best.select(F.col("x.least").alias("id"), F.col("x.fp").alias("fp"))
     # an id of one row names its document; ids of several rows are told apart by fingerprint
     often = fps.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     best = written(best.join(often.withColumn("often", F.lit(True)), best["id"].eqNullSafe(often["id"]), "left")
