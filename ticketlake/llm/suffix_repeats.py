@@ -2,9 +2,11 @@
 
 A window (`window` consecutive words) is repeated if its word sequence starts
 anywhere else, in the same document or another. The suffixes of all texts are
-split by variable-length prefixes into groups of bounded size, and each group's
-suffix tree is cut at depth `window`: leaves below a common node of that depth
-are the repeated windows, and runs of them are the maximal repeats.
+split by variable-length prefixes into groups of bounded size. Of a group's suffix
+tree only the nodes of depth `window` decide what is removed, so only they are
+formed: a node is known by the hash of the window that leads to it, leaves with
+one node are the repeated windows, and runs of them are the maximal repeats. Inner
+nodes above that depth and the order of the suffixes below it are never built.
 
 1. Copies: texts are collapsed to distinct ones by a map-side combined
    aggregation; the count says that a whole text repeats.
@@ -282,8 +284,13 @@ def repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35, inner:
     texts = docs.select(F.coalesce(col(text_col), F.lit("")).alias("text")).select("text", k.alias("k"), k2.alias("k2"))
     anchors = texts.select("k", "text").mapInPandas(_anchor_rows(window, inner), "v long, k long")
     anchors = written(anchors, "anchors")
-    shared = anchors.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
-    marks = anchors.join(shared, "v").groupBy("k").agg(F.collect_set("v").alias("shared"))
+    shared = written(anchors.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    # anchors of over a ten-thousandth of the rows, at most 10000, are marked where their rows lie; the others are joined
+    often = F.col("n") * 10_000 > anchors.count()
+    marked = anchors.join(F.broadcast(shared.where(often).select("v", F.lit(True).alias("hot"))), "v", "left")
+    marked = marked.where("hot").select("v", "k").unionByName(
+        marked.where("hot IS NULL").select("v", "k").join(shared.where(~often).select("v"), "v"))
+    marks = marked.groupBy("k").agg(F.collect_set("v").alias("shared"))
     distinct = texts.groupBy("k").agg(F.first(F.struct("k2", "text")).alias("x"), F.count(F.lit(1)).alias("copies"),
                                       F.min("k2").alias("lo"), F.max("k2").alias("hi"))
     table = distinct.join(marks, "k").select("k", "x.k2", "x.text", "copies", "shared", (F.col("lo") != F.col("hi")).alias("clash"))
