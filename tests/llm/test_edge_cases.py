@@ -285,6 +285,20 @@ def test_urls_by_hand(spark):
                    8: ("example.com", "/de/", "example.com/de/", "block")}
 
 
+def test_vocabulary_from_a_table_and_long_urls(spark):
+    table = spark.createDataFrame([("BadWord", "strict"), ("maybe", "soft"), ("perhaps", "soft"), (None, "soft"), ("", "strict"), ("x", "other")],
+                                  "term string, weight string")
+    strict, soft = url_vocabulary.load_vocabulary(table)
+    assert (strict, soft) == (["badword"], ["maybe", "perhaps"])
+    rows = [("http://a.b/" + "x" * 200_000 + "/badword", "block"), ("http://a.b/maybe/maybe", "allow"), ("perhaps-maybe", "block"), ("http://a.b/badwords", "allow")]
+    df = spark.createDataFrame(rows, "url string, want string").withColumn("host", F.lit("own"))
+    got = df.select("want", url_vocabulary.judge(F.col("url"), strict=strict, soft=soft).alias("j")).collect()
+    assert [x.j.verdict for x in got] == [x.want for x in got]
+    assert df.where("false").select(url_vocabulary.judge(F.col("url")).alias("j")).count() == 0
+    with pytest.raises(ValueError):
+        url_vocabulary.load_vocabulary(table, max_terms=1)
+
+
 def test_scores_of_edge_cases(make_docs):
     got = {r.id: r for r in pseudo_likelihood.score_documents(make_docs(ROWS, clashes=True)).collect()}
     assert got[1].n_tokens == 0 and got[1].log_prob == 0.0 and got[1].mean_log_prob is None
@@ -364,6 +378,42 @@ def test_mixture_properties(make_docs):
     assert got[cols].sort_values(cols).reset_index(drop=True).equals(again[cols].sort_values(cols).reset_index(drop=True))
 
 
+def test_rows_without_tokens_and_equal_rows_spread_over_the_blocks(spark, make_docs):
+    """A source without a token goes to all blocks; equal rows draw apart."""
+    rows = [(i, None, "void") for i in range(2000)] + [(None, "w w", "copies")] * 1500 + [(10_000 + i, "w " * 20, "big") for i in range(300)]
+    got = mixing.mix(make_docs(rows), block_tokens=600, range_rows=50).toPandas()
+    n = got.block.max() + 1
+    assert n >= 10 and len(got[got.source == "void"]) == 2000
+    for source in ("void", "copies"):
+        per = got[got.source == source].groupby("block").size()
+        assert len(per) >= n - 1 and per.max() < 3 * per.mean()
+    docs = make_docs(rows)
+    t = docs.selectExpr("doc_id AS id", "source", "coalesce(size(split(text, ' ')), 0) AS n_tokens").repartition(3)
+    ties = mixing._with_ties(t, chunk=100).where("source = 'copies'").toPandas().tie
+    assert sorted(ties) == list(range(1500))
+
+
+def test_small_archives_have_dictionaries(spark, tmp_path):
+    """Sixty-four partitions of a few pages, one of a single short page, and
+    archives of few large records."""
+    r = random.Random(7)
+    words = [f"<div class='c{i}'>text{i * i}</div>" for i in range(60)]
+    rows = [(i, f"http://x/{i}", "<html>" + " ".join(r.choices(words, k=40)) + "</html>") for i in range(190)] + [(999, "u", "short"), (1000, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(64)
+    folder = str(tmp_path / "few")
+    files = warc_zstd.write_archives(pages, folder).collect()
+    sizes = []
+    for f in files:
+        data = (tmp_path / "few" / f.file).read_bytes()
+        sizes.append(struct.unpack("<I", data[4:8])[0])
+        assert len(list(warc_zstd.read_archive(data))) == f.n_records
+    assert sum(f.n_records for f in files) == len(rows) and min(sizes) > 0
+    big = [("head " * 3 + "".join(r.choices("abcdef ", k=60_000))).encode() for _ in range(3)]
+    assert warc_zstd.train_dictionary(big, 64 << 10, 1 << 20)
+    sample = warc_zstd.pieces_of([b"x" * n for n in (1, 50_000, 3, 4096, 0, 200_000)], 64 << 10)
+    assert sum(map(len, sample)) <= (64 << 10) + 4096 and len(sample) >= 8
+
+
 def test_entropy_target(spark):
     s = spark.createDataFrame([("a", 700, 1), ("b", 200, 1), ("c", 100, 1)], "source string, tokens long, n_docs long")
     a = mixing.exponent(s, entropy=1.0)

@@ -7,15 +7,20 @@ all strict and soft terms in the lower-cased (A-Z) url in one pass; a term
 counts if it stands between characters other than a-z and 0-9 (or the ends).
 One strict term, or `min_soft` distinct soft ones, block.
 
-Map-only, with a vocabulary of fixed size. Defined cases: a null url or one
-without `://` has empty host and path and is judged by its words alone (none
-for null: allowed); repeated rows give a row each.
+Map-only; the vocabulary comes as lists or from a table (`load_vocabulary`) whose
+size is checked, and its automaton is built once a task. Defined cases: a null
+url or one without `://` has empty host and path and is judged by its words alone
+(none for null: allowed); repeated rows give a row each; rules of equal length go
+by their order; very long urls are read whole; an empty table gives an empty
+result. Only the url is read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.llm.common import by_value
@@ -51,6 +56,17 @@ def fitting_rule(host: str, path: str, rules: list[tuple[str, str, str]]) -> tup
     return best
 
 
+def load_vocabulary(table: DataFrame, max_terms: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table (term, weight 'strict' or 'soft'), A-Z
+    lowered; nulls and empty terms are ignored. The terms go to every task, so
+    their number is checked."""
+    rows = table.where("term <> '' AND weight IN ('strict', 'soft')").select("term", "weight").distinct().limit(max_terms + 1).collect()
+    if len(rows) > max_terms:
+        raise ValueError(f"the vocabulary has over {max_terms} terms")
+    terms = {w: sorted({r["term"].translate(_LOWER) for r in rows if r["weight"] == w}) for w in ("strict", "soft")}
+    return terms["strict"], terms["soft"]
+
+
 def automaton(strict: list[str], soft: list[str]):
     import ahocorasick
     a = ahocorasick.Automaton()
@@ -77,14 +93,16 @@ def judge(url: Column, *, rules: list[tuple[str, str, str]] | None = None, stric
     strict, soft = STRICT if strict is None else strict, SOFT if soft is None else soft
 
     @F.pandas_udf("host string, path string, rule string, verdict string, n_strict long, n_soft long")
-    def verdicts(urls: pd.Series) -> pd.DataFrame:
-        a, out = automaton(strict, soft), []
-        for u in urls:
-            u = None if u is None else str(u)
-            host, path = split_url(u)
-            rule = fitting_rule(host, path, rules) if host else None
-            s, w = term_hits(u, a)
-            out.append((host, path, rule[0] if rule else None,
-                        rule[1] if rule else "block" if s or w >= min_soft else "allow", s, w))
-        return pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "n_strict", "n_soft"])
+    def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        a = automaton(strict, soft)                 # once a task
+        for urls in batches:
+            out = []
+            for u in urls:
+                u = None if u is None else str(u)
+                host, path = split_url(u)
+                rule = fitting_rule(host, path, rules) if host else None
+                s, w = term_hits(u, a)
+                out.append((host, path, rule[0] if rule else None,
+                            rule[1] if rule else "block" if s or w >= min_soft else "allow", s, w))
+            yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "n_strict", "n_soft"])
     return verdicts(url)
