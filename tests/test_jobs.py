@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ticketlake.operators import intent as I
 from ticketlake.operators import vectors as V
 from ticketlake.plans import jobs
+from ticketlake.plans import kb_store as KS
 from ticketlake.plans import pipeline as P
 from ticketlake.sources import tables as S
 
@@ -20,7 +21,12 @@ def test_knowledge_base_from_threads_and_its_index(spark, tmp_path):
     assert spark.read.parquet(paths["processed_sample"]).count() == cases.count()
     meta = spark.read.parquet(paths["index_metadata"])
     assert meta.columns == ["case_id", "conversation_id", "intent", "resolution_quality", "turn_count"] and meta.count() == len(want)
-    index = jobs.load_index(spark, paths["index"])
+    index = KS.load(spark, paths["store"]).index
+    assert KS.load(spark, paths["store"]).cases.count() == cases.count()
+    tax = spark.read.json(paths["taxonomy_json"])
+    assert set(tax.columns) == {"intent", "definition", "examples", "confusing_with"} and tax.count() == 12
+    first = [r.case_id for r in spark.read.json(paths["documents_json"]).collect()]
+    assert first == sorted(want)[:100]
     cls = P.classified(cases.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message")))
     key = ["message_id", "case_id", "retrieval_rank"]
     a, b = ({tuple(r) for r in P.retrieved(cls, cases, index=i).select(*key).collect()} for i in (index, None))

@@ -10,7 +10,7 @@ from ticketlake.operators import kb as K
 from ticketlake.operators import models as MD
 from ticketlake.operators import threads as TH
 from ticketlake.operators import vectors as V
-from ticketlake.operators.tfidf import tfidf_retrieve
+from ticketlake.operators.postings import tfidf_retrieve
 from ticketlake.plans import pipeline as P
 
 TWEET = "tweet_id string, author_id string, inbound boolean, in_response_to_tweet_id string, response_tweet_id string, text string"

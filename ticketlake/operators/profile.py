@@ -4,10 +4,13 @@ inputs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlake.functions.text import strip_ws, word_count
 
@@ -16,32 +19,70 @@ def _median(c, approx: bool):
     return F.percentile_approx(c, 0.5, 10000) if approx else F.percentile(c, 0.5)
 
 
-def exact_percentiles(df: DataFrame, c: str | Column, ps: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, c: str | Column, ps: dict[str, float], direct: int = 100_000, splits: int = 63) -> DataFrame:
     """Exact linear-interpolation percentiles (the `percentile` /
-    `quantile_cont` definition) of a discrete column without buffering the
-    values in one task: a value histogram (partial aggregation; one row per
-    distinct value), cumulative counts over it, then the two values that
-    bracket rank p*(n-1). Windows run on the histogram only, whose size is the
-    number of distinct values, not rows. One row, one column per name."""
+    `quantile_cont` definition), one row, one column per name.
+
+    At most `direct` distinct values are counted and looked up on the driver.
+    Beyond that each wanted rank is selected by refinement: approximate
+    quantiles of its range (mergeable sketches) split it, exact counts a
+    part tell which part holds the rank, and that part is split again until it
+    has few distinct values. No task and no driver ever holds more than
+    `direct` values, and a value that fills a part alone ends its search."""
     x = F.col(c) if isinstance(c, str) else c
-    hist = df.select(x.cast("double").alias("v")).filter(F.col("v").isNotNull()) \
-             .groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("hi", F.sum("cnt").over(run))
-                .withColumn("lo", F.col("hi") - F.col("cnt"))
-                .withColumn("n", F.sum("cnt").over(Window.partitionBy())))
-    aggs = []
-    for name, p in ps.items():
-        pos = F.lit(p) * (F.col("n") - 1)
-        r0, r1 = F.floor(pos), F.ceil(pos)
-        at = lambda r: (F.col("lo") <= r) & (r < F.col("hi"))
-        hist = hist.withColumn(f"_{name}_pos", pos)
-        aggs += [F.max(F.when(at(r0), F.col("v"))).alias(f"_{name}_v0"),
-                 F.max(F.when(at(r1), F.col("v"))).alias(f"_{name}_v1"),
-                 F.max(F.col(f"_{name}_pos") - r0).alias(f"_{name}_f")]
-    out = hist.agg(*aggs)
-    return out.select(*[(F.col(f"_{n}_v0") + F.col(f"_{n}_f") * (F.col(f"_{n}_v1") - F.col(f"_{n}_v0"))).alias(n)
-                        for n in ps])
+    vals = df.select(x.cast("double").alias("v")).filter(F.col("v").isNotNull())
+
+    def counted(rows: DataFrame) -> list[tuple[float, int]] | None:
+        """(value, rows) in order, or none if there are too many."""
+        got = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).limit(direct + 1).collect()
+        return None if len(got) > direct else sorted(((r["v"], r["n"]) for r in got), key=lambda t: (t[0] != t[0], t[0]))
+
+    def at(hist: list[tuple[float, int]], rank: int) -> float:
+        for v, n in hist:
+            if rank < n:
+                return v
+            rank -= n
+        raise ValueError("rank beyond the values")
+
+    whole = counted(vals)
+    n = sum(k for _, k in whole) if whole is not None else vals.count()
+    pos = {name: p * (n - 1) for name, p in ps.items()}
+    ranks = sorted({r for x in pos.values() for r in (math.floor(x), math.ceil(x))}) if n else []
+    found = {r: at(whole, r) for r in ranks} if whole is not None else {}
+    # the part that holds a rank: values above `low` up to `high` (none: open), and the rows before it
+    where = {r: (None, None, 0) for r in ranks if r not in found}
+    while where:
+        part, mine = next((p, [r for r in where if where[r] == p]) for p in where.values())
+        low, high, before = part
+        rows = vals
+        if low is not None:
+            rows = rows.filter(F.col("v") > low)
+        if high is not None:
+            rows = rows.filter(F.col("v") <= high)
+        hist = counted(rows) if part != (None, None, 0) else None
+        if hist is not None:
+            found |= {r: at(hist, r - before) for r in mine}
+        else:
+            cut = sorted(set(rows.agg(F.percentile_approx("v", [(i + 1) / (splits + 1) for i in range(splits)], 10_000)).first()[0]))
+            # odd parts hold one value, the split itself; even parts what lies between
+            below = sum((F.when(F.col("v") > q, 1).otherwise(0) for q in cut), F.lit(0))
+            key = below * 2 + F.when(F.col("v").isin(cut), 1).otherwise(0)
+            sizes = {r["k"]: r["n"] for r in rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            for r in mine:
+                k, seen = 0, before
+                while seen + sizes.get(k, 0) <= r:
+                    seen += sizes.get(k, 0)
+                    k += 1
+                if k % 2:
+                    found[r] = cut[k // 2]
+                else:       # above the split before; up to the last value under the next one
+                    top = None if k // 2 == len(cut) else float(np.nextafter(cut[k // 2], -np.inf))
+                    where[r] = (cut[k // 2 - 1] if k else low, high if top is None else top, seen)
+        where = {r: w for r, w in where.items() if r not in found}
+    out = {name: None if not n else found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)])
+           for name, x in pos.items()}
+    schema = T.StructType([T.StructField(name, T.DoubleType()) for name in ps])
+    return df.sparkSession.createDataFrame([tuple(out[name] for name in ps)], schema)
 
 
 def _exact_median(df: DataFrame, c) -> Column:
@@ -146,3 +187,26 @@ def label_examples(df: DataFrame, label: str, key: str, text: str, per_label: in
     ranked = df.select(label, key, F.substring(F.col(text), 1, width).alias("example")) \
                .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_label)
     return ranked.join(F.broadcast(top), label, "left_semi")
+
+
+def kb_statistics(cases: DataFrame) -> DataFrame:
+    """(intent, resolution_quality, level, n, mean_turns): by both, by each and
+    in all from one aggregation; `level` tells which columns are totals."""
+    both = cases.groupingSets([["intent", "resolution_quality"], ["intent"], ["resolution_quality"], []], "intent", "resolution_quality")
+    return both.agg((F.grouping("intent").cast("long") + 2 * F.grouping("resolution_quality").cast("long")).alias("level"),
+                    F.count(F.lit(1)).alias("n"), F.avg("turn_count").alias("mean_turns"))
+
+
+def profile_state(df: DataFrame, by: str, text: str) -> DataFrame:
+    """A mergeable profile of one part of a table: counts, text lengths and a
+    sketch of the distinct texts. A new part needs no rescan of the old ones."""
+    n = F.length(text)
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("chars"), F.min(n).alias("shortest"), F.max(n).alias("longest"),
+                              F.hll_sketch_agg(text).alias("sketch"))
+
+
+def merge_profiles(states: DataFrame, by: str) -> DataFrame:
+    """Profiles of disjoint parts as one; `distinct` is the sketch's estimate."""
+    return states.groupBy(by).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("shortest").cast("long").alias("shortest"),
+                                  F.max("longest").cast("long").alias("longest"),
+                                  F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

@@ -7,9 +7,14 @@ the whole key range, and any engine with MD5 draws the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlake import lexicons as L
+from ticketlake.functions.text import contains_any, count_hits, word_count
+
 HASH_BITS = 60      # fifteen hexadecimal digits
 BUCKET_BITS = 20
 
@@ -27,6 +32,40 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
 
 
+def difficulty(text: str, turns: str, connectors: Sequence[str] = L.DIFFICULTY_CONNECTORS, angry: Sequence[str] = L.DIFFICULTY_ANGRY) -> Column:
+    """hard, medium or easy: 2 points for under 5 words, 1 each for more than
+    one connector, an angry word, and over 5 turns."""
+    low = F.lower(text)
+    score = (F.when(word_count(text) < 5, 2).otherwise(0) + F.when(count_hits(low, connectors) > 1, 1).otherwise(0)
+             + F.when(contains_any(low, angry), 1).otherwise(0) + F.when(F.col(turns) > 5, 1).otherwise(0))
+    return F.when(score >= 3, "hard").when(score >= 1, "medium").otherwise("easy")
+
+
+def exact_allocation(df: DataFrame, label: str, n: int, minimum: int = 5) -> DataFrame:
+    """(label, n_rows, alloc) like `stratified_allocation`, but the total is n
+    wherever the labels hold enough rows: what is over or missing after the
+    first round goes to the labels one by one, the largest remainders of their
+    shares first, never below `minimum` nor above the label's rows. The table
+    is one row a label, so it is settled on the driver."""
+    rows = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_rows")).collect()
+    total = sum(r["n_rows"] for r in rows)
+    want = min(n, total)
+    share = {r["label"]: want * r["n_rows"] / total for r in rows}
+    size = {r["label"]: r["n_rows"] for r in rows}
+    alloc = {k: min(size[k], max(minimum, int(share[k]))) for k in size}
+    order = sorted(size, key=lambda k: (-(share[k] - int(share[k])), -size[k], k is None, k or ""))
+    low = {k: min(size[k], minimum) for k in size}
+    while sum(alloc.values()) != want:
+        step = 1 if sum(alloc.values()) < want else -1
+        free = [k for k in (order if step > 0 else reversed(order)) if (alloc[k] < size[k] if step > 0 else alloc[k] > low[k])]
+        if not free:
+            break               # `minimum` rows of every label are already more than n
+        for k in free[:abs(want - sum(alloc.values()))]:
+            alloc[k] += step
+    kind = df.schema[label].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(k, size[k], alloc[k]) for k in size], f"label {kind}, n_rows long, alloc long")
+
+
 def stratified_allocation(df: DataFrame, label: str, n: int, minimum: int = 5) -> DataFrame:
     """(label, n_rows, alloc): min(count, max(minimum, int(n*share))), then one
     +1 (residual > 0) or one -1 floored at `minimum` (residual < 0) for each of

@@ -1,11 +1,10 @@
-"""TF-IDF featuriser and retrieval.
+"""TF-IDF vocabulary (retrieval is in `postings.py`).
 
 Tokens: lower-cased runs of two or more letters/digits/underscores (the
 Unicode reading of `\\b\\w\\w+\\b`); optional stop-word removal, then n-grams
-over the remaining tokens. idf = ln((1+n)/(1+df)) + 1, weights tf*idf, rows
-L2-normalised. The vocabulary is cut by document frequency and then to the
-`max_features` most frequent terms (ties by term), so it has a proven size
-bound and is broadcast; vectors are sparse (idx, val) arrays per row.
+over the remaining tokens. idf = ln((1+n)/(1+df)) + 1. The vocabulary is cut by
+document frequency and then to the `max_features` most frequent terms (ties by
+term), so it has a proven size bound and can be broadcast.
 """
 
 from __future__ import annotations
@@ -14,14 +13,12 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlake.operators.vectors import block_topk
 from ticketlake.session import cut_lineage
 
 # ship the kernels with the task (pickled by value)
@@ -100,28 +97,6 @@ def _fit(terms: DataFrame, n_docs: int, *, min_df: int, max_df: float, max_featu
                       (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("tidx"))
 
 
-def _weigher(vocab: dict[str, tuple[int, float]]):
-    """Sparse unit vectors of term arrays, counted within the row."""
-    @F.pandas_udf("idx array<int>, val array<double>")
-    def weigh(rows: pd.Series) -> pd.DataFrame:
-        idx, val = [], []
-        for terms in rows:
-            found = sorted((vocab[t], k) for t, k in Counter(terms if terms is not None else ()).items() if t in vocab)
-            w = np.array([k * idf for (_, idf), k in found])
-            idx.append([i for (i, _), _ in found])
-            val.append((w / np.sqrt((w * w).sum())).tolist() if len(w) else [])
-        return pd.DataFrame({"idx": idx, "val": val})
-    return weigh
-
-
-def _vectors(terms: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """(id, idx ARRAY<INT>, val ARRAY<DOUBLE>) L2-normalised; map-only, as the
-    vocabulary (at most max_features rows) goes to every task."""
-    words = {r["term"]: (r["tidx"], r["idf"]) for r in vocab.select("term", "tidx", "idf").collect()}
-    return (terms.select(F.col(key).alias("id"), _weigher(words)("terms").alias("v"))
-                 .select("id", "v.idx", "v.val").filter(F.size("idx") > 0))
-
-
 def fit_vocabulary(docs: DataFrame, key: str, text: str, *, ngram_max: int = 2, stop_words: bool = False,
                    min_df: int = 1, max_df: float = 1.0, max_features: int = 5000) -> DataFrame:
     """(term, df, idf, tidx) over the corpus; at most `max_features` rows,
@@ -132,55 +107,3 @@ def fit_vocabulary(docs: DataFrame, key: str, text: str, *, ngram_max: int = 2,
                              max_features=max_features))
     t.unpersist()
     return vocab
-
-
-def tfidf_vectors(df: DataFrame, key: str, text: str, vocab: DataFrame, *, ngram_max: int = 2,
-                  stop_words: bool = False) -> DataFrame:
-    """(id, idx, val) L2-normalised; rows without a vocabulary term are dropped."""
-    return _vectors(term_arrays(df.select(key, text), text, ngram_max, stop_words), key, vocab)
-
-
-def build_index(corpus: DataFrame, c_key: str, c_text: str, *, max_features: int = 5000, ngram_max: int = 2,
-                part: str | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(vocabulary, corpus vectors, dim): one tokenisation of the corpus
-    feeds both the fit and the vectors; vocabulary and vectors are written to
-    the shared checkpoint folder, so every search (and every micro-batch of a
-    stream) reads the index instead of re-tokenising the corpus."""
-    t = term_arrays(corpus.select(c_key, c_text), c_text, ngram_max).persist()
-    vocab = cut_lineage(_fit(t, corpus.select(c_key).count(), min_df=1, max_df=1.0, max_features=max_features))
-    dim = max(1, vocab.count())
-    cv = _vectors(t, c_key, vocab)
-    if part:
-        cv = cv.join(corpus.select(F.col(c_key).alias("id"), part), "id")
-    # the index is materialised once in the shared checkpoint folder
-    cv = cut_lineage(cv)
-    t.unpersist()
-    return vocab, cv, dim
-
-
-def search(index: tuple[DataFrame, DataFrame, int], queries: DataFrame, q_key: str, q_text: str, *,
-           top_k: int = 5, min_score: float = 0.01, ngram_max: int = 2, part: str | None = None,
-           exclude_self: bool = False, q_name: str = "query_id", c_name: str = "doc_id") -> DataFrame:
-    vocab, cv, dim = index
-    qv = tfidf_vectors(queries, q_key, q_text, vocab, ngram_max=ngram_max)
-    if part:
-        qv = qv.join(queries.select(F.col(q_key).alias("id"), part), "id")
-    # query blocks and candidate chunks are densified to rows x dim doubles:
-    # keep each under ~64 MB whatever the vocabulary size
-    rows = max(64, min(1024, (64 << 20) // (8 * dim)))
-    hits = block_topk(qv, cv, top_k, kind="sparse", dim=dim, part=part, exclude_self=exclude_self,
-                      normalize=False, block_rows=rows, chunk_rows=rows, min_score=min_score, q_name=q_name, c_name=c_name)
-    return hits
-
-
-def tfidf_retrieve(queries: DataFrame, q_key: str, q_text: str, corpus: DataFrame, c_key: str, c_text: str,
-                   *, top_k: int = 5, min_score: float = 0.01, max_features: int = 5000, ngram_max: int = 2,
-                   part: str | None = None, exclude_self: bool = False,
-                   q_name: str = "query_id", c_name: str = "doc_id") -> DataFrame:
-    """Cosine top-k of each query against the corpus; scores below
-    `min_score` are no hits, so fewer than k may remain. The
-    vocabulary is fitted once on the corpus (not per query). With `part`,
-    candidates must share the query's part value (pre-filter)."""
-    index = build_index(corpus, c_key, c_text, max_features=max_features, ngram_max=ngram_max, part=part)
-    return search(index, queries, q_key, q_text, top_k=top_k, min_score=min_score, ngram_max=ngram_max,
-                  part=part, exclude_self=exclude_self, q_name=q_name, c_name=c_name)

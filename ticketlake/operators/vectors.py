@@ -10,12 +10,17 @@ literal, so Spark pre-limits per partition) merges the block winners. No
 pair table is ever materialised, task memory is bounded by the query block
 and one chunk, and an optional equality constraint (`part`) is applied
 inside each block pair, so a hot part value cannot create a hot task.
+
+Defined cases, alike on every path: a null vector is neither a query nor a
+candidate, a null `part` matches nothing, a zero vector scores 0 with
+everything, and an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -164,12 +169,16 @@ def block_topk(queries: DataFrame, cands: DataFrame, k: int, *, kind: str = "den
     """
     vcols = ["vec"] if kind == "dense" else ["idx", "val"]
     pcols = [part] if part else []
+    queries, cands = (t.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in [vcols[0], *pcols]])) for t in (queries, cands))
     width = F.size(vcols[0])
     schema = T.StructType([T.StructField("q", queries.schema["id"].dataType), T.StructField("c", cands.schema["id"].dataType),
                            T.StructField("score", T.DoubleType())])
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("c"))
     qstats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(width).alias("w")).first()
     nq = qstats["n"]
+    if nq == 0:
+        return queries.sparkSession.createDataFrame([], schema).select(
+            F.col("q").alias(q_name), F.col("c").alias(c_name), F.lit(0).alias("rank"), "score")
     if nq * (dim or qstats["w"] or 1) * 8 <= scan_bytes:
         few = queries.select("id", *vcols, *pcols).toPandas()           # bounded by scan_bytes
         hits = cands.select("id", *vcols, *pcols).mapInPandas(

@@ -23,7 +23,8 @@ from ticketlake.operators import routing as RT
 from ticketlake.operators import sampling as SM
 from ticketlake.operators import threads as TH
 from ticketlake.operators import vectors as V
-from ticketlake.operators.tfidf import fit_vocabulary, tfidf_retrieve
+from ticketlake.operators.postings import tfidf_retrieve
+from ticketlake.operators.tfidf import fit_vocabulary
 from ticketlake.plans import oracle as O
 from ticketlake.plans import pipeline as P
 from ticketlake.plans import sqlgen as G
@@ -421,12 +422,6 @@ FROM (SELECT *, {_diff_sql} AS d FROM samp) s JOIN alloc a ON a.label = s.intent
 def golden_set(spark, d):
     c, alloc = _golden_parts(spark, d)
     s = SM.stratified_sample(c, "intent", "conversation_id", alloc)
-    low = F.lower("customer_problem")
-    from ticketlake.functions.text import contains_any, count_hits
-    score = (F.when(word_count("customer_problem") < 5, 2).otherwise(0)
-             + F.when(count_hits(low, _conn) > 1, 1).otherwise(0)
-             + F.when(contains_any(low, L.DIFFICULTY_ANGRY), 1).otherwise(0)
-             + F.when(F.col("turn_count") > 5, 1).otherwise(0))
     s = s.join(F.broadcast(alloc.select(F.col("label").alias("intent"), "n_rows")), "intent")
     # the golden sample is bounded by the requested size, so one ordered window is fine
     w = Window.orderBy(F.desc("n_rows"), F.asc("intent"), F.asc("_h"), F.asc("conversation_id"))
@@ -435,8 +430,7 @@ def golden_set(spark, d):
         F.col("customer_problem").alias("customer_message"), "intent",
         F.lit("Sampled for human labeling").alias("intent_notes"), F.lit("").alias("expected_action"),
         R.template_for("intent").alias("reference_response"),
-        F.when(score >= 3, "hard").when(score >= 1, "medium").otherwise("easy").alias("difficulty"),
-        "turn_count")
+        SM.difficulty("customer_problem", "turn_count", _conn).alias("difficulty"), "turn_count")
 
 
 @register("majority_baseline", f"""WITH s AS ({_split_sql}),
@@ -524,13 +518,16 @@ def tfidf_weights(spark, d):
     return v.select("term", "df", r6(F.col("idf")).alias("idf"))
 
 
-_tb = O._tfidf("tb", "documents", "doc_id", "text", "benchmark", "item_id", "text", max_features=5000, k=5)
+_tb = O._tfidf("tb", "documents", "doc_id", "text", "benchmark", "item_id", "text", k=5)
 
 
-@register("tfidf_retrieve", "SELECT qid AS query_id, cid AS doc_id, rank, round(score, 6) AS score FROM tb_top WHERE score >= 0.01", _tb)
+@register("tfidf_retrieve", """SELECT b.item_id AS query_id, t.cid AS doc_id, coalesce(t.rank, 0) AS rank, coalesce(round(t.score, 6), 0.0) AS score
+FROM benchmark b LEFT JOIN (SELECT * FROM tb_top WHERE score >= 0.01) t ON t.qid = b.item_id""", _tb)
 def tfidf_retrieve_q(spark, d):
-    out = tfidf_retrieve(S.read_table(spark, d, "benchmark"), "item_id", "text",
-                         S.read_table(spark, d, "documents"), "doc_id", "text", top_k=5, q_name="query_id", c_name="doc_id")
+    """Every benchmark item's five nearest documents over all terms; an item
+    without one has a row of rank 0."""
+    out = tfidf_retrieve(S.read_table(spark, d, "benchmark"), "item_id", "text", S.read_table(spark, d, "documents"), "doc_id",
+                         "text", top_k=5, mark_empty=True, q_name="query_id", c_name="doc_id")
     return out.withColumn("score", r6(F.col("score")))
 
 
@@ -709,7 +706,7 @@ _rm_ctes = {
     "aq": "SELECT message_id, message FROM tmsg",
     **{k.replace("tr_", "ra_"): v.replace("tr_", "ra_").replace("q_in", "aq")
        for k, v in O._tfidf("tr", "cases", "case_id", "customer_problem", "q_in", "message_id", "message",
-                            max_features=5000, k=P.RETRIEVE_K, exclude_self=True).items()},
+                            k=P.RETRIEVE_K, exclude_self=True).items()},
 }
 _rm_ctes["aret"] = f"""SELECT t.qid AS message_id, t.cid AS case_id, t.rank AS retrieval_rank, t.score AS similarity_score,
   {G.map_labels('k.intent')} AS intent, k.resolution_quality FROM ra_top t JOIN cases k ON k.case_id = t.cid WHERE t.score >= 0.01"""
@@ -816,11 +813,11 @@ def thread_cases(spark, d):
     return P.thread_cases(spark, d)
 
 
-@register("pii_mask_one", f"SELECT doc_id, {', '.join(G.mask('text', [x]) + ' AS ' + x[0].lower() for x in L.PII_PATTERNS[:3])} FROM documents")
+@register("pii_mask_one", f"SELECT doc_id, {', '.join(G.mask('text', [x]) + ' AS ' + x[0].lower() for x in L.PII_PATTERNS)} FROM documents")
 def pii_mask_one(spark, d):
-    """Every document under single masks: mail, phone, order id."""
+    """Every document under each single mask."""
     docs = S.read_table(spark, d, "documents")
-    return docs.select("doc_id", *[pii.mask_one("text", n).alias(n.lower()) for n, _, _ in L.PII_PATTERNS[:3]])
+    return docs.select("doc_id", *[pii.mask_one("text", n).alias(n.lower()) for n, _, _ in L.PII_PATTERNS])
 
 
 _tax_rows = ", ".join(f"({G.lit(k)}, {G.lit(L.TAXONOMY_DEFINITIONS[k].format(store='store'))}, {G.lit(', '.join(v))})"
@@ -861,7 +858,7 @@ def pipeline_sample(spark, d):
 
 _ti = {"tib": f"SELECT case_id, customer_problem, {G.map_labels('intent')} AS part FROM cases",
        "tiq": f"SELECT case_id AS message_id, customer_problem AS message, {G.map_labels('intent')} AS part FROM cases",
-       **O._tfidf("ti", "tib", "case_id", "customer_problem", "tiq", "message_id", "message", max_features=5000, k=5)}
+       **O._tfidf("ti", "tib", "case_id", "customer_problem", "tiq", "message_id", "message", k=5)}
 _ti["ti_s"] = ("SELECT q.id AS qid, c.id AS cid, round(sum(q.w * c.w), 12) AS score FROM ti_qv q JOIN ti_cv c USING (term) "
                "JOIN tiq a ON a.message_id = q.id JOIN tib b ON b.case_id = c.id WHERE q.id <> c.id AND a.part = b.part GROUP BY q.id, c.id")
 
@@ -900,7 +897,7 @@ QUERIES["logreg_baseline"] = logreg_baseline
 _rk = {
     "qk": "SELECT message_id, message FROM tmsg WHERE length(message) >= 5",
     **O._tfidf("rk", "cases", "case_id", "customer_problem", "qk", "message_id", "message",
-               max_features=5000, k=5, exclude_self=True),
+               k=5, exclude_self=True),
 }
 _rk["rke"] = """SELECT qid AS message_id, count(*) AS n_cases, avg(score) AS avg_score FROM rk_top WHERE score >= 0.01 GROUP BY qid"""
 _rk["rkr0"] = f"""SELECT m.message_id, m.truth, {G.contains_any(G.lower_text('m.message'), L.ACCOUNT_KEYWORDS)} AS acct,
@@ -1013,3 +1010,217 @@ def _stream(spark, d):
 
 QUERIES["triage_stream"] = _stream
 ORACLE["triage_stream"] = ORACLE["triage_batch"]
+
+
+# ====================================================================== own vectors, clustered top-k, files read back
+
+def embed_retrieve(spark, d):
+    """Texts to reranked cases: the encoder is fitted on the cases, every
+    message is encoded, its ten nearest cases are reranked to five. The vectors
+    have no SQL form (tests compare with a plain decomposition)."""
+    from ticketlake.operators import encoder as E
+    kb = P.kb_table(spark, d)
+    enc = E.fit(kb.withColumn("document", K.document_text()), "document")
+    cases = E.encode(kb.withColumn("document", K.document_text()), "document", enc).select(F.col("case_id").alias("id"), "vec")
+    msgs = E.encode(kb, "customer_problem", enc).select(F.col("case_id").alias("id"), "vec")
+    hits = V.block_topk(msgs, cases, P.RETRIEVE_K, exclude_self=True, q_name="message_id", c_name="case_id")
+    cls = P.classified(kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message")))
+    fields = kb.select("case_id", I.map_labels("intent").alias("intent"), "resolution_quality")
+    ret = hits.withColumnRenamed("rank", "retrieval_rank").withColumnRenamed("score", "similarity_score").join(fields, "case_id")
+    rr = P.reranked(cls, ret)
+    return rr.select("message_id", "case_id", "rerank_rank", r6(F.col("rerank_score")).alias("rerank_score"),
+                     r6(F.col("similarity_score")).alias("similarity_score"))
+
+
+QUERIES["embed_retrieve"] = embed_retrieve
+
+
+@register("topk_clustered", _emb_top(False), _emb)
+def topk_clustered(spark, d):
+    """The same exact result as `topk_cosine`, by cells with bounds."""
+    from ticketlake.operators.pruned_topk import build_cells, pruned_topk
+    e = _emb_frame(spark, d).drop("label")
+    out, _ = pruned_topk(e, build_cells(e), TOPK, exclude_self=True)
+    return out.withColumn("score", r6(F.col("score")))
+
+
+@register("kb_incremental", "SELECT case_id, customer_problem, intent, resolution_quality, turn_count FROM th_cases")
+def kb_incremental(spark, d):
+    """Cases after three deltas: a build from a third of the tweets (dealt by a
+    hash of their ids, so threads arrive torn), extended twice."""
+    from uuid import uuid4
+
+    from ticketlake.plans import incremental as INC
+    from ticketlake.session import ensure_checkpoint_dir, write_and_read
+    tw = write_and_read(P.tweets(spark, d).withColumn("_third", F.pmod(F.xxhash64("tweet_id"), F.lit(3))), "tweets")
+    third = lambda i: tw.where(F.col("_third") == i).drop("_third")
+    base = f"{ensure_checkpoint_dir(spark)}/incremental-{uuid4().hex}"
+    INC.build(third(0), P.BRAND, f"{base}/0")
+    for i in (1, 2):
+        state = INC.extend(spark, f"{base}/{i - 1}", third(i), P.BRAND, f"{base}/{i}")
+    return state["cases"].select("case_id", "customer_problem", "intent", "resolution_quality", "turn_count")
+
+
+# ====================================================================== written and read back, lookups, statistics
+
+def _folder(spark, name):
+    from uuid import uuid4
+
+    from ticketlake.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
+@register("tweet_csv_scan", f"""SELECT tweet_id, author_id, inbound, created_at, text, response_tweet_id, in_response_to_tweet_id FROM raw""")
+def tweet_csv_scan(spark, d):
+    """The dump written as quoted CSV and scanned by splits (A1, A5)."""
+    from ticketlake.sources.split_csv import read_split_csv
+    at, raw = _folder(spark, "tweets-csv"), S.raw_tweets(spark, d)
+    S.write_csv(raw, at)
+    return read_split_csv(spark, at, raw.schema)
+
+
+@register("conversation_files", f"""SELECT CAST(conversation_id AS VARCHAR) AS conversation_id, conversation, customer_problem, brand_responses,
+  turn_count, customer_turns, {G.ts_str('first_timestamp')} AS first_timestamp, {G.ts_str('last_timestamp')} AS last_timestamp FROM clean""")
+def conversation_files(spark, d):
+    """Conversations written as CSV and read back by the typed reader (A2, A5)."""
+    at = _folder(spark, "conversations-csv")
+    S.write_csv(P.clean(spark, d), at)
+    got = S.read_typed(spark, at, S.CONVERSATION_COLUMNS, "csv")
+    return got.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_timestamp", "last_timestamp")})
+
+
+@register("case_files", """SELECT case_id, CAST(conversation_id AS VARCHAR) AS conversation_id, customer_problem, conversation, brand_responses, resolution,
+  intent, resolution_quality, turn_count FROM cases""")
+def case_files(spark, d):
+    """Cases written as JSON lines and read back by the typed reader (A3, A6, A7)."""
+    at = _folder(spark, "cases-json")
+    S.write_json(P.cases(spark, d), at)
+    return S.read_typed(spark, at, S.CASE_COLUMNS, "json")
+
+
+ORACLE["golden_files"] = ORACLE["golden_set"]
+
+
+def golden_files(spark, d):
+    """The golden set written as CSV and JSON and read back from the CSV; blank
+    expected actions stay blank (A4, G7)."""
+    from ticketlake.plans import jobs
+    paths = jobs.write_golden_set(golden_set(spark, d), _folder(spark, "golden"))
+    got = S.read_typed(spark, paths["json"], S.GOLDEN_COLUMNS, "json")
+    return got.withColumn("turn_count", F.col("turn_count").cast("long"))
+
+
+QUERIES["golden_files"] = golden_files
+
+
+@register("kb_store_cases", """SELECT case_id, intent, resolution_quality, turn_count FROM cases
+WHERE intent IN ('refund_issue', 'late_delivery', 'order_status', 'complaint')""")
+def kb_store_cases(spark, d):
+    """Cases of four intents from the current version of a published knowledge
+    base: only the folders of these intents are read (A8)."""
+    from ticketlake.plans import kb_store as KS
+    at = _folder(spark, "kb-store")
+    KS.publish(P.kb_table(spark, d), at, dense=False)
+    some = KS.load(spark, at).cases.where(F.col("intent").isin("refund_issue", "late_delivery", "order_status", "complaint"))
+    return some.select("case_id", "intent", "resolution_quality", "turn_count")
+
+
+@register("tweet_lookup", "SELECT tweet_id, author_id, text FROM tw WHERE tweet_id = (SELECT max(tweet_id) FROM tw)")
+def tweet_lookup(spark, d):
+    """Point lookup of one row by its id (A9): here the greatest."""
+    tw = P.tweets(spark, d)
+    last = tw.agg(F.max("tweet_id")).first()[0]
+    return S.lookup(tw, "tweet_id", last).select("tweet_id", "author_id", "text")
+
+
+@register("processed_dataset", """SELECT conversation_id, conversation, customer_problem, brand_responses, turn_count FROM proc WHERE reason = 'valid'""")
+def processed_dataset(spark, d):
+    """Masked and filtered conversations, written and read back (D7)."""
+    at = _folder(spark, "processed")
+    S.write_parquet(P.processed(spark, d).filter("is_valid"), at)
+    return spark.read.parquet(at).select("conversation_id", "conversation", "customer_problem", "brand_responses", "turn_count")
+
+
+@register("coerce_generations", """SELECT event_id, coalesce(json_extract_string(props, '$.response'), event_type) AS response,
+  CAST(json_extract_string(props, '$.k') AS VARCHAR) AS evidence_case_ids, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 1 AS escalate, '' AS reason
+FROM events""")
+def coerce_generations(spark, d):
+    """Model outputs as JSON text coerced to replies (F10): the texts are made
+    from the events; absent fields take their defaults."""
+    ev = S.read_table(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    raw = F.to_json(F.struct(F.coalesce(F.get_json_object("props", "$.response"), F.col("event_type")).alias("response"),
+                             F.array(k).alias("evidence_case_ids"), (k.cast("long") % 2 == 1).alias("escalate")))
+    g = I.coerce_generation(F.col("j"))
+    got = ev.withColumn("j", F.from_json(raw, I.GENERATION_SCHEMA))
+    return got.select("event_id", g["response"].alias("response"), F.array_join(g["evidence_case_ids"], ",").alias("evidence_case_ids"),
+                      g["escalate"].alias("escalate"), g["reason"].alias("reason"))
+
+
+@register("index_metadata", """SELECT case_id, CAST(conversation_id AS VARCHAR) AS conversation_id, intent, resolution_quality, turn_count FROM cases""")
+def index_metadata(spark, d):
+    """The metadata that is kept next to each vector (H16)."""
+    return K.index_metadata(P.cases(spark, d))
+
+
+@register("reranked_cases", """SELECT r.message_id, r.case_id, r.rerank_rank, k.customer_problem, k.resolution, r.intent, r.resolution_quality,
+  round(r.similarity_score, 6) AS similarity_score, round(r.semantic_score, 6) AS semantic_score, r.intent_score, r.quality_score,
+  round(r.rerank_score, 6) AS rerank_score FROM rr r JOIN cases k ON k.case_id = r.case_id""")
+def reranked_cases(spark, d):
+    """Whole cases with their retrieval and rerank scores (H15, H17)."""
+    kb = P.kb_table(spark, d)
+    cls = P.classified(kb.select(F.col("case_id").alias("message_id"), F.col("customer_problem").alias("message")))
+    rr = P.reranked(cls, P.retrieved(cls, kb))
+    return rr.select("message_id", F.col("case_id").cast("string").alias("case_id"), "rerank_rank", "customer_problem", "resolution", "intent",
+                     "resolution_quality", *[r6(F.col(c)).alias(c) for c in ("similarity_score", "semantic_score")], "intent_score",
+                     "quality_score", r6(F.col("rerank_score")).alias("rerank_score"))
+
+
+_sections = {**_rep_ctes, **_route_ctes}
+
+
+@register("metrics_sections", f"""SELECT 'intent_classification' AS section, model AS name, round(sum(tp) / sum(support), 6) AS accuracy FROM rf GROUP BY model
+UNION ALL SELECT 'routing', 'keyword', round(avg(CASE WHEN truth_action = pred_action THEN 1.0 ELSE 0.0 END), 6) FROM gr""", _sections)
+def metrics_sections(spark, d):
+    """The evaluation report's JSON, parsed back to rows (K15)."""
+    import json
+
+    from ticketlake.plans import jobs
+    doc = json.loads(jobs.metrics_report(spark, _pred_table(spark, d), _golden_routing(spark, d)))
+    rows = [("intent_classification", x["model"], float(x["accuracy"])) for x in doc["intent_classification"]]
+    rows.append(("routing", doc["provider"], float(doc["routing"]["accuracy"])))
+    return spark.createDataFrame(rows, "section string, name string, accuracy double").withColumn("accuracy", r6(F.col("accuracy")))
+
+
+@register("kb_statistics", """SELECT intent, resolution_quality, CAST(grouping(intent) + 2 * grouping(resolution_quality) AS BIGINT) AS level,
+  count(*) AS n, round(avg(turn_count), 6) AS mean_turns FROM cases GROUP BY GROUPING SETS ((intent, resolution_quality), (intent), (resolution_quality), ())""")
+def kb_statistics(spark, d):
+    """Counts by intent, by quality, by both and in all, in one pass (H4, E9)."""
+    return PR.kb_statistics(P.cases(spark, d)).withColumn("mean_turns", r6(F.col("mean_turns")))
+
+
+@register("profile_merge", """SELECT author_id, count(*) AS n, CAST(min(length(text)) AS BIGINT) AS shortest, CAST(max(length(text)) AS BIGINT) AS longest,
+  TRUE AS same_distinct FROM tw GROUP BY author_id""")
+def profile_merge(spark, d):
+    """Profiles stored a part at a time and merged equal those of one pass:
+    counts, extremes and a sketch of distinct texts by author (E9)."""
+    tw = P.tweets(spark, d).withColumn("_part", F.pmod(F.xxhash64("tweet_id"), F.lit(4)))
+    at = _folder(spark, "profiles")
+    for i in range(4):
+        S.write_parquet(PR.profile_state(tw.where(F.col("_part") == i), "author_id", "text"), f"{at}/part={i}")
+    merged = PR.merge_profiles(spark.read.parquet(at).drop("part"), "author_id")
+    once = PR.merge_profiles(PR.profile_state(tw, "author_id", "text"), "author_id").select("author_id", F.col("distinct").alias("_d"))
+    return merged.join(once, "author_id").select("author_id", "n", "shortest", "longest", (F.col("distinct") == F.col("_d")).alias("same_distinct"))
+
+
+ORACLE["intent_by_lexicon"] = ORACLE["intent_label"]
+
+
+def intent_by_lexicon(spark, d):
+    """`intent_label` by lexicon tables and one automaton a task (F1, F2, F5)."""
+    from ticketlake.functions.lexicon import label_by_lexicon, lexicon_table
+    label = label_by_lexicon(F.col("text"), lexicon_table(spark, L.TAXONOMY_KEYWORDS), L.DEFAULT_INTENT)
+    return _user_msgs(spark, d).select("conv_id", "turn", label["label"].alias("intent"))
+
+
+QUERIES["intent_by_lexicon"] = intent_by_lexicon

@@ -5,23 +5,28 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ticketlake.operators import intent as I
 from ticketlake.operators import kb as K
 from ticketlake.operators import sampling as SM
 from ticketlake.operators import metrics as M
 from ticketlake.operators import quality as Q
 from ticketlake.operators import threads as TH
+from ticketlake.plans import kb_store as KS
 from ticketlake.plans import pipeline as P
 from ticketlake.sources import tables as S
 
 
 SAMPLE_ROWS = 5000
+FIRST_DOCUMENTS = 100
 
 
 def build_kb(spark: SparkSession, sf_dir: str, out: str, source: str = "conversations", brand: str = P.BRAND) -> dict[str, str]:
     """Conversations -> processed (masked, reasons) -> labelled -> cases ->
-    index metadata, TF-IDF index, each written as Parquet; cases partitioned
-    by intent so an intent pre-filter prunes partitions. `source="threads"`
+    index metadata, each written as Parquet; cases partitioned by intent so an
+    intent pre-filter prunes partitions. They are then published as the current
+    version of the store (vectors, TF-IDF index, encoder; `kb_store`). `source="threads"`
     rebuilds the conversations of `brand` from the tweets first. The valid
     conversations are also written as a seeded sample of 5,000."""
     paths = {n: f"{out}/{n}" for n in ("conversations", "processed", "processed_sample", "removal_report", "cases",
@@ -33,25 +38,24 @@ def build_kb(spark: SparkSession, sf_dir: str, out: str, source: str = "conversa
     S.write_parquet(proc, paths["processed"])
     proc = spark.read.parquet(paths["processed"])
     S.write_parquet(Q.removal_report(proc), paths["removal_report"])
-    from ticketlake.operators import intent as I
     lab = I.label_table(proc.filter("is_valid").drop("reason", "is_valid"), "customer_problem", "intent")
     S.write_parquet(K.build_cases(lab), paths["cases"], partition_by=["intent"])
     S.write_parquet(SM.seeded_sample(proc.filter("is_valid"), "conversation_id", SAMPLE_ROWS), paths["processed_sample"])
     cases = spark.read.parquet(paths["cases"])
     S.write_parquet(K.index_metadata(cases), paths["index_metadata"])
-    save_index(P.kb_index(cases), paths["index"])
+    KS.publish(cases, paths["store"])
+    write_json_files(cases, paths)
     return paths
 
 
-def save_index(index: tuple[DataFrame, DataFrame, int], path: str) -> None:
-    """Write a TF-IDF index (vocabulary, vectors) once, for every later search."""
-    S.write_parquet(index[0], f"{path}/vocab")
-    S.write_parquet(index[1], f"{path}/vectors")
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
-    vocab = spark.read.parquet(f"{path}/vocab")
-    return vocab, spark.read.parquet(f"{path}/vectors"), max(1, vocab.count())
+def write_json_files(cases: DataFrame, paths: dict[str, str]) -> None:
+    """The taxonomy (a record an intent: definition, examples, the intents it is
+    confused with) and the documents of the first hundred cases."""
+    few = I.label_examples(cases, key="case_id").withColumnRenamed("examples", "own")
+    taxonomy = I.taxonomy_frame(cases.sparkSession).join(few, "intent", "left").withColumn("examples", F.coalesce("own", "examples")).drop("own")
+    S.write_json(taxonomy.coalesce(1), paths["taxonomy_json"])
+    first = cases.orderBy("case_id").limit(FIRST_DOCUMENTS).select("case_id", K.document_text().alias("document"))
+    S.write_json(first.coalesce(1), paths["documents_json"])
 
 
 def write_golden_set(golden: DataFrame, out: str) -> dict[str, str]:
@@ -64,8 +68,10 @@ def write_golden_set(golden: DataFrame, out: str) -> dict[str, str]:
 
 def triage_job(spark: SparkSession, sf_dir: str, out: str, kb: dict[str, str] | None = None) -> str:
     """Batch triage of every message; records written as JSON lines. `kb` are
-    the paths that `build_kb` returned: its cases and index are read."""
-    cases, index = (spark.read.parquet(kb["cases"]), load_index(spark, kb["index"])) if kb else (None, None)
+    the paths that `build_kb` returned: the current version of its store is
+    read."""
+    now = KS.load(spark, kb["store"]) if kb else None
+    cases, index = (now.cases, now.index) if now else (None, None)
     rec = P.record(P.triage_all(spark, sf_dir, cases, index))
     rec.select("json").write.mode("overwrite").text(f"{out}/records")
     return f"{out}/records"

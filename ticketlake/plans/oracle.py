@@ -35,7 +35,7 @@ FROM {src} GROUP BY conversation_id"""
 
 
 def _tfidf(p: str, corpus: str, ckey: str, ctext: str, query: str | None, qkey: str, qtext: str, *,
-           max_features: int, min_df: int = 1, max_df: float = 1.0, stop: bool = False, k: int = 5,
+           max_features: int | None = None, min_df: int = 1, max_df: float = 1.0, stop: bool = False, k: int = 5,
            exclude_self: bool = False) -> dict[str, str]:
     sw = list(english_stop_words()) if stop else None
     c = {
@@ -44,7 +44,8 @@ def _tfidf(p: str, corpus: str, ckey: str, ctext: str, query: str | None, qkey:
         f"{p}_n": f"SELECT CAST(count(*) AS DOUBLE) AS n FROM {corpus}",
         f"{p}_stats": f"SELECT term, count(*) AS df, sum(tf) AS total FROM {p}_ctf GROUP BY term",
         f"{p}_vocab": (f"SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM {p}_stats, {p}_n "
-                       f"WHERE df >= {min_df} AND df <= {G.dbl(max_df)} * n ORDER BY total DESC, term LIMIT {max_features}"),
+                       f"WHERE df >= {min_df} AND df <= {G.dbl(max_df)} * n"
+                       + (f" ORDER BY total DESC, term LIMIT {max_features}" if max_features else "")),
     }
     if query is None:
         return c
@@ -139,7 +140,7 @@ WHERE customer_problem <> '' AND brand_responses <> '' AND turn_count >= 2"""
     c["cls"] = f"SELECT *, {G.gate('message', 'intent', 'confidence')} AS skip_retrieval FROM cls1"
     c["q_in"] = "SELECT message_id, message FROM cls WHERE NOT skip_retrieval"
     c.update(_tfidf("tr", "cases", "case_id", "customer_problem", "q_in", "message_id", "message",
-                    max_features=5000, k=P.RETRIEVE_K, exclude_self=True))
+                    k=P.RETRIEVE_K, exclude_self=True))
     c["ret"] = f"""SELECT t.qid AS message_id, t.cid AS case_id, t.rank AS retrieval_rank, t.score AS similarity_score,
   {G.map_labels('k.intent')} AS intent, k.resolution_quality, k.customer_problem, k.resolution, k.turn_count
 FROM tr_top t JOIN cases k ON k.case_id = t.cid WHERE t.score >= 0.01"""

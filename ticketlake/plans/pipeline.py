@@ -14,7 +14,7 @@ from ticketlake.operators import reply as R
 from ticketlake.operators import rerank as RR
 from ticketlake.operators import routing as RT
 from ticketlake.operators import threads as TH
-from ticketlake.operators.tfidf import build_index, search
+from ticketlake.operators.postings import Index, build_index, search
 from ticketlake.session import cut_lineage
 from ticketlake.sources import tables as S
 
@@ -39,7 +39,11 @@ def rooted(spark: SparkSession, d: str, brand: str = BRAND) -> DataFrame:
 
 
 def thread_conversations(spark: SparkSession, d: str, brand: str = BRAND) -> DataFrame:
-    r = rooted(spark, d, brand)
+    return brand_conversations(rooted(spark, d, brand), brand)
+
+
+def brand_conversations(r: DataFrame, brand: str) -> DataFrame:
+    """Conversations of the rooted threads that the brand and others wrote in."""
     two = TH.two_sided_roots(r, brand)
     t = r.join(two.select("root_id"), "root_id", "left_semi").select(
         F.col("root_id").alias("conversation_id"), F.col("tweet_id").cast("long").alias("tweet_id"),
@@ -102,11 +106,11 @@ def classified(msgs: DataFrame) -> DataFrame:
     return out.withColumn("skip_retrieval", RT.retrieval_gate("message", "intent", "confidence"))
 
 
-def kb_index(kb: DataFrame):
-    return build_index(kb, "case_id", "customer_problem")
+def kb_index(kb: DataFrame, inverted: bool = False) -> Index:
+    return build_index(kb, "case_id", "customer_problem", inverted=inverted)
 
 
-def retrieved(msgs: DataFrame, kb: DataFrame, k: int = RETRIEVE_K, index=None) -> DataFrame:
+def retrieved(msgs: DataFrame, kb: DataFrame, k: int = RETRIEVE_K, index: Index | None = None) -> DataFrame:
     """Top-k cases per non-gated message by TF-IDF cosine (self excluded),
     with the case fields joined by key."""
     q = msgs.filter(~F.col("skip_retrieval")).select("message_id", "message")

@@ -178,6 +178,12 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key; the filter reaches the scan, whose row groups and
+    folders that cannot hold the key are not read."""
+    return df.filter(F.col(key) == F.lit(value))
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     if partition_by:
