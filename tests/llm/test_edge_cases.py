@@ -436,3 +436,40 @@ def test_rotation_parts_and_edge_cases(spark):
     for k, r in whole.items():
         assert "".join(p.text for p in parts if (p.conv, p.participant) == k) == r.text
     assert perspectives.rotate(df.where("false")).count() == 0
+
+
+def test_outputs_with_clashing_columns(spark, make_docs):
+    """Extra columns named like the operators' own do not change a result."""
+    docs, plain = make_docs(ROWS, clashes=True), make_docs(ROWS)
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(simhash_gray.classes(docs)) == key(simhash_gray.classes(plain))
+    bench = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    clash = bench
+    for c in ("id", "item", "n", "k", "score"):
+        clash = clash.withColumn(c, F.lit("own"))
+    got = decontaminate_sw.contaminations(docs, clash)
+    assert key(got) == key(decontaminate_sw.contaminations(plain, bench)) and got.count() == 2
+    assert decontaminate_sw.contaminations(docs.where("false"), bench).count() == 0
+
+
+def test_a_very_long_turn(spark):
+    long = "word " * 100_000
+    df = spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", "x")], "conv_id long, turn long, role string, text string")
+    got = {r.participant: r for r in perspectives.rotate(df).collect()}
+    assert all(long in r.text for r in got.values())
+    assert [(s.start, s.end) for s in got["a"]["mask"]] == [(len("<|im_start|>assistant\n"), len("<|im_start|>assistant\n") + len(long) + len("<|im_end|>"))]
+
+
+def test_the_corpus_is_written_and_scratch_tables_go(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from ticketlake import session
+    before = len(session._WRITTEN)
+    corpus_pipeline.write(spark, "/root/testdata/sf0.001", str(tmp_path / "corpus"))
+    assert spark.read.parquet(str(tmp_path / "corpus")).count() > 0 and len(session._WRITTEN) == before
+    with session.scratch_tables(spark):
+        common.written(spark.range(3).toDF("x"), "few")
+        path = session._WRITTEN[-1].removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)

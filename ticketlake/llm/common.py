@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.operators.components import components as _components
-from ticketlake.session import ensure_checkpoint_dir
+from ticketlake.session import ensure_checkpoint_dir, write_and_read
 
 #: A word: a run of characters other than space and U+0009..U+000D. It is the
 #: rule of `bytes.split()`, which the Python kernels use on UTF-8 text.
@@ -47,10 +47,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage
-    with files that outlive any executor."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with files that outlive any executor. `session.scratch_tables` removes them."""
+    return write_and_read(df, name)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

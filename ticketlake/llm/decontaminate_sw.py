@@ -22,7 +22,9 @@ replaced.
 
 Defined cases: null or empty texts match nothing; items with fewer than `n`
 words match nothing; items and documents that repeat give a
-row each; null ids are passed on.
+row each; null ids are passed on; very long texts are searched whole; of equal
+alignments of an item the first counts; an empty table on either side gives an
+empty result. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Defined cases: a null or empty speaker is `unknown`; a null text is empty; a
 null dialogue id is a dialogue of its own; turns of equal number are ordered by
 speaker and text, null numbers come first; repeated rows are repeated turns; a
 dialogue of system turns alone has no participant and no row; `<|` in texts and
-names is written `< |`; an empty table gives an empty result.
+names is written `< |`; very long texts are rendered whole; an empty table gives an empty
+result. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

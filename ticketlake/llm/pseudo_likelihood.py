@@ -19,7 +19,14 @@ is gathered grows with the input and only one model reaches the driver. The
 start's output bias holds the corpus's unigram log-probabilities.
 
 Defined cases: null and empty texts have no tokens, score 0 and a null mean;
-repeated ids and rows are scored alike; an empty table gives an empty result.
+repeated ids and rows are scored alike; very long texts are scored whole; words
+of equal counts are ordered by themselves; an empty table gives an empty result.
+Only the named columns are read, so others may have any name.
+
+Limits: the network names 96 words; on the test documents these are 27 % of the
+tokens, and all others see the context only through their hash class, so that
+the context is worth 0.08 nats a word there. One round of averaging makes scores
+depend on the layout of the files (0.09 nats a word between 1 and 32 partitions).
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ shuffle but the sample's top-n.
 Defined cases: a null text is an empty text (no words, base rules failed); a
 null or repeated doc_id is a row like any other; labels that are null are not
 used, of several labels for a document the lowest counts; without labels of
-both classes the model keeps whatever the base rules keep; an empty table gives
-an empty result.
+both classes the model keeps whatever the base rules keep; very long texts are
+read whole; of equal splits the first statistic and threshold win; an empty table
+gives an empty result. Helper columns take names that the table does not have.
 """
 
 from __future__ import annotations

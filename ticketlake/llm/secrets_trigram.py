@@ -13,7 +13,9 @@ lengths of the pieces between them, summed over a window per text and rule
 (bounded by one text).
 
 Defined cases: a null text is an empty text without spans; repeated ids and
-rows give a row each; an empty table gives an empty result.
+rows give a row each; very long texts are scanned whole; spans that begin
+together are ordered as the rules are; an empty table gives an empty result.
+Helper columns take names that the table does not have.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ A task returns a spanning forest of its links, not the links.
 Defined cases: null or empty texts have fingerprint zero and link like any
 other; fewer words than the shingle length are one shingle; repeated ids and
 rows are rows of one class; a null id never is a class's name unless the class
-has no other; an empty table gives an empty result.
+has no other; very long texts are read whole; a bit set in exactly half of the
+hashes is 0; an empty table gives an empty result. Helper columns take names that
+the table does not have.
 """
 
 from __future__ import annotations

@@ -26,8 +26,9 @@ nodes above that depth and the order of the suffixes below it are never built.
 Words and windows are compared by 64-bit hashes of prefix and path together.
 
 Defined cases: a null text has no words; texts shorter than the window keep
-all; repeated ids and rows are separate occurrences; an empty table gives an
-empty result.
+all; repeated ids and rows are separate occurrences; very long texts are read
+whole, a chunk of words at a time; an empty table gives an empty result. Helper
+columns take names that the table does not have.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Defined cases: a null html is an empty payload; a null url is an empty target;
 a payload of at least `min_bytes` is revisited, smaller ones are always
 responses; the response of equal payloads is the row with the smallest page_id,
 of repeated page_ids one of them by url; a null page_id comes last; an empty
-table gives an empty result.
+table gives an empty result; very long payloads are written whole. Only the named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
