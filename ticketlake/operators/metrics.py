@@ -99,6 +99,30 @@ def agreement(pred: DataFrame, truth: str = "truth", predicted: str = "pred",
                     F.col("false_auto"), F.col("pos").alias("n_escalate_truth"), F.round(far, 6).alias("false_auto_rate"))
 
 
+def routing_cells(pred: DataFrame, truth: str = "t", predicted: str = "p", positive: str = "escalate", negative: str = "auto_handle") -> DataFrame:
+    """One row: n, accuracy, the four cells of truth and prediction, and the
+    false auto-handle rate (0 without a positive truth)."""
+    cell = lambda a, b: F.count_if((F.col(truth) == a) & (F.col(predicted) == b))
+    pos = F.count_if(F.col(truth) == positive)
+    rate = F.coalesce(F.try_divide(cell(positive, negative).cast("double"), pos.cast("double")), F.lit(0.0))
+    return pred.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col(truth) == F.col(predicted), 1.0).otherwise(0.0)), 6).alias("accuracy"),
+                    cell(negative, negative).alias("auto_auto"), cell(negative, positive).alias("auto_escalate"),
+                    cell(positive, negative).alias("escalate_auto"), cell(positive, positive).alias("escalate_escalate"),
+                    F.round(rate, 6).alias("false_auto_rate"))
+
+
+def with_external(preds: DataFrame, messages: DataFrame, external: dict[str, DataFrame], default: str, key: str = "message_id") -> DataFrame:
+    """Adds tables of predictions (key, pred) made elsewhere to (model, truth,
+    pred); a message without a prediction has the default, of several
+    predictions for one the first by name counts."""
+    out = preds.select("model", "truth", "pred")
+    for name, table in external.items():
+        one = table.groupBy(key).agg(F.min("pred").alias("pred"))
+        out = out.unionByName(messages.join(one, key, "left").select(
+            F.lit(name).alias("model"), "truth", F.coalesce("pred", F.lit(default)).alias("pred")))
+    return out
+
+
 def recall_at(ranked: DataFrame, queries: DataFrame, key: str = "query_id", truth: str = "truth",
               case_intent: str = "intent", rank: str = "rerank_rank", ks=(1, 3, 5)) -> DataFrame:
     """Rank of the first case with the query's intent; recall@k and MRR over

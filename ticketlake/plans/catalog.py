@@ -1224,3 +1224,37 @@ def intent_by_lexicon(spark, d):
 
 
 QUERIES["intent_by_lexicon"] = intent_by_lexicon
+
+
+_two = "accuracy, auto_auto, auto_escalate, escalate_auto, escalate_escalate, false_auto_rate"
+_cells = """count(*) AS n, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  count(*) FILTER (WHERE t = 'auto_handle' AND p = 'auto_handle') AS auto_auto, count(*) FILTER (WHERE t = 'auto_handle' AND p = 'escalate') AS auto_escalate,
+  count(*) FILTER (WHERE t = 'escalate' AND p = 'auto_handle') AS escalate_auto, count(*) FILTER (WHERE t = 'escalate' AND p = 'escalate') AS escalate_escalate,
+  round(CASE WHEN count(*) FILTER (WHERE t = 'escalate') > 0 THEN count(*) FILTER (WHERE t = 'escalate' AND p = 'auto_handle')
+    / count(*) FILTER (WHERE t = 'escalate') ELSE 0.0 END, 6) AS false_auto_rate"""
+
+
+@register("router_comparison", f"""SELECT 'without evidence' AS router, {_cells} FROM (SELECT truth_action AS t, pred_action AS p FROM gr)
+UNION ALL SELECT 'with evidence', {_cells} FROM rkr""", {**_route_ctes, **_rk})
+def router_comparison(spark, d):
+    """Routers side by side: the same messages without and with evidence."""
+    plain = _golden_routing(spark, d).select(F.col("truth").alias("t"), F.col("pred").alias("p"))
+    return M.routing_cells(plain).withColumn("router", F.lit("without evidence")).unionByName(
+        router_with_evidence(spark, d).withColumn("router", F.lit("with evidence")))
+
+
+_ext = {**_rep_ctes, "preds": f"""SELECT 'external' AS model, truth, CASE WHEN message IS NULL THEN {G.lit(L.DEFAULT_INTENT)} ELSE {G.label_case(L.TAXONOMY_KEYWORDS, 'x')} END AS pred
+  FROM (SELECT *, {G.score_cols(G.lower_text('message'), L.TAXONOMY_KEYWORDS, 'x')} FROM tmsg)
+UNION ALL {_preds}"""}
+
+
+@register("external_predictions", """SELECT model, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1,
+  round(sum(f1 * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS n FROM rf GROUP BY model""", _ext)
+def external_predictions(spark, d):
+    """Predictions made elsewhere, read from a JSON file, next to the keyword
+    models and the majority (K9)."""
+    at = _folder(spark, "predictions")
+    msgs = P.triage_messages(spark, d)
+    S.write_json(I.label_table(msgs, "message", "pred").select("message_id", "pred"), at)
+    table = M.with_external(_pred_table(spark, d), msgs, {"external": S.read_json(spark, at, "message_id string, pred string")}, L.DEFAULT_INTENT)
+    return M.summary(M.per_label(table)).select("model", *[r6(F.col(c)).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")], "n")

@@ -15,6 +15,7 @@ from ticketlake.operators import quality as Q
 from ticketlake.operators import threads as TH
 from ticketlake.plans import kb_store as KS
 from ticketlake.plans import pipeline as P
+from ticketlake.session import scratch_tables
 from ticketlake.sources import tables as S
 
 
@@ -30,7 +31,7 @@ def build_kb(spark: SparkSession, sf_dir: str, out: str, source: str = "conversa
     rebuilds the conversations of `brand` from the tweets first. The valid
     conversations are also written as a seeded sample of 5,000."""
     paths = {n: f"{out}/{n}" for n in ("conversations", "processed", "processed_sample", "removal_report", "cases",
-                                       "index_metadata", "index")}
+                                       "index_metadata", "store", "taxonomy_json", "documents_json")}
     conv = P.clean(spark, sf_dir) if source == "conversations" else \
         TH.clean_conversations(P.thread_conversations(spark, sf_dir, brand))
     S.write_parquet(conv, paths["conversations"])
@@ -43,7 +44,8 @@ def build_kb(spark: SparkSession, sf_dir: str, out: str, source: str = "conversa
     S.write_parquet(SM.seeded_sample(proc.filter("is_valid"), "conversation_id", SAMPLE_ROWS), paths["processed_sample"])
     cases = spark.read.parquet(paths["cases"])
     S.write_parquet(K.index_metadata(cases), paths["index_metadata"])
-    KS.publish(cases, paths["store"])
+    with scratch_tables(spark):
+        KS.publish(cases, paths["store"])
     write_json_files(cases, paths)
     return paths
 
@@ -72,8 +74,9 @@ def triage_job(spark: SparkSession, sf_dir: str, out: str, kb: dict[str, str] |
     read."""
     now = KS.load(spark, kb["store"]) if kb else None
     cases, index = (now.cases, now.index) if now else (None, None)
-    rec = P.record(P.triage_all(spark, sf_dir, cases, index))
-    rec.select("json").write.mode("overwrite").text(f"{out}/records")
+    with scratch_tables(spark):
+        rec = P.record(P.triage_all(spark, sf_dir, cases, index))
+        rec.select("json").write.mode("overwrite").text(f"{out}/records")
     return f"{out}/records"
 
 

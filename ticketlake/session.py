@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -65,14 +66,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_WRITTEN: list[str] = []
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage
     with files that outlive any executor."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Removes the tables that `write_and_read` wrote inside the block; what the
+    block returns must be written elsewhere by then."""
+    start = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _WRITTEN[start:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        del _WRITTEN[start:]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint.
     The plan is persisted for the duration of the checkpoint so the files are
