@@ -4,6 +4,12 @@ benchmark decontamination, secret scans, and the mixture of the sources.
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last
 return the columns of `documents`; the last returns the mixture: a row for
 every use of a kept document, with its place in the training stream.
+
+Defined cases, in every stage as in its operator: null and empty texts are read as
+empty (the quality rules drop them), very long texts are read whole, repeated
+rows and null ids are rows like any other, of ties one row is kept by the
+operator's order, columns of any other name pass through, and an empty table
+passes as an empty one.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.llm import decontaminate_sw, mixing, quality_gbt, secrets_trigram, simhash_gray
 from ticketlake.llm.common import written
+from ticketlake.session import scratch_tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,3 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs = written(docs, name.split()[0].lower())
     return docs
+
+
+def write(spark: SparkSession, sf_dir: str, out: str) -> None:
+    """The corpus written to `out`; the stages' tables are removed."""
+    with scratch_tables(spark):
+        run(spark, sf_dir).write.mode("overwrite").parquet(out)
