@@ -1,20 +1,21 @@
 """TF-IDF retrieval over postings, with every term of the corpus.
 
-Terms are the tokens and token pairs of `tfidf.py`, known by 64-bit hashes. The
-index holds a forward table (a row a document: its terms and unit weights) and,
-if it is kept for later searches, an inverted one (a row a term and document)
-with each term's largest weight in every layer. Layers are octaves of the number
-of a document's terms: a word weighs much in a text of three and little in one of
-a thousand, so one bound for both would prune nothing.
+Terms are the tokens and token pairs of `tfidf.py`, known by 64-bit hashes. A kept
+index holds a forward table (a row a document: its terms and unit weights) and
+an inverted one (a row a term and document) with each term's largest weight in
+every layer; a search at once keeps counted terms and norms, and weighs only the
+postings of its own terms. Layers are octaves of the number of a document's
+terms: a word weighs much in a text of three and little in one of a thousand, so
+one bound for both would prune nothing.
 
 A search never scores all documents. A query's terms are ordered from the
 rarest on; the rarest give each query a first lower bound of its k-th score.
 Terms whose largest possible contributions in a layer together stay below that
-bound cannot bring a document of the layer in by themselves, so only the postings of the others
-are read, and of the documents found there only those that could still reach
-the bound are scored in full against their forward rows. No document that
-belongs into the result is lost: scores are sums of products of non-negative
-weights.
+bound cannot bring a document of the layer in by themselves, so only the postings
+of the others are read, and of the documents found there only those that could
+still reach the bound are scored in full against their forward rows. No document
+that belongs into the result is lost: scores are sums of products of
+non-negative weights.
 
 Postings of a term are dealt over ceil(df / `SALT_ROWS`) keys and the query's
 row is copied to each, so a term of every document is no hot key. Weights need
@@ -59,18 +60,21 @@ EPS = 1e-9
 
 @dataclass
 class Index:
-    """`vectors`: rid, id, part, tids, ws (unit length, tids ascending);
-    `terms`: tid, df; `postings`: tid, layer, salt, rid, id, part, w and
-    `bounds`: tid, layer, bound, n (postings), or none of both."""
-    vectors: DataFrame
+    """`terms`: tid, df. Kept for later searches: `vectors`: rid, id, part,
+    tids, ws (unit length, tids ascending), `postings`: tid, layer, salt, rid,
+    id, part, w, and `bounds`: tid, layer, bound, n (postings). For a search at
+    once: `grams` (of the corpus) and `norms`: rid, norm."""
     terms: DataFrame
-    postings: DataFrame | None
-    bounds: DataFrame | None
     n_docs: int
+    vectors: DataFrame | None = None
+    postings: DataFrame | None = None
+    bounds: DataFrame | None = None
+    grams: DataFrame | None = None
+    norms: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        every = {"vectors": self.vectors, "terms": self.terms, "postings": self.postings, "bounds": self.bounds}
-        return {k: v for k, v in every.items() if v is not None}
+        """The tables to write; only those of a kept index."""
+        return {"vectors": self.vectors, "terms": self.terms, "postings": self.postings, "bounds": self.bounds}
 
 
 def idf(df: Column, n_docs: int) -> Column:
@@ -127,18 +131,26 @@ def document_frequencies(g: DataFrame) -> DataFrame:
     return g.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
 
 
-def weigh(g: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
-    """(rid, id, part, tids, ws): unit vectors of tf * idf over counted terms."""
+def weights(g: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    """(rid, tid, v): tf * idf of every counted term of every row."""
     rows = g.select("rid", F.explode(F.arrays_zip("tids", "tfs")).alias("x")).select("rid", F.col("x.tids").alias("tid"), F.col("x.tfs").alias("tf"))
     often = F.col("df") * 1000 > n_docs
     common = F.broadcast(counts.where(often).withColumnRenamed("df", "common_df"))
     marked = rows.join(common, "tid", "left")
     rare = marked.where("common_df IS NULL").drop("common_df").join(counts.where(~often), "tid")
     v = (F.col("tf") * idf(F.col("df"), n_docs)).alias("v")
-    both = (marked.where("common_df IS NOT NULL").withColumnRenamed("common_df", "df").select("rid", "tid", v)
+    return (marked.where("common_df IS NOT NULL").withColumnRenamed("common_df", "df").select("rid", "tid", v)
                   .unionByName(rare.select("rid", "tid", v)))
+
+
+def norms_of(g: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    return weights(g, counts, n_docs).groupBy("rid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+
+
+def weigh(g: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    """(rid, id, part, tids, ws): unit vectors of tf * idf over counted terms."""
     at = F.array_sort(F.collect_list(F.struct("tid", "v")))
-    per = both.groupBy("rid").agg(at.alias("x"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    per = weights(g, counts, n_docs).groupBy("rid").agg(at.alias("x"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     per = per.select("rid", F.transform("x", lambda e: e["tid"]).alias("tids"),
                      F.transform("x", lambda e: e["v"] / F.col("norm")).alias("ws"))
     return g.select("rid", "id", "part").join(per, "rid")
@@ -148,11 +160,11 @@ def _salts(df: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(df / SALT_ROWS)).cast("int")
 
 
-def invert(vectors: DataFrame) -> DataFrame:
+def invert(rows: DataFrame, value: str = "ws", name: str = "w") -> DataFrame:
     """(tid, layer, rid, id, part, w): a row a term and document."""
-    x, layer = F.explode(F.arrays_zip("tids", "ws")).alias("x"), F.floor(F.log2(F.size("tids"))).cast("int").alias("layer")
-    return vectors.select("rid", "id", "part", layer, x).select(
-        F.col("x.tids").alias("tid"), "layer", "rid", "id", "part", F.col("x.ws").alias("w"))
+    x, layer = F.explode(F.arrays_zip("tids", value)).alias("x"), F.floor(F.log2(F.size("tids"))).cast("int").alias("layer")
+    return rows.select("rid", "id", "part", layer, x).select(
+        F.col("x.tids").alias("tid"), "layer", "rid", "id", "part", F.col(f"x.{value}").alias(name))
 
 
 def bounds_of(postings: DataFrame) -> DataFrame:
@@ -160,19 +172,19 @@ def bounds_of(postings: DataFrame) -> DataFrame:
 
 
 def from_grams(g: DataFrame, counts: DataFrame, n_docs: int, inverted: bool) -> Index:
-    vectors = write_and_read(weigh(g, counts, n_docs), "vectors")
     if not inverted:
-        return Index(vectors, counts, None, None, n_docs)
+        return Index(counts, n_docs, grams=g, norms=write_and_read(norms_of(g, counts, n_docs), "norms"))
+    vectors = write_and_read(weigh(g, counts, n_docs), "vectors")
     post = invert(vectors).join(counts, "tid").withColumn("salt", F.pmod(F.xxhash64("rid"), _salts(F.col("df"))).cast("int"))
     post = write_and_read(post.drop("df").repartitionByRange("tid", "layer", "salt").sortWithinPartitions("tid", "layer", "salt"), "postings")
-    return Index(vectors, counts, post, write_and_read(bounds_of(post), "bounds"), n_docs)
+    return Index(counts, n_docs, vectors, post, write_and_read(bounds_of(post), "bounds"))
 
 
 def build_index(corpus: DataFrame, c_key: str, c_text: str, *, max_features: int | None = None, ngram_max: int = 2,
                 part: str | None = None, inverted: bool = True) -> Index:
     """Index of a corpus, written to the shared checkpoint folder. `inverted`
     adds the postings for searches by few queries at a time (a stream);
-    without it a search reads the forward table once. `max_features` keeps
+    without it a search counts only its own terms' postings. `max_features` keeps
     only the corpus' most frequent terms (the classic cap)."""
     g = grams(corpus, c_key, c_text, part, ngram_max)
     counts = document_frequencies(g)
@@ -201,8 +213,9 @@ def _postings_of(index: Index, qt: DataFrame) -> DataFrame:
     need = F.broadcast(need) if few else need
     if index.postings is not None:
         return index.postings.join(need.select("tid"), "tid", "left_semi")
-    post = invert(index.vectors).join(need, "tid")
-    return post.withColumn("salt", F.pmod(F.xxhash64("rid"), _salts(F.col("df"))).cast("int")).drop("df")
+    post = invert(index.grams, "tfs", "tf").join(need, "tid").join(index.norms, "rid")
+    w = F.col("tf") * idf(F.col("df"), index.n_docs) / F.col("norm")
+    return post.withColumns({"salt": F.pmod(F.xxhash64("rid"), _salts(F.col("df"))).cast("int"), "w": w}).drop("df", "tf", "norm")
 
 
 def _meet(post: DataFrame, some: DataFrame, exclude_self: bool, by_part: bool) -> DataFrame:
@@ -256,11 +269,12 @@ def search(index: Index, queries: DataFrame, q_key: str, q_text: str, *, top_k:
         "k", F.row_number().over(Window.partitionBy("qrid").orderBy(F.desc("s")))).where(F.col("k") <= top_k)
     kth = best.where(F.col("k") == top_k).select("qrid", F.col("s").alias("kth"))
     least = (F.greatest(F.coalesce("kth", F.lit(0.0)), F.lit(float(min_score))) - EPS).alias("least")
-    limits = write_and_read(qt.select("qrid").distinct().join(kth, "qrid", "left").select("qrid", least), "query-bounds")
+    limits = qt.select("qrid").distinct().join(kth, "qrid", "left").select("qrid", least)
     # a layer's terms from the rarest on, each with all that it and the later ones can add there
     later = Window.partitionBy("qrid", "layer").orderBy("df", "tid").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     qt = write_and_read(qt.join(bounds, "tid").join(limits, "qrid")
                           .withColumn("suffix", F.sum(F.col("wq") * F.col("bound")).over(later)), "query-terms")
+    limits = qt.select("qrid", "least").distinct()
     # forward rows are read only for queries whose other postings are many times those that must be read
     every, needed = Window.partitionBy("qrid"), F.col("suffix") >= F.col("least")
     most = F.sum(F.when(needed, F.col("n"))).over(every) * FORWARD_PAYS >= F.sum("n").over(every)
@@ -275,12 +289,15 @@ def search(index: Index, queries: DataFrame, q_key: str, q_text: str, *, top_k:
     found = write_and_read(found.where(F.col("s") + F.coalesce("bound_left", F.lit(0.0)) >= F.col("least")), "found")
     whole = found.where("bound_left IS NULL").select("qrid", "rid", "id", "s")
     kind = whole.schema["id"].dataType.simpleString()
-    more = (found.where("bound_left IS NOT NULL").select("qrid", "rid", "id", "s", "rest_tids", "rest_ws")
-                 .join(index.vectors.select("rid", "tids", "ws"), "rid")
-                 .mapInArrow(_dots, f"qrid long, rid long, id {kind}, s double"))
+    part_way = found.where("bound_left IS NOT NULL")
+    forward = index.vectors if index.vectors is not None else weigh(
+        index.grams.join(part_way.select("rid").distinct(), "rid", "left_semi"), index.terms, index.n_docs)
+    more = (part_way.select("qrid", "rid", "id", "s", "rest_tids", "rest_ws").join(forward.select("rid", "tids", "ws"), "rid")
+                    .mapInArrow(_dots, f"qrid long, rid long, id {kind}, s double")) if not part_way.isEmpty() else None
     score = F.round("s", 12)
     w = Window.partitionBy("qrid").orderBy(F.desc("score"), "id")
-    hits = (whole.unionByName(more).withColumn("score", score).where(F.col("score") >= min_score)
+    every = whole if more is None else whole.unionByName(more)
+    hits = (every.withColumn("score", score).where(F.col("score") >= min_score)
                  .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k))
     names = g.select(F.col("rid").alias("qrid"), F.col("id").alias(q_name))
     out = names.join(hits, "qrid", "left" if mark_empty else "inner")

@@ -59,7 +59,7 @@ def _write_index(index: Index, at: str) -> None:
 
 def _read_index(spark: SparkSession, at: str) -> Index:
     read = lambda name: spark.read.parquet(f"{at}/{name}")
-    return Index(read("vectors"), read("terms"), read("postings"), read("bounds"), read("size").first()["n_docs"])
+    return Index(read("terms"), read("size").first()["n_docs"], read("vectors"), read("postings"), read("bounds"))
 
 
 def _write_encoder(spark: SparkSession, e: E.Encoder, at: str) -> None:
