@@ -172,7 +172,7 @@ def test_a_sweep_over_many_ranges_is_one_sweep(spark):
     was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")        # eight ranges
     try:
-        got, now = best_fit._match(spark.createDataFrame(docs, "pid long, length long"),
+        got, now, _ = best_fit._match(spark.createDataFrame(docs, "pid long, length long"),
                                    spark.createDataFrame(gaps, "seq long, gap long"), 40, 1)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)

@@ -211,7 +211,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.array(np.full(len(o) + len(rest), part, np.int32))], names=["seq", "slot", "gap", "pid", "length", "depth", "part"])
 
 
-def _match(docs: DataFrame, gaps: DataFrame, unit: int, least: int) -> tuple[DataFrame, dict, dict[int, int]]:
+def _match(docs: DataFrame, gaps: DataFrame, unit: int, least: int, tasks: int = 8) -> tuple[DataFrame, dict, dict[int, int]]:
     """One round: (rows of seq, slot, gap, pid, length, rank, part; counts;
     tokens left by range). A row has a sequence's slot and the document that it
     took, a slot alone, or a document alone with its rank from the longest on."""
@@ -222,7 +222,9 @@ def _match(docs: DataFrame, gaps: DataFrame, unit: int, least: int) -> tuple[Dat
                          F.lit(0).alias("kind"), F.col("seq").alias("key"), "slot", "gap"))
     both = slots.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("key"),
                                          F.lit(0).alias("slot"), F.lit(0).cast("long").alias("gap")))
-    swept = written(both.repartitionByRange(F.desc("size"), "kind", "key", "slot").mapInArrow(_sweep, _SWEPT), "swept")
+    # neighbouring ranges are swept by one task, as many as make it worth one
+    ranges = both.repartitionByRange(F.desc("size"), "kind", "key", "slot").coalesce(tasks)
+    swept = written(ranges.mapInArrow(_sweep, _SWEPT), "swept")
     taken, left = F.col("pid").isNotNull() & F.col("seq").isNotNull(), F.when(F.col("seq").isNull(), F.col("length"))
     counts = [F.count(F.when(taken, 1)).alias("taken"), F.count(left).alias("left"), F.sum(left).alias("tokens"),
               F.min(left).alias("least"), F.max(left).alias("most"), F.max("slot").alias("slots"),
@@ -262,12 +264,14 @@ def _match(docs: DataFrame, gaps: DataFrame, unit: int, least: int) -> tuple[Dat
     return out, now, {r["part"]: r["tokens"] or 0 for r in per}
 
 
-def _opened(left: DataFrame, k: int, capacity: int, most: int, tokens: dict[int, int]) -> DataFrame:
-    """New sequences for documents that no gap can take, in the order of their
-    ranks: `k` at a time, or from 9 on by the tokens before them, so that all of
-    a sequence's documents start within `capacity` less the longest one."""
-    if k <= 8:
-        left = left.withColumn("run", F.floor(F.col("rank") / k))
+def _opened(left: DataFrame, n: int, k: int, capacity: int, most: int, tokens: dict[int, int]) -> DataFrame:
+    """New sequences for `n` documents that no gap can take, in the order of
+    their ranks: as many at a time as fit of the longest, or, where that fills
+    sequences better (from class 9 on), by the tokens before them, so that all
+    of a sequence's documents start within `capacity` less the longest one."""
+    at_once = capacity // most
+    if k <= 8 or at_once * sum(tokens.values()) >= (capacity - most) * n:
+        left = left.withColumn("run", F.floor(F.col("rank") / at_once))
     else:
         start, at = [], 0
         for part in sorted(tokens):
@@ -284,12 +288,13 @@ def _opened(left: DataFrame, k: int, capacity: int, most: int, tokens: dict[int,
                        F.when(F.row_number().over(run) == 1, F.lit(capacity) - whole).alias("gap"))
 
 
-def pack(items: DataFrame, capacity: int = 4096, worth: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, worth: int = 8, task_rows: int = 100_000) -> DataFrame:
     """(pid, sequence_id, offset) for rows (pid, length): pid is a unique long,
     lengths are 1 to `capacity`. A sequence's number is the pid of the piece
     that opened it; its pieces follow each other without a gap from 0. A class
     is swept again while gaps that took a document and could take another one
-    number at least a `worth`-th of the documents left."""
+    number at least a `worth`-th of the documents left. A sweep or a step's table
+    takes a task for every `task_rows` documents and gaps."""
     j = F.floor(F.lit(capacity) / F.col("length")).cast("long")
     k_of = F.when(j <= 8, j).when(j < 16, F.lit(9)).otherwise(F.expr(f"shiftleft(1L, cast(floor(log2({capacity} div length)) as int))"))
     # classes are 1 to 9 and powers of two, so the driver sees about log2(capacity) rows
@@ -302,13 +307,15 @@ def pack(items: DataFrame, capacity: int = 4096, worth: int = 8) -> DataFrame:
     steps = [alone.select(F.col("pid").alias("seq"), "pid", F.lit(0).cast("long").alias("offset"),
                           (F.lit(capacity) - F.col("length")).alias("gap"))]
 
-    def keep(rows: DataFrame, unit: int) -> int:
-        """Writes a step; returns the slots of `unit` that its gaps hold."""
+    def keep(rows: DataFrame, unit: int, tasks: int) -> tuple[int, int]:
+        """Writes a step; returns the slots of `unit` that its gaps hold, and the gaps."""
         seen = Observation()
-        steps.append(written(rows.observe(seen, F.sum(F.floor(F.col("gap") / unit)).alias("slots")), "packed"))
-        return seen.get["slots"] or 0
+        rows = rows.coalesce(tasks).observe(seen, F.sum(F.floor(F.col("gap") / unit)).alias("slots"), F.count_if(F.col("gap") > 0).alias("gaps"))
+        steps.append(written(rows, "packed"))
+        return seen.get["slots"] or 0, seen.get["gaps"]
 
-    room = keep(steps.pop(), capacity // classes[0]) if classes else 0
+    total = sum(n for n, _ in sizes.values())
+    room, n_gaps = keep(steps.pop(), capacity // classes[0], 1 + total // task_rows) if classes else (0, 0)
     while classes:
         k, shortest = classes[0], min(sizes[x][1] for x in classes)
         unit, everything = capacity // k, sum(sizes[x][0] for x in classes)
@@ -319,7 +326,8 @@ def pack(items: DataFrame, capacity: int = 4096, worth: int = 8) -> DataFrame:
             docs, (n, least), classes = items.where((F.col("length") > low) & (F.col("length") <= unit)), sizes[k], classes[1:]
         while n:
             gaps = steps[-1].where("gap > 0").select("seq", "gap")
-            got, now, tokens = _match(docs, gaps, unit, least)
+            tasks = 1 + (n + n_gaps) // task_rows
+            got, now, tokens = _match(docs, gaps, unit, least, tasks)
             slot = F.col("slot")
             of_seq, used = Window.partitionBy("seq"), got.where("seq IS NOT NULL")
             rows = gaps.where(F.col("gap") < least).select("seq", none.alias("pid"), none.alias("offset"), "gap")
@@ -333,8 +341,9 @@ def pack(items: DataFrame, capacity: int = 4096, worth: int = 8) -> DataFrame:
                     F.when(slot == 1, F.col("gap") - F.coalesce(F.sum("length").over(of_seq), F.lit(0))).alias("gap")))
             docs, n, was = got.where("seq IS NULL"), now["left"], n
             if n and (n == was or now["fit"] * worth < n):
-                rows, n = rows.unionByName(_opened(docs, k, capacity, now["most"], tokens)), 0
-            room, least = keep(rows, unit if n or not classes else capacity // classes[0]), now["least"] or least
+                rows, n = rows.unionByName(_opened(docs, n, k, capacity, now["most"], tokens)), 0
+            room, n_gaps = keep(rows, unit if n or not classes else capacity // classes[0], tasks)
+            least = now["least"] or least
     return reduce(DataFrame.unionByName, [s.where("pid IS NOT NULL").select("pid", F.col("seq").alias("sequence_id"), "offset") for s in steps])
 
 
