@@ -42,8 +42,7 @@ def corpus_of(r, n, words=60):
     return [(i, " ".join(r.choices(common, [1 / (j + 1) for j in range(words)], k=r.randint(1, 40)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("inverted", [False, True])
-@pytest.mark.parametrize("seed_docs,salt,pays", [(2000, 100_000, 8), (3, 7, 0), (0, 1, 1)])
+@pytest.mark.parametrize("inverted,seed_docs,salt,pays", [(False, 2000, 100_000, 8), (False, 3, 7, 0), (True, 0, 1, 1), (True, 3, 7, 0)])
 def test_search_equals_all_pairs(spark, monkeypatch, inverted, seed_docs, salt, pays):
     monkeypatch.setattr(B, "SEED_DOCS", seed_docs)
     monkeypatch.setattr(B, "SALT_ROWS", salt)
