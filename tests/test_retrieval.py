@@ -57,6 +57,58 @@ def test_search_equals_all_pairs(spark, monkeypatch, inverted, seed_docs, salt,
     assert {(x.q, x.d, x["rank"]) for x in got} == plain_search(queries, docs, 4, exclude_self=True)
 
 
+@pytest.mark.parametrize("inverted,block_terms", [(False, 2_000_000), (False, 400), (True, 400)])
+def test_blocked_search_equals_all_pairs(spark, monkeypatch, inverted, block_terms):
+    """Many queries are met block by block: no row a pair is shuffled."""
+    monkeypatch.setattr(B, "BLOCK_TERMS", block_terms)
+    monkeypatch.setattr(B, "SCAN_PAYS", 0)
+    monkeypatch.setattr(B, "_meet", None)
+    r = random.Random(5)
+    docs = corpus_of(r, 150) + [(900, None), (901, ""), (902, "! ?"), *((1000 + i, "w1 w2 w3") for i in range(20))]
+    c = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = B.build_index(c, "doc_id", "text", inverted=inverted)
+    got = B.search(index, c, "doc_id", "text", top_k=4, exclude_self=True, q_name="q", c_name="d").collect()
+    assert {(x.q, x.d, x["rank"]) for x in got} == plain_search(docs, docs, 4, exclude_self=True)
+    rows = [(str(i), t, [None, "a", "b"][i % 3]) for i, t in docs] + [(None, "w1 w2", "a")]
+    s = spark.createDataFrame(rows, "doc_id string, text string, part string")
+    got = B.tfidf_retrieve(s, "doc_id", "text", s, "doc_id", "text", top_k=3, part="part", exclude_self=True, mark_empty=True).collect()
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "SCAN_PAYS", 1e9)
+    want = B.tfidf_retrieve(s, "doc_id", "text", s, "doc_id", "text", top_k=3, part="part", exclude_self=True, mark_empty=True).collect()
+    key = lambda t: sorted((str(x.query_id), str(x.doc_id), x["rank"], round(x.score, 9)) for x in t)
+    assert key(got) == key(want)
+
+
+def test_many_queries_go_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(B, "_meet", None)
+    docs = [(i, f"the of and text number filler{i % 50} unique{i}") for i in range(600)]
+    c = spark.createDataFrame(docs, "d long, t string")
+    got = B.tfidf_retrieve(c, "d", "t", c, "d", "t", top_k=2, exclude_self=True).collect()
+    assert len(got) == 1200 and all(x.query_id % 50 == x.doc_id % 50 for x in got)
+
+
+def test_terms_are_counted_in_runs(spark, monkeypatch):
+    """A task sorts a bounded number of terms at once, however many rows a batch has."""
+    import pyarrow as pa
+    monkeypatch.setattr(B, "COUNT_TERMS", 10)
+    rows = [[5, 5, 1], [], None, list(range(30)), [2], [2, 2], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(rows, pa.list_(pa.int64()))], names=["rid", "all"])
+    got = list(B._count(iter([batch.slice(0, 7), batch.slice(3, 2)])))
+    assert len(got) > 2
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(7), 3, 4]
+    assert [x for b in got for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())][:6] == [
+        ([1, 5], [1, 2]), ([], []), ([], []), (list(range(30)), [1] * 30), ([2], [1]), ([2], [2])]
+
+
+def test_best_rows_are_bounded_for_equal_scores():
+    best = V.Best(3, 2)
+    for at in range(0, 1000, 100):
+        best.add(np.arange(3), np.full((3, 100), 0.5), np.arange(1000, 0, -1)[at:at + 100][::-1])
+        assert best.added <= 4 * 2 * 3
+    q, c, s = best.rows()
+    assert list(zip(q, c)) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2)]
+
+
 def test_every_rare_word_is_found(spark):
     r = random.Random(1)
     docs = [(i, " ".join(r.choices([f"common{j}" for j in range(30)], k=30)) + f" rareword{i}") for i in range(3000)]
