@@ -167,12 +167,14 @@ class Network:
     def train(self, x: np.ndarray, at: np.ndarray, state: list, rate: float) -> None:
         """Adam steps over the tokens at the positions, in order."""
         emb, hid, out, bias = self.p
+        small = np.int16 if emb.shape[1] < 1 << 15 else np.int32
         for lo in range(0, len(at), _BATCH):
             i = at[lo: lo + _BATCH]
             n, y = len(i), x[i]
             ctx = [x[i + o] for o in self.offsets()]
             h = np.tanh(sum(emb[k][c] for k, c in enumerate(ctx)) + hid)
-            z = h @ out + bias
+            z = h @ out
+            z += bias
             z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
             z /= z.sum(1, keepdims=True)
@@ -181,9 +183,11 @@ class Network:
             dh = (z @ out.T) * (1 - h * h)
             g = [np.zeros_like(emb), dh.sum(0), h.T @ z, z.sum(0)]
             for k, c in enumerate(ctx):         # sums of rows by token, as sums over the sorted batch
-                order = np.argsort(c, kind="stable")
-                first = np.flatnonzero(np.diff(c[order], prepend=-1))
-                g[0][k][c[order[first]]] = np.add.reduceat(dh[order], first, 0)
+                c = c.astype(small)
+                order = np.argsort(c, kind="stable")        # 16 bits: sorted by radix, in the same order
+                c = c[order]
+                first = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1))
+                g[0][k][c[first]] = np.add.reduceat(dh[order], first, 0)
             state[0] += 1
             t = state[0]
             for j, gj in enumerate(g):
