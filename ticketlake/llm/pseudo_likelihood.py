@@ -172,7 +172,7 @@ class Network:
             i = at[lo: lo + _BATCH]
             n, y = len(i), x[i]
             ctx = [x[i + o] for o in self.offsets()]
-            h = np.tanh(sum(emb[k][c] for k, c in enumerate(ctx)) + hid)
+            h = np.tanh(sum(emb[k].take(c, 0) for k, c in enumerate(ctx)) + hid)
             z = h @ out
             z += bias
             z -= z.max(1, keepdims=True)
@@ -187,7 +187,7 @@ class Network:
                 order = np.argsort(c, kind="stable")        # 16 bits: sorted by radix, in the same order
                 c = c[order]
                 first = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1))
-                g[0][k][c[first]] = np.add.reduceat(dh[order], first, 0)
+                g[0][k][c[first]] = np.add.reduceat(dh.take(order, 0), first, 0)
             state[0] += 1
             t = state[0]
             for j, gj in enumerate(g):
@@ -212,8 +212,8 @@ class Network:
         n, (left, right), lp = self.p[0].shape[1], tables, np.empty(len(at))
         for lo in range(0, len(at), _BATCH):
             i = at[lo: lo + _BATCH]
-            h = left[x[i - 2] * n + x[i - 1]]
-            h += right[x[i + 1] * n + x[i + 2]]
+            h = left.take(x[i - 2] * n + x[i - 1], 0)
+            h += right.take(x[i + 1] * n + x[i + 2], 0)
             z = np.tanh(h, out=h) @ out
             z += bias
             want = z[np.arange(len(i)), x[i]]
