@@ -79,6 +79,26 @@ def test_blocked_search_equals_all_pairs(spark, monkeypatch, inverted, block_ter
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("runs,run_blocks", [(1, 100), (3, 1)])
+def test_pairs_of_blocks_shuffle_nothing(spark, monkeypatch, runs, run_blocks):
+    """Vectors are written once a side, however many blocks there are; a run of
+    the documents' blocks gives out a query's best once."""
+    monkeypatch.setattr(B, "BLOCK_TERMS", 300)
+    monkeypatch.setattr(B, "BLOCK_RUNS", runs)
+    monkeypatch.setattr(B, "RUN_BLOCKS", run_blocks)
+    docs = corpus_of(random.Random(8), 120) + [(1000 + i, "w1 w2 w3") for i in range(9)]
+    c = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = B.build_index(c, "doc_id", "text", inverted=False)
+    pairs = B._blocked(index, B.grams(c, "doc_id", "text"), 4, 0.01, True, False)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    if runs == 1:
+        assert pairs.groupBy("qrid").count().agg(F.max("count")).first()[0] == 4
+    monkeypatch.setattr(B, "SCAN_PAYS", 0)
+    got = B.search(index, c, "doc_id", "text", top_k=4, exclude_self=True, q_name="q", c_name="d").collect()
+    assert {(x.q, x.d, x["rank"]) for x in got} == plain_search(docs, docs, 4, exclude_self=True)
+
+
 def test_many_queries_go_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(B, "_meet", None)
     docs = [(i, f"the of and text number filler{i % 50} unique{i}") for i in range(600)]
