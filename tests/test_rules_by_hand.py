@@ -119,3 +119,19 @@ def test_classifier_probabilities_and_round_trip(spark, tmp_path):
     # every term is in half of 40 documents: idf = ln(41 / 21) + 1
     scale = next(s for s in model.stages if s.hasParam("scalingVec")).getScalingVec().toArray()
     assert np.allclose(scale, np.log(41 / 21) + 1)
+
+
+def test_classifier_reads_the_texts_twice_and_shuffles_no_class(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [(i, "refund money please refund" if i % 2 else "parcel late again parcel", "a" if i % 3 else "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, y string").mapInPandas(counted, "id long, text string, y string")
+    MD.fit_logreg(df, "text", "y", max_iter=5)
+    assert seen.value == 3 * 40         # their number, the vocabulary, the counts of its terms
+    plan = MD.balanced_weights(spark.createDataFrame(rows, "id long, text string, y string"), "y")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
